@@ -233,7 +233,7 @@ def volume_from_path(col: Column | str) -> Column:
 def global_volume(df: DataFrame, id_col: str = "sutra_id", local_col: str = "juan") -> DataFrame:
     """Add ``base_id`` and ``global_volume``: sub-works are shifted by the offset of their part."""
     rows = [F.struct(F.lit(i).alias("id"), F.lit(o).alias("off")) for i, o, _ in SUBWORK_VOLUMES]
-    hit = F.element_at(F.filter(F.array(*rows), lambda r: r["id"] == F.col(id_col)), F.lit(1))
+    hit = F.try_element_at(F.filter(F.array(*rows), lambda r: r["id"] == F.col(id_col)), F.lit(1))
     off = F.when(F.col(id_col).rlike("^T0220[a-o]$"), hit["off"])
     return df.withColumn("base_id", F.when(off.isNotNull(), base_work(id_col)).otherwise(F.col(id_col))).withColumn(
         "global_volume", F.col(local_col) + F.coalesce(off, F.lit(0))

@@ -55,7 +55,7 @@ def note_census(elements: DataFrame, k: int = 50) -> DataFrame:
 
 def notes_inside(elements: DataFrame, parent: str) -> DataFrame:
     """Note types directly inside one kind of element."""
-    inside = starts(elements, "note").filter(F.element_at("ancestor_tags", -1) == parent)
+    inside = starts(elements, "note").filter(F.try_element_at("ancestor_tags", F.lit(-1)) == parent)
     kind = F.when(attr("type") == "", "(empty)").otherwise(attr("type"))
     return inside.groupBy(kind.alias("type")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -63,7 +63,7 @@ def notes_inside(elements: DataFrame, parent: str) -> DataFrame:
 def child_patterns(elements: DataFrame, tag: str, k: int = 30) -> DataFrame:
     """Most frequent sequences of child tags of one kind of element."""
     s = starts(elements)
-    children = s.filter(F.element_at("ancestor_tags", -1) == tag).select(
+    children = s.filter(F.try_element_at("ancestor_tags", F.lit(-1)) == tag).select(
         "doc_path", F.col("parent_id").alias("node_id"), F.col("tag").alias("text"), "seq"
     )
     own = s.filter(F.col("tag") == tag).select("doc_path", "node_id", F.lit(None).cast("string").alias("text"), "seq")

@@ -117,7 +117,7 @@ def extract_header(elements: DataFrame) -> DataFrame:
         header, "title", "author", "extent", "idno", "bibl", "p", "witness", "language", "edition"
     ).withColumn("value", null_if_empty(strip("text")))
     tag, lang = F.col("tag"), attr("lang")
-    parent = F.element_at("ancestor_tags", -1)
+    parent = F.try_element_at("ancestor_tags", F.lit(-1))
 
     def first(cond: Column, required: bool = True) -> Column:
         """Value of the first matching element; with ``required`` the first one that is not empty."""

@@ -116,7 +116,10 @@ def snippet(text: Column | str, query: Column | str, width: int = 30) -> Column:
 
 
 def _matches(content: DataFrame, queries: DataFrame, doc: str, text: str, width: int) -> DataFrame:
-    """Every document with its length and the array of its matches; the text itself is dropped."""
+    """Documents with their length and the arrays of their matches; the text itself is dropped.
+
+    Exactly one row of each document has ``is_doc`` set.
+    """
     needle = queries.select("query", F.lower("query").alias("needle")).distinct()
     n_tokens = F.greatest(F.length(text) - 2, F.lit(0)).cast("bigint")
     if fits_broadcast(needle, MAX_INLINE_QUERIES):
@@ -126,6 +129,7 @@ def _matches(content: DataFrame, queries: DataFrame, doc: str, text: str, width:
         return base.select(
             doc,
             "n_tokens",
+            F.lit(True).alias("is_doc"),
             F.transform(
                 F.filter("_qs", lambda q: F.contains(F.col("_low"), q["needle"])),
                 lambda q: F.struct(
@@ -138,11 +142,10 @@ def _matches(content: DataFrame, queries: DataFrame, doc: str, text: str, width:
     hits = occurrences(content.select(doc, F.lower(text).alias("_low")), needle, doc, "_low", "needle", prefix=2)
     per_doc = hits.groupBy(doc, "query").agg(F.count(F.lit(1)).alias("tf"))
     texts = content.select(doc, F.col(text).alias("_text"), n_tokens.alias("n_tokens"))
-    joined = texts.join(per_doc, doc, "left")
     one = F.struct("query", "tf", snippet("_text", "query", width).alias("snippet"))
-    return joined.select(
-        doc, "n_tokens", F.when(F.col("query").isNotNull(), F.array(one)).otherwise(F.array()).alias("matches")
-    )
+    found = texts.join(per_doc, doc).select(doc, "n_tokens", F.lit(False).alias("is_doc"), F.array(one).alias("matches"))
+    every = texts.select(doc, "n_tokens", F.lit(True).alias("is_doc"), F.array().cast(found.schema["matches"].dataType).alias("matches"))
+    return found.unionByName(every)
 
 
 def search_fulltext(
@@ -163,7 +166,7 @@ def search_fulltext(
     q = queries.select("query").filter(F.length(strip("query")) >= 2).distinct()
     if index is None:
         rows = materialize(_matches(content, q, doc, text, width), "matches")
-        size = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("avg"))
+        size = rows.filter("is_doc").agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("avg"))
     else:
         postings, stats = index
         size = stats.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("avg"))
@@ -173,6 +176,7 @@ def search_fulltext(
         low = F.lower(text)
         verified = base.select(
             doc, F.greatest(F.length(text) - 2, F.lit(0)).cast("bigint").alias("n_tokens"),
+            F.lit(True).alias("is_doc"),
             F.transform(
                 F.filter("_cand", lambda x: F.contains(low, F.lower(x))),
                 lambda x: F.struct(

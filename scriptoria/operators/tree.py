@@ -116,7 +116,7 @@ def outline_groups(tree: DataFrame, mark: str = "／") -> DataFrame:
     marked = F.filter("chain", lambda c: F.contains(c["title"], F.lit(mark)))
     return (
         tree.filter(F.col("sutra_id").isNotNull() & (F.size(marked) > 0))
-        .withColumn("_g", F.element_at(marked, -1))
+        .withColumn("_g", F.try_element_at(marked, F.lit(-1)))
         .select(
             F.col("_g.id").alias("group_id"), F.col("_g.title").alias("group_title"), "sutra_id",
             work_title("title").alias("title"), "sort_order",

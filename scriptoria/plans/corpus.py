@@ -35,10 +35,11 @@ def build_tables(
         catalog = catalog.join(categories.select("canon", F.col("title_zh").alias("category")), "canon", "left")
     ids = meta.select("doc_path", "sutra_id", "canon")
 
-    text = X.extract_text(pos) if file_juan is not None else X.split_volumes(pos)
     if file_juan is not None:
         pos = pos.drop("juan").join(file_juan.select("doc_path", "juan"), "doc_path")
         text = X.extract_text(pos)
+    else:
+        text = X.split_volumes(pos)
     content = keep_last(text.join(ids, "doc_path"), ["sutra_id", "juan"], ["doc_path"])
     content = content.withColumn("plain_text_sc", to_script("plain_text", list(to_sc)))
 

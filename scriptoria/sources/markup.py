@@ -283,7 +283,7 @@ def node_texts(elements: DataFrame, *tags: str, keep=()) -> DataFrame:
 
 def child_of(parent_tag: str) -> Column:
     """The event's direct parent has this tag."""
-    return F.element_at("ancestor_tags", -1) == parent_tag
+    return F.try_element_at("ancestor_tags", F.lit(-1)) == parent_tag
 
 
 def under(tag: str) -> Column:

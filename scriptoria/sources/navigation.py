@@ -19,7 +19,7 @@ def _last_ancestor(tag: str) -> Column:
 
 def _labels(texts: DataFrame) -> DataFrame:
     """Label of each list item: its first direct link, else its first direct span."""
-    parent = F.element_at("ancestor_tags", -1)
+    parent = F.try_element_at("ancestor_tags", F.lit(-1))
     direct = texts.filter(F.col("tag").isin("cblink", "span") & (parent == "li"))
     best = F.struct(F.when(F.col("tag") == "cblink", 0).otherwise(1), F.col("seq"))
     return direct.groupBy("doc_path", F.col("parent_id").alias("node_id")).agg(
@@ -36,7 +36,7 @@ def read_nav(elements: DataFrame, tree_type: str, narrow_ids: bool = False) -> D
     nav = starts(elements, "nav").groupBy("doc_path").agg(F.min("node_id").alias("_nav"))
     t = node_texts(elements, "cblink", "span", "li").join(nav, "doc_path")
     t = t.filter(F.array_contains("ancestors", F.col("_nav")))
-    parent = F.element_at("ancestor_tags", -1)
+    parent = F.try_element_at("ancestor_tags", F.lit(-1))
     sections = t.filter((F.col("tag") == "span") & (F.col("parent_id") == F.col("_nav"))).select(
         "doc_path", "node_id", "seq", F.lit("section").alias("kind"), strip("text").alias("title"),
         F.lit(None).cast("bigint").alias("li_parent"), F.lit(False).alias("in_section"),
@@ -108,7 +108,7 @@ def read_toc(elements: DataFrame) -> DataFrame:
 def read_juan_index(elements: DataFrame) -> DataFrame:
     """Volume index of each work: linked items of the first list level, numbered in order."""
     file, page = _refs()
-    top = (F.element_at("ancestor_tags", -1) == "ol") & (F.element_at("ancestor_tags", -2) == "nav")
+    top = (F.try_element_at("ancestor_tags", F.lit(-1)) == "ol") & (F.try_element_at("ancestor_tags", F.lit(-2)) == "nav")
     items = _toc_items(elements, "juan").filter((F.col("label.tag") == "cblink") & top)
     items = number_rows(items, ["doc_path", "nav_id"], ["seq"], "juan")
     return items.select("sutra_id", "canon", "juan", "title", file.alias("file_ref"), page.alias("page_id"))
