@@ -186,7 +186,7 @@ def char_coverage(df: DataFrame, supported: DataFrame, text: str = "text") -> Da
     """
     chars = df.select(F.explode(F.split(F.col(text), "")).alias("ch")).filter(F.col("ch") != "")
     counts = chars.groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
-    code = F.conv(F.hex(F.encode("ch", "UTF-32BE")), 16, 10).cast("bigint")
+    code = F.ascii("ch").cast("bigint")
     counts = counts.withColumn("code", code).withColumn("_b", F.shiftright("code", 8))
     blocks = supported.select("lo", "hi", F.explode(F.sequence(F.shiftright("lo", 8), F.shiftright("hi", 8))).alias("_b"))
     covered = counts.join(blocks, "_b").filter(F.col("code").between(F.col("lo"), F.col("hi"))).select("ch").distinct()

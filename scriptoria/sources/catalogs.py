@@ -26,9 +26,12 @@ def read_catalog_txt(spark: SparkSession, path: str) -> DataFrame:
 
 def read_bookdata(spark: SparkSession, path: str) -> DataFrame:
     """UTF-16 comma file: canon code in the first field, full name in the fourth."""
-    raw = spark.read.option("encoding", "UTF-16").csv(path)
-    code, name = raw.columns[0], raw.columns[3]
-    out = raw.select(strip(code).alias("canon"), strip(F.coalesce(name, F.lit(""))).alias("name_zh"))
+    lines = spark.read.format("binaryFile").load(path).select(
+        F.explode(F.split(F.decode("content", "UTF-16"), r"\r?\n")).alias("line")
+    )
+    p = F.transform(F.split("line", ","), strip)
+    out = lines.select(p.alias("p")).filter(F.size("p") >= 4)
+    out = out.select(F.col("p")[0].alias("canon"), F.col("p")[3].alias("name_zh"))
     return out.filter((F.col("canon") != "") & (F.col("name_zh") != ""))
 
 
