@@ -42,11 +42,17 @@ def scan_corpus(
 
 
 def scan_assets(spark: SparkSession, root: str, pattern: str = "*.png") -> DataFrame:
-    """Binary assets with size and the first eight bytes in hex."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select("path", "length", F.hex(F.substring("content", 1, 8)).alias("magic"))
+    """Binary assets with size and the first eight bytes in hex.
+
+    A file scan leaves out empty files, so they are taken from the file index that the scan has
+    listed anyway (names only).
+    """
+    files = (
+        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(root)
+    )
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "_uri string")
+    read = files.select("path", "length", F.hex(F.substring("content", 1, 8)).alias("magic"))
+    name = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    return listed.join(read, name(F.col("_uri")) == name(F.col("path")), "left").select(
+        F.coalesce("path", "_uri").alias("path"), F.coalesce("length", F.lit(0)).alias("length"), "magic"
     )
