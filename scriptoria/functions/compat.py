@@ -77,3 +77,15 @@ def count_occurrences(text: Column | str, needle: Column | str) -> Column:
     return F.when(F.length(n) == 0, F.lit(0)).otherwise(
         ((F.length(t) - F.length(F.replace(t, n, F.lit("")))) / F.length(n)).cast("bigint")
     )
+
+
+def text_windows(col: Column | str, lo: int, hi: Column | int) -> Column:
+    """The window of ``lo`` to ``hi`` characters that starts at each position, in order.
+
+    One look-ahead pass of the regex engine over the text: linear, where taking a substring per
+    position would walk the UTF-8 text again for each. The guard keeps the second half of a
+    supplementary character from counting as a position.
+    """
+    hi = F.lit(hi) if isinstance(hi, int) else hi
+    pattern = F.concat(F.lit(r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(.{%d," % lo), hi.cast("string"), F.lit("}))"))
+    return F.regexp_extract_all(as_col(col), pattern, F.lit(1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.compat import as_col
+from ..functions.compat import as_col, text_windows
 from ..session import broadcast_if_small
 from .firstwins import top_k
 
@@ -40,7 +40,7 @@ def contained_pairs(
 def occurrences(texts: DataFrame, names: DataFrame, text_id, text: str, name: str, prefix: int = 3) -> DataFrame:
     """Occurrences of names (at least ``prefix`` characters) in long texts: one row per hit.
 
-    Texts are cut in place into overlapping windows as long as the longest name; a window joins the
+    Each text is cut in place into overlapping windows as long as the longest name; a window joins the
     names that start with its first characters. The name side is small and measured, so the windows
     never cross the network; a larger name table falls back to a shuffled join that AQE can split.
     """
@@ -50,15 +50,9 @@ def occurrences(texts: DataFrame, names: DataFrame, text_id, text: str, name: st
     windows = (
         texts.select(*ids, F.col(text).alias("_t"))
         .withColumn("_longest", longest.scalar())
-        .filter(F.length("_t") >= prefix)
         .select(
             *ids,
-            F.posexplode(
-                F.transform(
-                    F.sequence(F.lit(1), F.length("_t") - (prefix - 1)),
-                    lambda i: F.substring(F.col("_t"), i, F.col("_longest")),
-                )
-            ).alias("_pos", "_win"),
+            F.posexplode(text_windows("_t", prefix, F.greatest("_longest", F.lit(prefix)))).alias("_pos", "_win"),
         )
     )
     return (

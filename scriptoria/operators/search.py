@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.compat import as_col, quote_regex, strip
+from ..functions.compat import as_col, quote_regex, strip, text_windows
 from ..functions.predicates import match_text
 from ..functions.text import escape_keep_mark, to_script
 from ..session import broadcast_if_small, fits_broadcast, materialize
@@ -32,11 +32,7 @@ def _inline(df: DataFrame, queries: DataFrame, cond, keep=("query",)) -> DataFra
 
 
 def trigrams(col: Column | str) -> Column:
-    c = as_col(col)
-    return F.when(
-        F.length(c) >= 3,
-        F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, F.lit(3))),
-    ).otherwise(F.array().cast("array<string>"))
+    return text_windows(col, 3, 3)
 
 
 def build_trigram_index(content: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame]:

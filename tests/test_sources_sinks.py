@@ -194,7 +194,7 @@ def test_quality(spark, tmp_path):
     put(tmp_path / "x/c.png", b"GIF89a..")
     assert sorted(r.status for r in Q.audit_assets(corpus.scan_assets(spark, str(tmp_path))).collect()) == ["invalid", "valid", "zero_byte"]
     v = Q.validate_schema(spark, {"t": {"i", "text"}, "u": {"x"}, "h": {"n", "zz"}}, {"t": t, "h": h})
-    assert rows(v) == [("h", "schema_invalid", "n, zz"), ("t", "ok", ""), ("u", "missing", "")]
+    assert rows(v) == [("h", "schema_invalid", "zz"), ("t", "ok", ""), ("u", "missing", "")]
     assert rows(Q.overall_health(v)) == [(2, "degraded")]
     drift = Q.schema_drift(spark.createDataFrame([("a",), ("b",)], "tag string"), spark.createDataFrame([("b",), ("c",)], "tag string"))
     assert rows(drift) == [("a", "documented"), ("c", "scanned")]
