@@ -34,7 +34,7 @@ def tei_documents(t: Tables) -> DataFrame:
         word = F.substring_index(esc, " ", 1)
         rest = F.substring(esc, F.length(word) + 1, F.length(esc))
         app = F.concat(
-            F.lit('<app n="'), i + 1, F.lit('" from="#l'), i + 1, F.lit('"><lem>'), word, F.lit('</lem><rdg wit="A">'), escape_html(F.upper(F.substring_index(s, " ", 1))),
+            F.lit('<app n="'), i + 1, F.lit('" from="#l'), i + 1, F.lit('"><lem>'), word, F.lit('</lem><rdg wit="A">'), F.lit("~"), word,
             F.lit('</rdg><rdg wit="B">x</rdg></app>'),
         )
         note = F.when(
@@ -133,7 +133,7 @@ def corpus_toc(t: Tables) -> DataFrame:
     f"""
     WITH {_SQL_LINES}
     SELECT sutra_id, juan, '#l' || i AS line_id, {_STRIP.format("word")} AS lem_text,
-      'A=' || {_STRIP.format("upper(word)")} || '|B=x' AS readings FROM marked WHERE NOT is_head
+      'A=' || {_STRIP.format("'~' || word")} || '|B=x' AS readings FROM marked WHERE NOT is_head
     """,
 )
 def corpus_apparatus(t: Tables) -> DataFrame:
