@@ -36,4 +36,4 @@ class Tables:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import queries_corpus, queries_graph, queries_search  # noqa: F401
+    from . import queries_corpus, queries_graph, queries_lexicon, queries_relations, queries_search  # noqa: F401
