@@ -72,7 +72,7 @@ def verse_blocks(text: Column | str, line_pattern: str = r"> [^\n]*") -> Column:
     A run is a maximal match of whole lines, so the blocks of a document are found inside its row.
     """
     return F.regexp_extract_all(
-        as_col(text), F.lit(rf"(?m)((?:^{line_pattern}(?:\n|\z))+)"), F.lit(1)
+        as_col(text), F.lit(rf"(?md)((?:^{line_pattern}(?:\n|\z))+)"), F.lit(1)
     )
 
 

@@ -36,4 +36,13 @@ class Tables:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from . import queries_corpus, queries_graph, queries_lexicon, queries_relations, queries_search  # noqa: F401
+    from . import (  # noqa: F401
+        queries_corpus,
+        queries_graph,
+        queries_lexicon,
+        queries_quality,
+        queries_relations,
+        queries_search,
+        queries_streams,
+        queries_verse,
+    )
