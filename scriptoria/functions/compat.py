@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 WS = (
     r"\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
+WS_CHARS = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+)
 
 
 def as_col(c: Column | str) -> Column:
@@ -30,11 +33,11 @@ def null_if_empty(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove any Unicode white space at both ends."""
-    return F.regexp_replace(as_col(c), f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(as_col(c), F.lit(WS_CHARS))
 
 
 def rstrip(c: Column | str) -> Column:
-    return F.regexp_replace(as_col(c), f"[{WS}]+$", "")
+    return F.rtrim(as_col(c), F.lit(WS_CHARS))
 
 
 def first_group(c: Column | str, pattern: str, group: int = 1) -> Column:
@@ -89,3 +92,8 @@ def text_windows(col: Column | str, lo: int, hi: Column | int) -> Column:
     hi = F.lit(hi) if isinstance(hi, int) else hi
     pattern = F.concat(F.lit(r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(.{%d," % lo), hi.cast("string"), F.lit("}))"))
     return F.regexp_extract_all(as_col(col), pattern, F.lit(1))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..session import broadcast_if_small
-from .compat import WS, as_col, first_group, null_if_empty, strip
+from .compat import WS, WS_CHARS, as_col, first_group, null_if_empty, strip
 
 # Repairs of over-eager conversion to traditional script, applied in this order.
 CONVERSION_REPAIRS = [
@@ -119,11 +119,11 @@ def resolve_glyph(df: DataFrame, id_col: str, glyphs: DataFrame, out: str = "gly
 
 def squeeze_ws(col: Column | str) -> Column:
     """Trim and turn each run of white space into one blank."""
-    return F.regexp_replace(strip(col), f"[{WS}]+", " ")
+    return F.regexp_replace(F.translate(strip(col), WS_CHARS, " " * len(WS_CHARS)), "  +", " ")
 
 
 def drop_ws(col: Column | str) -> Column:
-    return F.regexp_replace(as_col(col), f"[{WS}]+", "")
+    return F.translate(as_col(col), WS_CHARS, "")
 
 
 def drop_line_breaks(col: Column | str) -> Column:

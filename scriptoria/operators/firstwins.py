@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.compat import as_col
+from ..functions.compat import as_col, let
 from ..functions.text import drop_ws
 
 
@@ -120,11 +120,12 @@ def dedupe_prefix(df: DataFrame, text: str, n: int, order, existing: DataFrame |
     ``existing`` holds fingerprints (column ``fp``) that are already taken.
     """
     work = df.withColumn("fp", fingerprint(text, n))
-    long = work.filter(F.length("fp") >= n)
-    short = work.filter(F.length("fp") < n)
+    # A short text gets a key of its own (its place in the order), so one pass serves both kinds.
+    own = F.concat_ws("\x00", F.lit("short"), *[c.cast("string") for c in _order(order)])
+    work = work.withColumn("_key", F.when(F.length("fp") >= n, F.col("fp")).otherwise(own))
     if existing is not None:
-        long = long.join(existing.select("fp").distinct(), "fp", "left_anti").select(*work.columns)
-    return keep_first(long, ["fp"], order).unionByName(short)
+        work = work.join(existing.select("fp").distinct(), "fp", "left_anti")
+    return keep_first(work, ["_key"], order).drop("_key")
 
 
 def select_top_distinct(df: DataFrame, text: str, score: str, pos, fp: int = 12, k: int = 2000) -> DataFrame:
@@ -142,10 +143,14 @@ def first_person_by_name(persons: DataFrame, known: DataFrame | None = None, ord
 
 def first_seen_mode(values: Column | str) -> Column:
     """Most frequent array element; ties go to the element seen first."""
-    v = as_col(values)
-    uniq = F.array_distinct(v)
-    counts = F.transform(uniq, lambda x: F.size(F.filter(v, lambda y: y == x)))
-    return F.get(uniq, F.array_position(counts, F.array_max(counts)).cast("int") - 1)
+    def pick(v: Column) -> Column:
+        def best(uniq: Column) -> Column:
+            counts = F.transform(uniq, lambda x: F.size(F.filter(v, lambda y: y == x)))
+            return let(counts, lambda c: F.get(uniq, F.array_position(c, F.array_max(c)).cast("int") - 1))
+
+        return let(F.array_distinct(v), best)
+
+    return let(as_col(values), pick)
 
 
 def bounded_groups(df: DataFrame, keys, item: Column, member: str, out: str, limit: int = 1000) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.compat import WS, as_col, contains_any, count_words_present, first_group, strip
+from ..functions.compat import WS, as_col, contains_any, count_words_present, first_group, let, strip
 from ..functions.text import drop_ws, repair_conversion, rotation_index, to_script, unify_delimiter
 from ..session import broadcast_if_small
 from .firstwins import dedupe_prefix, fingerprint, first_seen_mode, select_top_distinct, top_k
@@ -94,25 +94,30 @@ def score_verse(
     sentences: Column | str, doctrine=DOCTRINE_WORDS, narrative=NARRATIVE_WORDS, count=(4, 12), length=(3, 7)
 ) -> Column:
     """Score of a sentence array, or null when it does not have the shape of a verse."""
-    s = as_col(sentences)
-    lens = F.transform(s, F.length)
-    n = F.size(s)
-    mode = first_seen_mode(lens)
-    near = F.size(F.filter(lens, lambda x: F.abs(x - mode) <= 1))
-    perfect = F.size(F.filter(lens, lambda x: x == mode))
-    full = F.array_join(s, "")
-    shaped = (
-        n.between(*count)
-        & F.forall(lens, lambda x: x.between(*length))
-        & (near >= n * F.lit(0.8))
-    )
-    regular = F.when(perfect == n, 40).when(perfect >= n * F.lit(0.8), 30).otherwise(20)
-    metre = F.when(mode.isin(5, 7), 20).when(mode.isin(4, 6), 15).otherwise(10)
-    size = F.when(n.between(4, 8), 20).when(n.between(9, 12), 10).otherwise(0)
-    depth = count_words_present(full, doctrine)
-    depth = F.when(depth >= 3, 20).when(depth >= 2, 15).when(depth >= 1, 10).otherwise(0)
-    story = F.when(count_words_present(full, narrative) >= 2, -15).otherwise(0)
-    return F.when(shaped, regular + metre + size + depth + story)
+    def points(s: Column, lens: Column, mode: Column) -> Column:
+        n = F.size(s)
+        near = F.size(F.filter(lens, lambda x: F.abs(x - mode) <= 1))
+        perfect = F.size(F.filter(lens, lambda x: x == mode))
+        regular = F.when(perfect == n, 40).when(perfect >= n * F.lit(0.8), 30).otherwise(20)
+        metre = F.when(mode.isin(5, 7), 20).when(mode.isin(4, 6), 15).otherwise(10)
+        size = F.when(n.between(4, 8), 20).when(n.between(9, 12), 10).otherwise(0)
+
+        def words(full: Column) -> Column:
+            depth = let(
+                count_words_present(full, doctrine), lambda d: F.when(d >= 3, 20).when(d >= 2, 15).when(d >= 1, 10).otherwise(0)
+            )
+            return depth + F.when(count_words_present(full, narrative) >= 2, -15).otherwise(0)
+
+        return F.when(near >= n * F.lit(0.8), regular + metre + size + let(F.array_join(s, ""), words))
+
+    def shaped(s: Column) -> Column:
+        def with_lens(lens: Column) -> Column:
+            fits = F.forall(lens, lambda x: x.between(*length))
+            return F.when(fits, let(first_seen_mode(lens), lambda mode: points(s, lens, mode)))
+
+        return F.when(F.size(s).between(*count), let(F.transform(s, F.length), with_lens))
+
+    return let(as_col(sentences), shaped)
 
 
 def format_verse(sentences: Column | str) -> Column:
@@ -201,31 +206,40 @@ def score_doctrinal(text: Column | str, source: Column | str, tables: dict | Non
     cfg = tables or {}
     t, src = as_col(text), as_col(source)
     n = F.length(t)
-    sents = F.filter(F.transform(F.split(t, "[，。；！？]"), strip), lambda s: F.length(s) >= 2)
-    lens = F.transform(sents, F.length)
-    mode = first_seen_mode(lens)
-    ratio = F.size(F.filter(lens, lambda x: F.abs(x - mode) <= 1)) / F.size(lens)
     brief = F.when(n <= 30, 15).when(n <= 50, 20).when(n <= 70, 15).when(n <= 100, 10).otherwise(5)
-    regular = (
-        F.when((ratio >= 0.9) & mode.isin(5, 7), 20)
-        .when((ratio >= 0.9) & mode.isin(4, 6), 18)
-        .when(ratio >= 0.8, 14)
-        .when(ratio >= 0.7, 8)
-        .otherwise(3)
-    )
-    depth = F.least(weighted_words(t, cfg.get("concepts")), F.lit(35))
+
+    def regularity(lens: Column) -> Column:
+        def graded(mode: Column) -> Column:
+            ratio = F.size(F.filter(lens, lambda x: F.abs(x - mode) <= 1)) / F.size(lens)
+            return let(
+                ratio,
+                lambda r: F.when((r >= 0.9) & mode.isin(5, 7), 20)
+                .when((r >= 0.9) & mode.isin(4, 6), 18)
+                .when(r >= 0.8, 14)
+                .when(r >= 0.7, 8)
+                .otherwise(3),
+            )
+
+        return F.when(F.size(lens) >= 2, let(first_seen_mode(lens), graded))
+
+    def content(depth: Column) -> Column:
+        image = count_words_present(t, cfg.get("imagery", IMAGERY_WORDS))
+        return depth + F.when((depth < 10) & (image >= 3), -10).otherwise(0)
+
+    sents = F.filter(F.transform(F.split(t, "[，。；！？]"), strip), lambda s: F.length(s) >= 2)
+    regular = let(F.transform(sents, F.length), regularity)  # null with fewer than two sentences
+    depth = let(F.least(weighted_words(t, cfg.get("concepts")), F.lit(35)), content)
     admonition = F.least(count_words_present(t, cfg.get("admonition", ADMONITION_WORDS)) * 2, F.lit(15))
-    story = count_words_present(t, cfg.get("story", STORY_WORDS))
-    image = count_words_present(t, cfg.get("imagery", IMAGERY_WORDS))
+    story = let(
+        count_words_present(t, cfg.get("story", STORY_WORDS)), lambda k: F.when(k >= 2, -12).when(k >= 1, -4).otherwise(0)
+    )
     penalty = (
         F.when(contains_any(src, cfg.get("gazetteer", GAZETTEER_WORDS)), -20).otherwise(0)
         + F.when(contains_any(src, cfg.get("ritual", RITUAL_WORDS)), -15).otherwise(0)
         + F.when(t.rlike(r"\[\d+\]"), -3).otherwise(0)
-        + F.when(story >= 2, -12).when(story >= 1, -4).otherwise(0)
-        + F.when((image >= 3) & (depth < 10), -10).otherwise(0)
     )
-    total = source_bonus(src, cfg.get("bonus")) + brief + regular + depth + admonition + penalty
-    return F.when(n.between(10, 150) & (F.size(sents) >= 2), total)
+    total = source_bonus(src, cfg.get("bonus")) + brief + regular + depth + admonition + story + penalty
+    return F.when(n.between(10, 150), total)
 
 
 def judge_verses(

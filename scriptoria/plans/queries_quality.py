@@ -20,8 +20,8 @@ PATTERNS = [(r"token=[^\s]+", "token"), (r"[a-z0-9]+@[a-z0-9.]+", "mail"), (r"\+
     WITH h AS (SELECT doc_id, text, CASE WHEN regexp_matches(text, 'token=[^\s]+') THEN 'token' WHEN regexp_matches(text, '[a-z0-9]+@[a-z0-9.]+') THEN 'mail'
         WHEN regexp_matches(text, '\+\d[\d ()-]{6,}') THEN 'phone' END AS leak FROM documents),
     x AS (SELECT *, regexp_extract(text, CASE leak WHEN 'token' THEN '(token=[^\s]+)' WHEN 'mail' THEN '([a-z0-9]+@[a-z0-9.]+)' ELSE '(\+\d[\d ()-]{6,})' END, 1) AS hit FROM h WHERE leak IS NOT NULL),
-    p AS (SELECT *, instr(text, hit) AS at FROM x), s AS (SELECT *, greatest(1, at - 15) AS s FROM p)
-    SELECT doc_id, leak, translate(substring(text, s, at - s + length(hit) + 15), chr(10), ' ') AS leak_context FROM s
+    p AS (SELECT *, instr(text, hit) AS hit_at FROM x), s AS (SELECT *, greatest(1, hit_at - 15) AS s FROM p)
+    SELECT doc_id, leak, translate(substring(text, s, hit_at - s + length(hit) + 15), chr(10), ' ') AS leak_context FROM s
     """,
 )
 def detect_leaks(t: Tables) -> DataFrame:

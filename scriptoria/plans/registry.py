@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
+
+# Tables whose rows are expensive to process (long texts).
+TEXT_TABLES = {"documents", "pages", "conversations"}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -31,7 +35,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        scan = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(scan) if name in TEXT_TABLES else scan
 
 
 def load_all() -> None:

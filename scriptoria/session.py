@@ -61,3 +61,13 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes:
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast hint for a side that was measured to be small; otherwise leave the join to AQE (skew join on)."""
     return F.broadcast(df) if fits_broadcast(df, max_rows) else df
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a plain file scan over all cores when it has fewer splits than there are cores.
+
+    A small file is often a single row group, which one task would read and then also parse or cut
+    into windows alone. A scan with enough splits, as any large input has, is returned unchanged.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

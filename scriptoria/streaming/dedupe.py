@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def first_seen(stream: DataFrame, keys, time_col: str | None = None, delay: str = "1 hour") -> DataFrame:
@@ -14,4 +15,5 @@ def first_seen(stream: DataFrame, keys, time_col: str | None = None, delay: str
     keys = list(keys)
     if time_col is None:
         return stream.dropDuplicates(keys)
+    stream = stream.withColumn(time_col, F.col(time_col).cast("timestamp"))
     return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(keys)
