@@ -172,7 +172,7 @@ def page_body(col: Column | str) -> Column:
     """Text between the body division and the back matter of a web page, without note anchors."""
     c = as_col(col)
     c = F.regexp_replace(c, r"(?s)^.*?<div id=['\"]body['\"][^>]*>", "")
-    c = F.regexp_replace(c, r"(?s)<div id=(?:'back'|\"back\"|['\"]cbeta-copyright['\"]).*$", "")
+    c = F.regexp_replace(c, r"(?s)<div id=(?:'back'|\"back\"|['\"][a-z]+-copyright['\"]).*$", "")
     return F.regexp_replace(c, r"(?s)<a class=['\"]noteAnchor['\"][^>]*>.*?</a>", "")
 
 

@@ -31,7 +31,7 @@ def _doc() -> Window:
 
 
 def positioned(elements: DataFrame, initial: int = 1) -> DataFrame:
-    """Add ``juan`` (volume in document order) and ``line_id`` (latest line mark, '' before the first).
+    """Add ``juan`` (volume in document order), ``line_id`` (latest line mark, '' before the first) and ``has_back``.
 
     A document with at most one volume mark belongs to that volume entirely.
     """
@@ -48,6 +48,7 @@ def positioned(elements: DataFrame, initial: int = 1) -> DataFrame:
         .withColumn("line_id", F.coalesce(F.last(line, ignorenulls=True).over(run), F.lit("")))
         .withColumn("_n", F.count("_mark").over(_doc()))
         .withColumn("_only", F.max("_mark").over(_doc()))
+        .withColumn("has_back", F.max(F.col("tag") == "back").over(_doc()))
         .withColumn(
             "juan",
             F.when(F.col("_n") <= 1, F.coalesce("_only", F.lit(initial))).otherwise(F.coalesce("_running", F.lit(initial))),
@@ -197,8 +198,7 @@ def extract_toc(pos: DataFrame) -> DataFrame:
 
 def extract_apparatus(pos: DataFrame) -> DataFrame:
     """Variant apparatus: base reading and array of variant readings, from the back matter when there is one."""
-    where = F.when(F.max(F.col("tag") == "back").over(_doc()), F.lit("back")).otherwise(F.lit("body"))
-    pos = pos.withColumn("_where", where).filter(F.col("region") == F.col("_where"))
+    pos = pos.filter(F.col("region") == F.when(F.col("has_back"), "back").otherwise("body"))
     parts = node_texts(pos, "lem", "rdg").filter(child_of("app")).select(
         "doc_path",
         F.col("parent_id").alias("node_id"),

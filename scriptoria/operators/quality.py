@@ -253,3 +253,8 @@ def schema_drift(documented: DataFrame, scanned: DataFrame, col: str = "tag") ->
         .unionByName(s.join(d, col, "left_anti").withColumn("only_in", F.lit("scanned")))
     )
 
+
+def length_profile(verse_lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Histogram with examples and positional percentiles of verse lines (``line``, ``n_chars``)."""
+    hist = length_histogram(verse_lines, "n_chars", "line")
+    return hist, positional_percentiles(hist)

@@ -6,6 +6,8 @@ row by row, without a join; a larger batch is matched by an equi-join on text wi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +23,23 @@ MAX_INLINE_QUERIES = 2_000
 
 
 def _inline(df: DataFrame, queries: DataFrame, cond, keep=("query",)) -> DataFrame:
-    """Rows of ``df`` once per query that satisfies ``cond(query_struct)``; the batch is one literal array."""
-    batch = queries.select(F.struct(*keep).alias("q")).agg(F.array_sort(F.collect_set("q")))
-    out = df.withColumn("_qs", batch.scalar())
-    out = out.withColumn("_q", F.explode(F.filter("_qs", cond)))
-    return out.select("*", *[F.col(f"_q.{c}").alias(c) for c in keep]).drop("_qs", "_q")
+    """Rows of ``df`` once per query that satisfies ``cond(query_struct)``.
+
+    A measured batch is one literal array that every row tests in place. A larger batch is cut into
+    hash slices of that size, each with its own pass over ``df`` (a catalogue, not the texts).
+    """
+
+    def one(batch_rows: DataFrame) -> DataFrame:
+        batch = batch_rows.select(F.struct(*keep).alias("q")).agg(F.array_sort(F.collect_set("q")))
+        out = df.withColumn("_qs", batch.scalar())
+        out = out.withColumn("_q", F.explode(F.filter("_qs", cond)))
+        return out.select("*", *[F.col(f"_q.{c}").alias(c) for c in keep]).drop("_qs", "_q")
+
+    if fits_broadcast(queries, MAX_INLINE_QUERIES):
+        return one(queries)
+    slices = -(-queries.count() // MAX_INLINE_QUERIES) + 1
+    part = F.pmod(F.xxhash64(keep[0]), F.lit(slices))
+    return reduce(DataFrame.unionByName, [one(queries.filter(part == i)) for i in range(slices)])
 
 
 # -- index -----------------------------------------------------------------------------------------
@@ -162,10 +176,9 @@ def search_fulltext(
     q = queries.select("query").filter(F.length(strip("query")) >= 2).distinct()
     if index is None:
         rows = materialize(_matches(content, q, doc, text, width), "matches")
-        size = rows.filter("is_doc").agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("avg"))
+        docs = rows.filter("is_doc")
     else:
-        postings, stats = index
-        size = stats.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("avg"))
+        postings, docs = index
         long_q = q.filter(F.length("query") >= 3)
         cand = candidates(postings, long_q, doc).groupBy(doc).agg(F.collect_set("query").alias("_cand"))
         base = content.select(doc, text).join(cand, doc)
@@ -183,13 +196,15 @@ def search_fulltext(
         short_q = q.filter(F.length("query") == 2)
         scanned = _matches(content, short_q, doc, text, width).filter(F.size("matches") > 0)
         rows = materialize(verified.unionByName(scanned), "matches")
+    size = docs.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("avg")))
     hits = rows.select(doc, "n_tokens", F.inline("matches"))
     n_hits = hits.groupBy("query").agg(F.count(F.lit(1)).alias("n_hits"))
     scored = (
         hits.join(n_hits, "query")
-        .withColumn("_n", size.select("n").scalar())
-        .withColumn("_avg", size.select("avg").scalar())
-        .withColumn("score", F.round(bm25(F.col("tf"), F.col("n_tokens"), F.col("n_hits"), F.col("_n"), F.col("_avg")), 6))
+        .withColumn("_size", size.scalar())
+        .withColumn(
+            "score", F.round(bm25(F.col("tf"), F.col("n_tokens"), F.col("n_hits"), F.col("_size.n"), F.col("_size.avg")), 6)
+        )
     )
     return top_k(scored, ["query"], ["score", doc], k, "rank").select("query", "rank", doc, "tf", "score", "snippet")
 

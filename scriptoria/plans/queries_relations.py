@@ -232,8 +232,8 @@ def leaf_entries(t: Tables) -> DataFrame:
 
 @query(
     "optional_filters",
-    "SELECT s_suppkey FROM supplier WHERE s_nationkey > 3 AND contains(lower(s_name), '#00000001') AND s_acctbal IS NOT NULL",
+    "SELECT s_suppkey FROM supplier WHERE s_nationkey > 3 AND contains(lower(s_name), '#00000000') AND s_acctbal IS NOT NULL",
 )
 def optional_filters(t: Tables) -> DataFrame:
-    cond = P.all_of(F.col("s_nationkey") > 3, None, P.match_text("s_name", F.lit("SUPPLIER#00000001")))
+    cond = P.all_of(F.col("s_nationkey") > 3, None, P.match_text("s_name", F.lit("SUPPLIER#00000000")))
     return P.located(t.supplier.filter(cond), "s_acctbal").select("s_suppkey")

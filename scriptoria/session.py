@@ -13,7 +13,9 @@ BROADCAST_MAX_ROWS = 200_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
-def build_session(app: str = "scriptoria", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(
+    app: str = "scriptoria", master: str | None = None, shuffle_partitions: int | None = None, local_memory: str = "8g"
+) -> SparkSession:
     """Session with the settings the operators rely on (AQE with skew handling, UTC, Arrow)."""
     b = (
         SparkSession.builder.appName(app)
@@ -25,6 +27,8 @@ def build_session(app: str = "scriptoria", master: str | None = None, shuffle_pa
     )
     if master:
         b = b.master(master)
+        if master.startswith("local"):  # one JVM does all the work
+            b = b.config("spark.driver.memory", local_memory)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()

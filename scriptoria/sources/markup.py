@@ -263,8 +263,10 @@ def node_texts(elements: DataFrame, *tags: str, keep=()) -> DataFrame:
     """
     keep = ["tag", "attrs", "parent_id", "region", "seq", "ancestors", "ancestor_tags", *keep]
     is_start = (F.col("kind") == "start") & F.col("tag").isin(*tags)
-    own = F.when(is_start, F.array("node_id")).when(F.col("kind") == "text", own_nodes(tags))
-    rows = elements.select(
+    # Cheap test first: only text below one of the tags goes through the ancestor search.
+    is_text = (F.col("kind") == "text") & F.arrays_overlap("ancestor_tags", F.array(*[F.lit(t) for t in tags]))
+    own = F.when(is_start, F.array("node_id")).otherwise(own_nodes(tags))
+    rows = elements.filter(is_start | is_text).select(
         "doc_path",
         F.explode(own).alias("node_id"),
         F.when(is_start, F.struct(*keep)).alias("_start"),

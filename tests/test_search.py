@@ -69,6 +69,14 @@ def test_titles(spark):
     assert rows(S.search_works(queries(spark, "x0"), catalog(spark)), "sutra_id", "total_juan") == [("X0001", 2)]
 
 
+def test_title_batches_beyond_the_inline_size_are_sliced(spark, monkeypatch):
+    q = queries(spark, "心經", "t02", "論", "x")
+    want = rows(S.search_titles(q, catalog(spark), pairs=PAIRS))
+    monkeypatch.setattr(S, "fits_broadcast", lambda *_: False)
+    monkeypatch.setattr(S, "MAX_INLINE_QUERIES", 2)
+    assert rows(S.search_titles(q, catalog(spark), pairs=PAIRS)) == want
+
+
 def test_unified_search(spark):
     content = spark.createDataFrame([("T0251", 1, "观自在<菩萨>"), ("X0001", 2, "自在")], "sutra_id string, juan int, plain_text_sc string")
     both = S.search(queries(spark, "自在", "心經", "自"), catalog(spark), content, lang="sc", to_sc=PAIRS)
