@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import all_of, match_text
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialize
 from .joins import assign_interval
 
 # Dynasties in order with first and last year (BCE negative, shared boundary years).
@@ -127,7 +127,8 @@ def place_persons(
     p = persons.filter(conds).withColumn("eff_year", effective_year().cast("int"))
     cols = ("period_id", "label", "dynasty", "dynasty_order", "start", "end", "is_sub")
     cols = [c for c in cols if c in periods.columns]
-    named = periods.withColumnsRenamed({c: f"p_{c}" for c in cols})
+    # The period table is small but takes several joins to derive; it is read more than once below.
+    named = materialize(periods, "periods").withColumnsRenamed({c: f"p_{c}" for c in cols})
     dated = assign_interval(
         p.filter(F.col("eff_year").isNotNull()), named, "eff_year", "p_start", "p_end",
         [f"p_{c}" for c in ("dynasty_order", "period_id") if c in cols],

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.compat import alternation, as_col, contains_any, strip
 from ..functions.predicates import id_between
 from ..functions.text import core_name, drop_title_prefix, strip_parens, strip_volume_suffix
+from ..session import materialize
 from .firstwins import bounded_groups, keep_first
 from .joins import contained_pairs
 
@@ -109,16 +110,15 @@ def match_titles(originals: DataFrame, commentaries: DataFrame) -> DataFrame:
     equi-join of whole strings with substrings, so only pairs that score are ever formed. A group with
     one original accepts all its commentaries (score 0 where nothing matches).
     """
+    group = originals.groupBy("group_id").agg(F.count(F.lit(1)).alias("_n"))
     o = originals.groupBy("group_id", F.col("title").alias("o_title")).agg(F.count(F.lit(1)).alias("n_originals"))
     c = commentaries.groupBy("group_id", F.col("title").alias("c_title")).agg(F.count(F.lit(1)).alias("n_commentaries"))
-    group = originals.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
-    lone_groups = group.filter("n = 1").select("group_id")
-    many = group.filter("n > 1").select("group_id")
-    lone = c.join(lone_groups, "group_id").join(o, "group_id").withColumn("score", F.lit(0))
-
-    om = o.join(many, "group_id").withColumn("o_core", core_name("o_title"))
-    cm = c.join(many, "group_id").withColumn("c_core", core_name("c_title"))
-    ot, ct = om.select("group_id", "o_title", "o_core"), cm.select("group_id", "c_title", "c_core")
+    # Distinct titles are written once; six branches below read them.
+    o = materialize(o.join(group, "group_id").withColumn("o_core", core_name("o_title")), "originals")
+    c = materialize(c.join(group, "group_id").withColumn("c_core", core_name("c_title")), "commentaries")
+    lone = c.filter("_n = 1").join(o.drop("_n"), "group_id").withColumn("score", F.lit(0))
+    ot = o.filter("_n > 1").select("group_id", "o_title", "o_core")
+    ct = c.filter("_n > 1").select("group_id", "c_title", "c_core")
     pair = ["group_id", "o_title", "c_title"]
 
     stem = F.replace(F.replace(F.col("o_title"), F.lit("佛說"), F.lit("")), F.lit("佛说"), F.lit(""))
@@ -143,9 +143,8 @@ def match_titles(originals: DataFrame, commentaries: DataFrame) -> DataFrame:
     top = scored.groupBy("group_id", "c_title").agg(F.max("score").alias("score"))
     best = scored.join(top, ["group_id", "c_title", "score"])
     best = best.join(o, ["group_id", "o_title"]).join(c, ["group_id", "c_title"])
-    return best.unionByName(lone.select(*best.columns)).select(
-        *pair, "score", "n_originals", "n_commentaries"
-    )
+    cols = [*pair, "score", "n_originals", "n_commentaries"]
+    return best.select(cols).unionByName(lone.select(cols))
 
 
 def match_commentaries(originals: DataFrame, commentaries: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions.compat import WS, strip
 from ..operators import census, joins, search
 from ..operators.mentions import person_mentions, rank_mentions
+from ..session import materialize
 from ..sources.markup import attr, flatten_markup, node_texts, starts
 from .registry import Tables, query
 
@@ -249,9 +250,8 @@ def contains_join(t: Tables) -> DataFrame:
 )
 def mentions(t: Tables) -> DataFrame:
     # A person per word: the first passage that holds it.
-    persons = joins.contains_join(t.benchmark, _names(t), "item_id", "text", "name").select(
-        F.col("item_id").alias("person_id"), "name"
-    )
+    found = joins.contains_join(t.benchmark, _names(t), "item_id", "text", "name")
+    persons = materialize(found.select(F.col("item_id").alias("person_id"), "name"), "persons")
     content = t.documents.select(F.col("source").alias("sutra_id"), F.col("doc_id").alias("juan"), F.col("text").alias("plain_text"))
     return rank_mentions(person_mentions(content, persons), 50)
 
