@@ -73,17 +73,30 @@ def write_index(postings: DataFrame, path: str, doc: str, buckets: int = 64) ->
     ).partitionBy("bucket").parquet(path)
 
 
-def candidates(postings: DataFrame, queries: DataFrame, doc: str) -> DataFrame:
-    """Documents that hold every trigram of a query (at least three characters)."""
-    q = queries.select("query", F.array_distinct(trigrams(F.lower("query"))).alias("_terms"))
+def candidates(postings: DataFrame, queries: DataFrame, doc: str, rarest: int = 3) -> DataFrame:
+    """Documents that may hold a query of at least three characters.
+
+    Only the rarest trigrams of each query are looked up, so the long posting lists of frequent
+    trigrams are counted but never joined; the caller verifies the text, which keeps the result exact.
+    A query with a trigram that no document has finds nothing.
+    """
+    q = queries.select("query", F.array_distinct(text_windows(F.lower("query"), 3, 3)).alias("_terms"))
     terms = q.select("query", F.size("_terms").alias("_need"), F.explode("_terms").alias("term"))
+    on = ["term"]
     if "bucket" in postings.columns:
-        n = postings.select(F.max("bucket") + 1).scalar()
-        terms = terms.withColumn("bucket", F.pmod(F.hash("term"), n))
+        terms = terms.withColumn("bucket", F.pmod(F.hash("term"), postings.select(F.max("bucket") + 1).scalar()))
         on = ["bucket", "term"]
-    else:
-        on = ["term"]
-    hit = postings.join(broadcast_if_small(terms), on)
+    # The terms are measured once; everything joined with the postings is a subset of them.
+    small = F.broadcast if fits_broadcast(terms) else (lambda side: side)
+    sizes = (
+        postings.join(small(terms.select(*on).distinct()), on, "left_semi")
+        .groupBy(*on).agg(F.count(F.lit(1)).alias("_df"))
+    )
+    known = terms.join(sizes, on)
+    whole = known.groupBy("query").agg(F.count(F.lit(1)).alias("_got"), F.first("_need").alias("_need")).filter("_got = _need")
+    picked = top_k(known, ["query"], ["_df", "term"], rarest).join(whole.select("query"), "query", "left_semi")
+    picked = picked.select("query", F.least("_need", F.lit(rarest)).alias("_need"), *on)
+    hit = postings.join(small(picked), on)
     return (
         hit.groupBy("query", doc)
         .agg(F.count(F.lit(1)).alias("_got"), F.first("_need").alias("_need"))
@@ -125,6 +138,18 @@ def snippet(text: Column | str, query: Column | str, width: int = 30) -> Column:
     )
 
 
+def _verified(queries: str, width: int) -> Column:
+    """Those of an array of queries that the text ``_text`` (``_low`` in lower case) holds, with count and snippet."""
+    return F.transform(
+        F.filter(queries, lambda q: F.contains(F.col("_low"), q["needle"])),
+        lambda q: F.struct(
+            q["query"].alias("query"),
+            phrase_count(F.col("_low"), q["needle"]).alias("tf"),
+            snippet(F.col("_text"), q["query"], width).alias("snippet"),
+        ),
+    ).alias("matches")
+
+
 def _matches(content: DataFrame, queries: DataFrame, doc: str, text: str, width: int) -> DataFrame:
     """Documents with their length and the arrays of their matches; the text itself is dropped.
 
@@ -140,14 +165,7 @@ def _matches(content: DataFrame, queries: DataFrame, doc: str, text: str, width:
             doc,
             "n_tokens",
             F.lit(True).alias("is_doc"),
-            F.transform(
-                F.filter("_qs", lambda q: F.contains(F.col("_low"), q["needle"])),
-                lambda q: F.struct(
-                    q["query"].alias("query"),
-                    phrase_count(F.col("_low"), q["needle"]).alias("tf"),
-                    snippet(F.col("_text"), q["query"], width).alias("snippet"),
-                ),
-            ).alias("matches"),
+            _verified("_qs", width),
         )
     hits = occurrences(content.select(doc, F.lower(text).alias("_low")), needle, doc, "_low", "needle", prefix=2)
     per_doc = hits.groupBy(doc, "query").agg(F.count(F.lit(1)).alias("tf"))
@@ -180,19 +198,16 @@ def search_fulltext(
     else:
         postings, docs = index
         long_q = q.filter(F.length("query") >= 3)
-        cand = candidates(postings, long_q, doc).groupBy(doc).agg(F.collect_set("query").alias("_cand"))
-        base = content.select(doc, text).join(cand, doc)
-        low = F.lower(text)
+        cand = candidates(postings, long_q, doc).groupBy(doc).agg(
+            F.collect_set(F.struct("query", F.lower("query").alias("needle"))).alias("_cand")
+        )
+        base = content.select(doc, F.col(text).alias("_text")).join(cand, doc).withColumn("_low", F.lower("_text"))
         verified = base.select(
-            doc, F.greatest(F.length(text) - 2, F.lit(0)).cast("bigint").alias("n_tokens"),
+            doc,
+            F.greatest(F.length("_text") - 2, F.lit(0)).cast("bigint").alias("n_tokens"),
             F.lit(True).alias("is_doc"),
-            F.transform(
-                F.filter("_cand", lambda x: F.contains(low, F.lower(x))),
-                lambda x: F.struct(
-                    x.alias("query"), phrase_count(low, F.lower(x)).alias("tf"), snippet(F.col(text), x, width).alias("snippet")
-                ),
-            ).alias("matches"),
-        )
+            _verified("_cand", width),
+        )
         short_q = q.filter(F.length("query") == 2)
         scanned = _matches(content, short_q, doc, text, width).filter(F.size("matches") > 0)
         rows = materialize(verified.unionByName(scanned), "matches")

@@ -59,7 +59,8 @@ def search_fulltext(t: Tables) -> DataFrame:
 
 @query("search_fulltext_index", _SQL_FULLTEXT)
 def search_fulltext_index(t: Tables) -> DataFrame:
-    index = search.build_trigram_index(t.documents, "doc_id", "text")
+    postings, stats = search.build_trigram_index(t.documents, "doc_id", "text")
+    index = materialize(postings, "postings"), stats
     return search.search_fulltext(t.documents, _long_words(t.benchmark, "text"), index=index)
 
 
