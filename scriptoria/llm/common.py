@@ -105,7 +105,8 @@ def scatter(bucket: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch | None:
 
 def deal(df: DataFrame, spark: SparkSession) -> DataFrame:
     """Deal scattered rows out so that each bucket is in one task."""
-    return df.repartition(tasks(spark), "bucket")
+    n = tasks(spark)
+    return df.repartitionById(n, (F.col("bucket") % n).cast("int"))
 
 
 def gather(batches: Iterator[pa.RecordBatch], **types) -> dict[str, np.ndarray]:

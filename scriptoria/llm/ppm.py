@@ -332,7 +332,7 @@ def score_texts(docs: DataFrame, order: int = ORDER, heads: int = HEADS, block:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), bits_per_byte of every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    both = materialize(docs.mapInArrow(_train(order, 16 * tasks(spark)), TRAINED), "trained")
+    both = materialize(docs.mapInArrow(_train(order, tasks(spark)), TRAINED), "trained")
     trained = materialize(deal(both.where("bucket is not null").select("bucket", "key", "n"), spark).mapInArrow(_sum, "key long, n long"), "trie")
     words = materialize(both.where("bucket is null").groupBy("token").agg(F.sum("times").alias("c")), "tokens")
     fold = F.expr(f"pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), {FOLDS})")

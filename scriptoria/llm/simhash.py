@@ -160,7 +160,7 @@ def links(fps: DataFrame, distance: int = 4, direct: int = DIRECT) -> DataFrame:
     """Links (a, b) between distinct fingerprints that give the components of "at most ``distance`` bits differ"."""
     spark = fps.sparkSession
     radius = -(-(distance // 2) // 2)  # of each side's ball around a half
-    buckets = 16 * tasks(spark)
+    buckets = tasks(spark)
     nodes = fps.select("fp").distinct()
     cells = nodes.mapInArrow(_variants(ball(32, radius), True, buckets), "bucket int, key binary, fp binary")
     found = materialize(deal(cells, spark).mapInArrow(_verify(distance, direct), "a long, b long, hot boolean"), "near")

@@ -320,7 +320,7 @@ def _cut(length: int, bits, fields: str, with_text: bool):
 def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text: also the remaining bytes (kept)."""
     spark = docs.sparkSession
-    buckets = 16 * tasks(spark)
+    buckets = tasks(spark)
     docs = numbered(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     slots = docs.select("text").mapInArrow(_round1(length), "bucket int, slot binary, again binary")
     tab = np.zeros(1 << TABLE_BITS - 3, np.uint8)
