@@ -3,6 +3,7 @@
 from . import (  # noqa: F401
     common,
     ppm,
+    ring,
     simhash,
     suffix_dedup,
 )
