@@ -2,6 +2,7 @@
 
 from . import (  # noqa: F401
     common,
+    mixing,
     ppm,
     ring,
     simhash,
