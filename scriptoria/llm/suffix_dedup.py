@@ -184,15 +184,19 @@ def _round2(length: int, bits, buckets: int):
     return run
 
 
-def _owners(batches):
+def _owners(buckets: int):
     """Earliest document of each neighbourhood: its anchors, told apart by whether the anchor's name has several."""
-    got = gather(batches, name=U64, around=U64, doc=np.int64, pos=np.int32)
-    keep = _first_of_pos(got["doc"], got["pos"], got["name"], got["around"])
-    name, doc, pos = got["name"][keep], got["doc"][keep], got["pos"][keep]
-    new = starts(name)
-    size = np.diff(np.append(np.flatnonzero(new), len(name)))
-    several = (np.repeat(size, size) > 1).astype(np.int64)
-    yield from _per_doc(doc, pos.astype(np.int64) * 2 + several)
+
+    def run(batches):
+        got = gather(batches, name=U64, around=U64, doc=np.int64, pos=np.int32)
+        keep = _first_of_pos(got["doc"], got["pos"], got["name"], got["around"])
+        name, doc, pos = got["name"][keep], got["doc"][keep], got["pos"][keep]
+        new = starts(name)
+        size = np.diff(np.append(np.flatnonzero(new), len(name)))
+        several = (np.repeat(size, size) > 1).astype(np.int64)
+        yield from _marked(doc, pos.astype(np.int64) * 2 + several, buckets)
+
+    return run
 
 
 def _first_of_pos(doc: np.ndarray, pos: np.ndarray, *keys: np.ndarray) -> np.ndarray:
@@ -200,12 +204,20 @@ def _first_of_pos(doc: np.ndarray, pos: np.ndarray, *keys: np.ndarray) -> np.nda
     return order[starts(*[k[order] for k in keys])]
 
 
-def _per_doc(doc: np.ndarray, value: np.ndarray):
-    """One row per document with its values as bytes."""
-    if not len(doc):
-        return
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order].astype(np.int64)
+def _marked(doc: np.ndarray, value: np.ndarray, buckets: int):
+    got = scatter(mix(doc.view(U64)) % U64(buckets), doc=doc, value=value)
+    if got is not None:
+        yield got
+
+
+MARKED = "bucket int, doc binary, value binary"
+
+
+def _per_doc(batches):
+    """One row per document with its marks in order."""
+    got = gather(batches, doc=np.int64, value=np.int64)
+    order = np.lexsort((got["value"], got["doc"]))
+    doc, value = got["doc"][order], got["value"][order]
     cut = np.flatnonzero(np.append(starts(doc), True))
     for i in range(0, len(cut) - 1, 20_000):
         c = cut[i : i + 20_001]
@@ -235,50 +247,56 @@ class Parts:
         self.name = np.repeat(names.name[anchor[several]], count)
 
 
-def _longs(blobs: list | None) -> np.ndarray:
-    return np.sort(np.concatenate([np.frombuffer(b, np.int64) for b in blobs])) if blobs else np.zeros(0, np.int64)
+def _longs(blobs: list, at: np.ndarray) -> np.ndarray:
+    """Marks of several texts (longs or nothing), each moved by its text's place."""
+    some = [np.frombuffer(b, np.int64) + x for b, x in zip(blobs, at.tolist()) if b]
+    return np.concatenate(some) if some else np.zeros(0, np.int64)
 
 
-def _each(batch, length):
-    """Texts of a batch one by one with their names; own: marks of rounds 2 and 3."""
-    texts = Texts(batch.column("text"))
-    for i in range(texts.n):
-        data, bounds = texts.joined(i, i + 1)
-        yield i, data, Names(data, bounds, length)
+def _chunks(batch, length):
+    """Runs of texts with their names, and the anchors that each text owns."""
+    texts, own = Texts(batch.column("text")), batch.column("own").to_pylist()
+    for i, j in texts.chunks(1 << 20):
+        data, bounds = texts.joined(i, j)
+        yield i, j, data, bounds, Names(data, bounds, length), _longs(own[i:j], bounds[:-1] * 2)
 
 
 def _round3(length: int, bits, buckets: int):
     def flush(parts):
         name, full, doc, pos = (np.concatenate(x) for x in zip(*parts))
-        return scatter(mix(name ^ full) % U64(buckets), name=name, full=full, doc=doc, pos=pos)
+        return scatter(mix(name) % U64(buckets), name=name, full=full, doc=doc, pos=pos)
 
     def run(batches):
         parts, held = [], 0
         for batch in batches:
-            ords, own = batch.column("ord").to_numpy(zero_copy_only=False), batch.column("own").to_pylist()
-            for i, data, names in _each(batch, length):
-                if not own[i]:
+            ords = batch.column("ord").to_numpy(zero_copy_only=False)
+            for i, _, _, bounds, names, own in _chunks(batch, length):
+                cut = Parts(names, bits.value, own)
+                if not len(cut.pending):
                     continue
-                cut = Parts(names, bits.value, _longs(own[i]))
-                if len(cut.pending):
-                    full = names.full()[cut.pending]
-                    keep = np.sort(_first_of_pos(np.zeros(len(full), np.int64), cut.pending, cut.name, full))
-                    parts.append((cut.name[keep], full[keep], np.full(len(keep), ords[i]), cut.pending[keep].astype(np.int32)))
-                    held += len(keep)
-                    if held > 2 << 20:
-                        yield flush(parts)
-                        parts, held = [], 0
+                row = np.searchsorted(bounds, cut.pending, side="right") - 1
+                full = names.full()[cut.pending]
+                keep = np.sort(_first_of_pos(row, cut.pending, cut.name, full, row))
+                parts.append((cut.name[keep], full[keep], ords[i + row[keep]], (cut.pending - bounds[row])[keep].astype(np.int32)))
+                held += len(keep)
+                if held > 2 << 20:
+                    yield flush(parts)
+                    parts, held = [], 0
         if held:
             yield flush(parts)
 
     return run
 
 
-def _kept(batches):
-    """Windows that no earlier document has, per document."""
-    got = gather(batches, name=U64, full=U64, doc=np.int64, pos=np.int32)
-    keep = _first_of_pos(got["doc"], got["pos"], got["name"], got["full"])
-    yield from _per_doc(got["doc"][keep], got["pos"][keep])
+def _kept(buckets: int):
+    """Windows that no earlier document has."""
+
+    def run(batches):
+        got = gather(batches, name=U64, full=U64, doc=np.int64, pos=np.int32)
+        keep = _first_of_pos(got["doc"], got["pos"], got["name"], got["full"])
+        yield from _marked(got["doc"][keep], got["pos"][keep].astype(np.int64), buckets)
+
+    return run
 
 
 CUT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -289,30 +307,27 @@ def _cut(length: int, bits, fields: str, with_text: bool):
 
     def run(batches):
         for batch in batches:
-            own, kept = batch.column("own").to_pylist(), batch.column("kept").to_pylist()
-            rows, rests = [], []
-            for i, data, names in _each(batch, length):
-                rest, removed, spans = data, 0, 0
-                if len(names.windows):
-                    cut = Parts(names, bits.value, _longs(own[i]))
-                    gone = cut.pending[~np.isin(cut.pending, _longs(kept[i]))]
-                    if len(cut.first) or len(gone):
-                        step = np.zeros(len(data) + 1, np.int32)
-                        np.add.at(step, cut.first, 1)
-                        np.add.at(step, cut.last + length, -1)
-                        np.add.at(step, gone, 1)
-                        np.add.at(step, gone + length, -1)
-                        drop = np.cumsum(step)[:-1] > 0
-                        rest, removed = data[~drop], int(drop.sum())
-                        spans = int(drop[0]) + int((drop[1:] & ~drop[:-1]).sum())
-                rows.append((len(data), removed, spans, hashlib.sha256(rest.tobytes()).hexdigest()))
+            kept = batch.column("kept").to_pylist()
+            for i, j, data, bounds, names, own in _chunks(batch, length):
+                cut = Parts(names, bits.value, own)
+                gone = cut.pending[~np.isin(cut.pending, _longs(kept[i:j], bounds[:-1]))]
+                step = np.zeros(len(data) + 1, np.int32)
+                np.add.at(step, np.concatenate((cut.first, gone)), 1)
+                np.add.at(step, np.concatenate((cut.last, gone)) + length, -1)
+                drop = np.cumsum(step)[:-1] > 0
+                begins = drop.copy()
+                begins[1:] &= ~drop[:-1]
+                inner = bounds[1:-1][bounds[1:-1] < len(data)]
+                begins[inner] = drop[inner]
+                removed, spans = (np.diff(np.append(0, np.cumsum(x))[bounds]) for x in (drop, begins))
+                rests = np.append(0, np.cumsum(~drop))[bounds]
+                raw = data[~drop].tobytes()
+                rest = [raw[s:e] for s, e in zip(rests[:-1].tolist(), rests[1:].tolist())]
+                out = record(schema, n_bytes=np.diff(bounds), n_removed=removed, n_spans=spans, kept_sha256=[hashlib.sha256(x).hexdigest() for x in rest])
+                arrays, heads = [batch.column(fields).slice(i, j - i), *out.columns], [fields, *schema.names]
                 if with_text:
-                    rests.append(rest.tobytes())
-            out = record(schema, **dict(zip(schema.names, zip(*rows))))
-            arrays, heads = [batch.column(fields), *out.columns], [fields, *schema.names]
-            if with_text:
-                arrays, heads = [*arrays, pa.array(rests, pa.binary())], [*heads, "kept"]
-            yield pa.RecordBatch.from_arrays(arrays, heads)
+                    arrays, heads = [*arrays, pa.array(rest, pa.binary())], [*heads, "kept"]
+                yield pa.RecordBatch.from_arrays(arrays, heads)
 
     return run
 
@@ -328,13 +343,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False)
     for row in deal(slots, spark).mapInArrow(_twice, "rng int, bits binary").toLocalIterator():  # RANGES rows of fixed size
         tab[row.rng * part : (row.rng + 1) * part] = np.frombuffer(row.bits, np.uint8)
     bits = spark.sparkContext.broadcast(tab)
-    marks = "ord long, marks binary"
     areas = docs.select("ord", "text").mapInArrow(_round2(length, bits, buckets), "bucket int, name binary, around binary, doc binary, pos binary")
-    owners = deal(areas, spark).mapInArrow(_owners, marks).groupBy("ord").agg(F.collect_list("marks").alias("own"))
-    owned = materialize(owners, "owners")
+    owners = deal(areas, spark).mapInArrow(_owners(buckets), MARKED)
+    owned = materialize(deal(owners, spark).mapInArrow(_per_doc, "ord long, marks binary").withColumnRenamed("marks", "own"), "owners")
     both = docs.join(owned, "ord", "left")
-    wide = both.where("own is not null").select("ord", "text", "own").mapInArrow(_round3(length, bits, buckets), "bucket int, name binary, full binary, doc binary, pos binary")
-    kept = materialize(deal(wide, spark).mapInArrow(_kept, marks).groupBy("ord").agg(F.collect_list("marks").alias("kept")), "kept")
+    wide = docs.join(owned, "ord").select("ord", "text", "own").mapInArrow(_round3(length, bits, buckets), "bucket int, name binary, full binary, doc binary, pos binary")
+    left = deal(wide, spark).mapInArrow(_kept(buckets), MARKED)
+    kept = materialize(deal(left, spark).mapInArrow(_per_doc, "ord long, marks binary").withColumnRenamed("marks", "kept"), "kept")
     last = both.join(kept, "ord", "left").select("doc_id", "text", "own", "kept")
     return last.mapInArrow(_cut(length, bits, "doc_id", with_text), f"doc_id long, {CUT}" + ", kept binary" * with_text)
 
