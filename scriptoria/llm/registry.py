@@ -2,6 +2,8 @@
 
 from . import (  # noqa: F401
     common,
+    decontaminate,
+    fertility,
     mixing,
     ppm,
     ring,
