@@ -9,6 +9,7 @@ from . import (  # noqa: F401
     ring,
     simhash,
     suffix_dedup,
+    wrappers,
 )
 
 
