@@ -4,8 +4,10 @@ from . import (  # noqa: F401
     common,
     decontaminate,
     fertility,
+    licenses,
     mixing,
     ppm,
+    private,
     ring,
     simhash,
     suffix_dedup,

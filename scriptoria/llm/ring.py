@@ -58,8 +58,8 @@ def place(counts: list[int], owner: list[int], bounds: list[int]) -> list[tuple[
     return runs
 
 
-def shard_rows(docs: DataFrame, shards: int = 40, vnodes: int = VNODES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with size, text_crc32, shard and slot."""
+def shard_rows(docs: DataFrame, shards: int = 40, vnodes: int = VNODES, key: str = "doc_id", text: str = "text", columns: list[str] | None = None) -> DataFrame:
+    """All columns of ``docs`` (or ``columns``) with size, text_crc32, shard and slot."""
     spark = docs.sparkSession
     points = ring(shards, vnodes)
     positions = [p for p, _ in points]
@@ -77,6 +77,8 @@ def shard_rows(docs: DataFrame, shards: int = 40, vnodes: int = VNODES, key: str
         .withColumn("_part", F.pmod(F.xxhash64(key, "text_crc32", F.monotonically_increasing_id()), F.lit(SALT)))
         .drop("before", "points")
     )
+    kept = docs.columns if columns is None else columns
+    placed = placed.select(*dict.fromkeys([*kept, key]), "size", "text_crc32", "_at", "prefix", "_arc", "_part")
     placed = materialize(placed, "placed")
     cell = ["_arc", "prefix", "_part"]
     sizes = placed.groupBy(cell).count().orderBy(cell).collect()  # at most SALT * (points + 2 ** PREFIX_BITS) rows
@@ -91,11 +93,11 @@ def shard_rows(docs: DataFrame, shards: int = 40, vnodes: int = VNODES, key: str
     ranked = placed.withColumn("_n", F.expr(f"row_number() over (partition by _arc, prefix, _part order by _at, `{key}`, text_crc32) - 1"))
     ranked = ranked.join(F.broadcast(offsets), cell).withColumn("_rank", F.col("_n") + F.col("_before"))
     found = ranked.join(F.broadcast(spans), "_arc").where("_rank >= _lo and _rank < _hi").withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_lo"))
-    return found.select(*docs.columns, "size", "text_crc32", "shard", "slot")
+    return found.select(*kept, "size", "text_crc32", "shard", "slot")
 
 
 @query("op9_ring")
 def op9(spark, sf_dir):
     """Shard and slot of every document; counts of the 40 shards differ by one at most."""
-    found = shard_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = shard_rows(table(spark, sf_dir, "documents"), columns=["doc_id"])
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
