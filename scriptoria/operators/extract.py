@@ -196,8 +196,16 @@ def extract_toc(pos: DataFrame) -> DataFrame:
     ).filter(F.col("title") != "")
 
 
-def extract_apparatus(pos: DataFrame) -> DataFrame:
-    """Variant apparatus: base reading and array of variant readings, from the back matter when there is one."""
+def extract_apparatus(pos: DataFrame, initial: int = 1) -> DataFrame:
+    """Variant apparatus: base reading and array of variant readings, from the back matter when there is one.
+
+    An entry in the back matter belongs to the volume of the anchor or line mark that its ``from`` names, else to the
+    initial volume.
+    """
+    body = starts(pos, "anchor", "lb").filter(F.col("region") == "body")
+    name = F.when(F.col("tag") == "anchor", attr("id")).otherwise(attr("n"))
+    anchors = body.select("doc_path", name.alias("_ref"), "juan", "seq").filter(F.col("_ref") != "")
+    anchors = anchors.groupBy("doc_path", "_ref").agg(F.min_by("juan", "seq").alias("_at"))
     pos = pos.filter(F.col("region") == F.when(F.col("has_back"), "back").otherwise("body"))
     parts = node_texts(pos, "lem", "rdg").filter(child_of("app")).select(
         "doc_path",
@@ -206,7 +214,9 @@ def extract_apparatus(pos: DataFrame) -> DataFrame:
         F.when(F.col("tag") == "rdg", F.struct("seq", attr("wit").alias("wit"), strip("text").alias("text"))).alias("rdg"),
     )
     # Start tags of <app> join the same aggregation as one more row per node.
-    apps = starts(pos, "app").select("doc_path", "node_id", F.struct("seq", "juan", "attrs").alias("app"))
+    apps = starts(pos, "app").withColumn("_ref", F.ltrim(attr("from"), F.lit("#"))).join(anchors, ["doc_path", "_ref"], "left")
+    volume = F.when(F.col("region") == "back", F.coalesce("_at", F.lit(initial))).otherwise(F.col("juan"))
+    apps = apps.select("doc_path", "node_id", F.struct("seq", volume.alias("juan"), "attrs").alias("app"))
     grouped = (
         apps.unionByName(parts, allowMissingColumns=True)
         .groupBy("doc_path", "node_id")
@@ -265,12 +275,20 @@ def classify_notes(pos: DataFrame) -> DataFrame:
 
 
 def link_apparatus_notes(apparatus: DataFrame, notes: DataFrame) -> DataFrame:
-    """Left-join each apparatus entry with the first kept note that is paired by number."""
-    paired = notes.filter((F.col("note_class") == "paired") & (F.col("n") != ""))
-    first = paired.groupBy("doc_path", "juan", "n").agg(
-        F.min("note_idx").alias("note_idx"), F.min_by("content", "note_idx").alias("note_text")
-    )
-    return apparatus.join(first, ["doc_path", "juan", "n"], "left")
+    """Left-join each apparatus entry with the first kept note of its number.
+
+    A note of the entry's own volume comes first, and there one that stands before its apparatus (``paired``). Another
+    volume's note is taken only if no second volume of the document has that number.
+    """
+    kept = notes.filter(F.col("kept") & (F.col("n") != ""))
+    order = F.struct((F.col("note_class") != "paired").alias("apart"), "seq")
+    first = kept.groupBy("doc_path", "n", F.col("juan").alias("_juan")).agg(F.min_by(F.struct("note_idx", F.col("content").alias("note_text")), order).alias("_note"))
+    first = first.withColumn("_volumes", F.count(F.lit(1)).over(Window.partitionBy("doc_path", "n")))
+    entry = ["doc_path", "seq"]
+    own = F.col("_juan") == F.col("juan")
+    pairs = apparatus.select(*entry, "juan", "n").join(first, ["doc_path", "n"]).filter(own | (F.col("_volumes") == 1))
+    best = pairs.groupBy(*entry).agg(F.max_by("_note", own).alias("_note"))
+    return apparatus.join(best, entry, "left").select(*apparatus.columns, "_note.note_idx", "_note.note_text")
 
 
 def extract_parallel_terms(pos: DataFrame) -> DataFrame:

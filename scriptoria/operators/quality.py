@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.compat import as_col
-from ..functions.text import normalize_for_compare
+from ..functions.text import drop_ws, normalize_for_compare
 from ..sources.markup import attr, starts
 from .extract import extract_apparatus, extract_notes
 from .joins import full_outer_counts
@@ -30,10 +27,7 @@ PNG_MAGIC = "89504E470D0A1A0A"
 # Bands of agreement with a reference edition.
 MATCH_BANDS = [(0.99, "match"), (0.95, "close")]
 
-DIFF_DDL = (
-    "ratio double, left_len int, right_len int, diffs array<struct<op:string,position:int,left_text:string,"
-    "right_text:string,left_context:string,right_context:string>>"
-)
+SEGMENT_END = r"[.!?\n。！？；]+"
 
 
 # -- reconciliation --------------------------------------------------------------------------------
@@ -102,47 +96,41 @@ def verification_summary(df: DataFrame, status: str = "status") -> DataFrame:
 # -- edition comparison ----------------------------------------------------------------------------
 
 
-def _diff(a: str, b: str, context: int) -> dict:
-    matcher = difflib.SequenceMatcher(None, a, b)
-    diffs = []
-    for op, i1, i2, j1, j2 in matcher.get_opcodes():
-        if op != "equal":
-            diffs.append(
-                {
-                    "op": op,
-                    "position": i1,
-                    "left_text": a[i1:i2],
-                    "right_text": b[j1:j2],
-                    "left_context": f"{a[max(0, i1 - context):i1]}【{a[i1:i2]}】{a[i2:i2 + context]}",
-                    "right_context": f"{b[max(0, j1 - context):j1]}【{b[j1:j2]}】{b[j2:j2 + context]}",
-                }
-            )
-    return {"ratio": matcher.ratio(), "left_len": len(a), "right_len": len(b), "diffs": diffs}
-
-
 def compare_texts(
-    left: DataFrame, right: DataFrame, keys, left_text: str, right_text: str, context: int = 10, normalize: bool = True
+    left: DataFrame, right: DataFrame, keys, left_text: str, right_text: str, pattern: str = SEGMENT_END, normalize: bool = True
 ) -> DataFrame:
-    """Character agreement of two editions per key: ratio, band and the differences with context.
+    """Agreement of two editions per key, aligned by sentence.
 
-    Equal texts are recognised in the JVM; only differing pairs go through the matcher.
+    Texts are cut at ``pattern``; a segment is normalised and equal segments of both sides are paired one to one, wherever
+    they stand. ``ratio`` is twice the characters of the paired segments over the characters of both sides (1 if both are
+    empty). ``diffs`` lists the segments left over on one side, in order, with the number of times. Rows of one key are
+    aggregated per segment before they meet, so only unequal segments are gathered.
     """
     keys = list(keys)
-    norm = normalize_for_compare if normalize else as_col
-    pairs = left.select(*keys, norm(left_text).alias("a")).join(right.select(*keys, norm(right_text).alias("b")), keys)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*keys).schema)
-
-    def run(batches):
-        for pdf in batches:
-            res = pd.DataFrame([_diff(a, b, context) for a, b in zip(pdf["a"], pdf["b"])], columns=["ratio", "left_len", "right_len", "diffs"])
-            yield pd.concat([pdf[keys].reset_index(drop=True), res], axis=1)
-
-    differ = pairs.filter(F.col("a") != F.col("b")).mapInPandas(run, f"{fields}, {DIFF_DDL}")
-    same = pairs.filter(F.col("a") == F.col("b")).select(
-        *keys, F.lit(1.0).alias("ratio"), F.length("a").alias("left_len"), F.length("b").alias("right_len"),
-        F.array().cast(differ.schema["diffs"].dataType).alias("diffs"),
+    norm = normalize_for_compare if normalize else drop_ws
+    both = left.select(*keys).distinct().join(right.select(*keys).distinct(), keys)
+
+    def segments(df: DataFrame, text: str, side: int) -> DataFrame:
+        cut = df.select(*keys, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), pattern)).alias("position", "_raw"))
+        one = cut.select(*keys, "position", norm("_raw").alias("segment")).filter(F.col("segment") != "")
+        return one.withColumn("l", F.lit(1 - side)).withColumn("r", F.lit(side))
+
+    rows = segments(left, left_text, 0).unionByName(segments(right, right_text, 1)).withColumn("_h", F.xxhash64("segment"))
+    counted = rows.groupBy(*keys, "_h", "segment").agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.min("position").alias("position"))
+    size, extra = F.length("segment"), F.col("l") - F.col("r")
+    diff = F.struct("position", F.when(extra > 0, "removed").otherwise("added").alias("op"), F.abs(extra).alias("times"), F.col("segment").alias("text"))
+    found = counted.groupBy(*keys).agg(
+        F.sum(F.least("l", "r") * size).alias("_paired"),
+        F.sum(F.col("l") * size).alias("left_len"),
+        F.sum(F.col("r") * size).alias("right_len"),
+        F.array_sort(F.collect_list(F.when(extra != 0, diff))).alias("diffs"),
+    )
+    total = F.col("left_len") + F.col("right_len")
+    out = both.join(found, keys, "left").select(
+        *keys, F.coalesce(2 * F.col("_paired") / total, F.lit(1.0)).alias("ratio"),
+        *[F.coalesce(n, F.lit(0).cast("bigint")).alias(n) for n in ("left_len", "right_len")],
+        F.coalesce("diffs", F.array().cast(found.schema["diffs"].dataType)).alias("diffs"),
     )
-    out = differ.unionByName(same)
     band = F.lit("differs")
     for floor, name in reversed(MATCH_BANDS):
         band = F.when(F.col("ratio") >= floor, name).otherwise(band)

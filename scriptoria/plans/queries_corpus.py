@@ -11,7 +11,9 @@ from ..operators import census
 from ..operators import extract as X
 from ..operators import quality as Q
 from ..operators.firstwins import carry_forward, keep_first, keep_last, next_sibling, number_rows, runs
+from ..session import scratch_path
 from ..sinks import render as R
+from ..sinks.tables import read_table, write_corpus
 from ..sources.markup import attr, starts
 from .corpus import build_tables, parse_corpus
 from .registry import Tables, query
@@ -346,3 +348,62 @@ def carry(t: Tables) -> DataFrame:
 def run_lengths(t: Tables) -> DataFrame:
     r = runs(t.events, ["user_id"], "event_id", F.col("event_type").isin("view", "click"), chunk=100_000)
     return r.groupBy("user_id", "run_start").agg(F.count(F.lit(1)).alias("n_rows"), F.max("event_id").alias("run_end"))
+
+
+def back_documents(t: Tables) -> DataFrame:
+    """Each document as a file of volumes of ten lines whose apparatus stands in the back matter, tied to anchors."""
+    clean = F.regexp_replace("text", r"[\x00-\x08\x0B-\x1F]", " ")
+    lines = F.split(clean, "\n")
+
+    def line(s, i):
+        mark = F.when(i % LINES_PER_VOLUME == 0, F.concat(F.lit('<milestone unit="juan" n="'), (i / LINES_PER_VOLUME + 1).cast("int"), F.lit('"/>')))
+        note = F.when(F.length(s) > 400, F.concat(F.lit('<note type="mod" n="'), i % LINES_PER_VOLUME + 1, F.lit('">'), F.length(s), F.lit("</note>")))
+        return F.concat(F.coalesce(mark, F.lit("")), F.lit('<p><anchor xml:id="a'), i, F.lit('"/>'), F.coalesce(note, F.lit("")), escape_html(s), F.lit("</p>"))
+
+    def app(s, i):
+        return F.concat(F.lit('<app from="#a'), i, F.lit('" n="'), i % LINES_PER_VOLUME + 1, F.lit('"><lem>'), F.length(s), F.lit("</lem></app>"))
+
+    number = F.lpad(F.col("doc_id").cast("string"), 7, "0")
+    head = F.concat(F.lit('<TEI xml:id="T01n'), number, F.lit('"><text><body>'))
+    content = F.concat(head, F.array_join(F.transform(lines, line), ""), F.lit("</body><back>"), F.array_join(F.transform(lines, app), ""), F.lit("</back></text></TEI>"))
+    return t.documents.select(number.alias("doc_path"), content.alias("content"))
+
+
+@query(
+    "apparatus_back",
+    f"WITH {_SQL_LINES} SELECT doc_id, juan, ((i - 1) % 10 + 1)::VARCHAR AS n, length(s)::VARCHAR AS lem_text FROM marked",
+)
+def apparatus_back(t: Tables) -> DataFrame:
+    found = X.extract_apparatus(parse_corpus(back_documents(t)))
+    return found.select(F.col("doc_path").cast("bigint").alias("doc_id"), "juan", "n", "lem_text")
+
+
+@query(
+    "apparatus_notes",
+    f"""
+    WITH {_SQL_LINES}, k AS (SELECT doc_id, juan, (i - 1) % 10 + 1 AS n, length(s) AS z FROM marked),
+    v AS (SELECT doc_id, n, count(*) AS c, max(z) AS z FROM k WHERE z > 400 GROUP BY ALL)
+    SELECT k.doc_id, k.juan, k.n::VARCHAR AS n, (CASE WHEN k.z > 400 THEN k.z WHEN v.c = 1 THEN v.z END)::VARCHAR AS note_text FROM k LEFT JOIN v USING (doc_id, n)
+    """,
+)
+def apparatus_notes(t: Tables) -> DataFrame:
+    pos = parse_corpus(back_documents(t))
+    found = X.link_apparatus_notes(X.extract_apparatus(pos), X.classify_notes(pos))
+    return found.select(F.col("doc_path").cast("bigint").alias("doc_id"), "juan", "n", "note_text")
+
+
+@query(
+    "load_twice",
+    f"""
+    WITH {_SQL_LINES}
+    SELECT sutra_id, juan, CASE WHEN (sutra_id LIKE '%0') THEN 'again' ELSE coalesce(string_agg(CASE WHEN NOT is_head THEN s END, '' ORDER BY i), '') END AS plain_text
+    FROM marked GROUP BY ALL
+    """,
+)
+def load_twice(t: Tables) -> DataFrame:
+    """All works are loaded, then those whose number ends in 0 once more with another text, and the table read back."""
+    path = scratch_path(t.spark, "load")
+    content = build_tables(parsed(t))["content"].select("sutra_id", F.substring("sutra_id", 1, 2).alias("canon"), "juan", "plain_text")
+    write_corpus({"content": content}, path)
+    write_corpus({"content": content.filter(F.endswith("sutra_id", F.lit("0"))).withColumn("plain_text", F.lit("again"))}, path)
+    return read_table(t.spark, path, "content").select("sutra_id", "juan", "plain_text")

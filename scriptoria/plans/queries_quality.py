@@ -101,26 +101,74 @@ def verification_summary(t: Tables) -> DataFrame:
     return Q.verification_summary(Q.reconcile_counts(a, b, "doc_id", ["chars"]))
 
 
-@query("compare_texts")
+def _sql_compare(pairs: str, keys: str) -> str:
+    """Agreement of the pairs (keys, a, b) by segments."""
+    return f"""
+    WITH p AS ({pairs}),
+    g AS (SELECT {keys}, 1 AS l, 0 AS r, unnest(string_split_regex(a, '[.!?\\n。！？；]+')) AS s FROM p
+          UNION ALL SELECT {keys}, 0, 1, unnest(string_split_regex(b, '[.!?\\n。！？；]+')) FROM p),
+    n AS (SELECT {keys}, l, r, regexp_replace(s, '[{WS}]+', '', 'g') AS s FROM g),
+    c AS (SELECT {keys}, s, sum(l) AS l, sum(r) AS r FROM n WHERE s <> '' GROUP BY ALL),
+    f AS (SELECT {keys}, sum(least(l, r) * length(s)) AS m, sum(l * length(s)) AS ll, sum(r * length(s)) AS rl, count(*) FILTER (l <> r) AS d FROM c GROUP BY ALL),
+    x AS (SELECT {keys}, coalesce(2 * m / (ll + rl), 1.0) AS ratio, coalesce(ll, 0)::BIGINT AS left_len, coalesce(rl, 0)::BIGINT AS right_len, coalesce(d, 0) AS n_diffs
+          FROM p LEFT JOIN f USING ({keys}))
+    SELECT {keys}, round(ratio, 6) AS ratio, left_len, right_len, n_diffs::INTEGER AS n_diffs,
+      CASE WHEN ratio >= 0.99 THEN 'match' WHEN ratio >= 0.95 THEN 'close' ELSE 'differs' END AS band FROM x
+    """
+
+
+def _compared(a: DataFrame, b: DataFrame, keys) -> DataFrame:
+    got = Q.compare_texts(a, b, keys, "a", "b", normalize=False)
+    return got.select(*keys, F.round("ratio", 6).alias("ratio"), "left_len", "right_len", F.size("diffs").alias("n_diffs"), "band")
+
+
+@query(
+    "compare_texts",
+    _sql_compare("SELECT x.conv_id, x.turn, x.text AS a, y.text AS b FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn + 2", "conv_id, turn"),
+)
 def compare_texts(t: Tables) -> DataFrame:
-    """Each user turn of a conversation against the next user turn, as two editions of one text."""
-    c = t.conversations.filter("role = 'user'")
+    """Each turn of a conversation against the same role's next turn, as two editions of one text."""
+    c = t.conversations
     a = c.select("conv_id", "turn", F.col("text").alias("a"))
     b = c.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("text").alias("b"))
-    got = Q.compare_texts(a, b, ["conv_id", "turn"], "a", "b")
-    return got.select("conv_id", "turn", F.round("ratio", 6).alias("ratio"), "left_len", "right_len", F.size("diffs").alias("n_diffs"), "band")
+    return _compared(a, b, ["conv_id", "turn"])
+
+
+@query(
+    "compare_documents",
+    _sql_compare("SELECT x.doc_id, x.text AS a, y.text AS b FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1", "doc_id"),
+)
+def compare_documents(t: Tables) -> DataFrame:
+    """Each document against the next one by id."""
+    a = t.documents.select("doc_id", F.col("text").alias("a"))
+    b = t.documents.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("b"))
+    return _compared(a, b, ["doc_id"])
+
+
+@query(
+    "comparison_summary",
+    "WITH r AS (" + _sql_compare("SELECT x.doc_id, x.text AS a, y.text AS b FROM documents x JOIN documents y ON y.doc_id = x.doc_id + 1", "doc_id") + """)
+    SELECT count(*) AS pairs, sum(n_diffs)::BIGINT AS total_diffs, round(avg(ratio), 5) AS avg_ratio, min(ratio) AS min_ratio, max(ratio) AS max_ratio,
+      count(*) FILTER (band = 'match') AS passed FROM r""",
+)
+def comparison_summary(t: Tables) -> DataFrame:
+    a = t.documents.select("doc_id", F.col("text").alias("a"))
+    b = t.documents.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("b"))
+    got = Q.comparison_summary(Q.compare_texts(a, b, ["doc_id"], "a", "b", normalize=False))
+    return got.select("pairs", "total_diffs", F.round("avg_ratio", 5).alias("avg_ratio"), F.round("min_ratio", 6).alias("min_ratio"), F.round("max_ratio", 6).alias("max_ratio"), "passed")
 
 
 @query(
     "compare_copies",
     f"""
     WITH d AS (SELECT text, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY text HAVING count(*) > 1)
-    SELECT first_id, last_id, 1.0::DOUBLE AS ratio, 'match' AS band, length(regexp_replace(text, '[{WS}]+', '', 'g')) AS n_chars FROM d
+    SELECT first_id, last_id, 1.0::DOUBLE AS ratio, 'match' AS band, length(regexp_replace(text, '[.!?\\n。！？；{WS}]+', '', 'g')) AS n_chars FROM d
     """,
 )
 def compare_copies(t: Tables) -> DataFrame:
-    same = t.documents.groupBy("text").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    h = F.sha2(F.col("text"), 256)
+    same = t.documents.groupBy(h.alias("h")).agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     keys = ["first_id", "last_id"]
-    a = same.select(*keys, drop_ws("text").alias("a"))
-    b = same.join(t.documents.select(F.col("doc_id").alias("last_id"), F.col("text").alias("t2")), "last_id").select(*keys, drop_ws("t2").alias("b"))
+    a = same.join(t.documents.select(F.col("doc_id").alias("first_id"), F.col("text").alias("a")), "first_id").select(*keys, "a")
+    b = same.join(t.documents.select(F.col("doc_id").alias("last_id"), F.col("text").alias("b")), "last_id").select(*keys, "b")
     return Q.compare_texts(a, b, keys, "a", "b", normalize=False).select(*keys, "ratio", "band", F.col("left_len").alias("n_chars"))

@@ -2,17 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
 
-def write_corpus(tables: dict[str, DataFrame], path: str, partition: str = "canon") -> None:
-    """Write tables partitioned by canon; a rerun replaces only the canons it holds.
+def write_corpus(tables: dict[str, DataFrame], path: str, partition: str = "canon", key: str = "sutra_id") -> None:
+    """Write tables partitioned by canon; a rerun replaces exactly the works it loads.
 
-    Rows are spread by partition value and a hash of the rest, so one large canon is written by many
-    tasks.
+    The works are those of all given tables. Stored rows of other works in the same canons are read back, joined to the
+    new rows and written with them, so only the canons at hand are rewritten; a canon left without rows is removed. Rows
+    are spread by partition value and a hash of the rest, so one large canon is written by many tasks.
     """
+    spark = next(iter(tables.values())).sparkSession
+    ids = [df.select(partition, key) for df in tables.values() if {partition, key} <= set(df.columns)]
+    works = materialize(reduce(DataFrame.unionByName, ids).distinct(), "works") if ids else None
     for name, df in tables.items():
+        target = f"{path}/{name}"
+        if works is not None and key in df.columns and _exists(spark, target):
+            stored = spark.read.option("mergeSchema", True).parquet(target).withColumn(partition, F.col(partition).cast("string"))
+            others = stored.join(works.select(partition).distinct(), partition, "left_semi").join(works, [partition, key], "left_anti")
+            df = materialize(df.unionByName(others, allowMissingColumns=True), "corpus")  # before its source is replaced
+            for row in works.select(partition).distinct().join(df.select(partition).distinct(), partition, "left_anti").collect():  # canons
+                old = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{partition}={row[0]}")
+                old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
         rest = [c for c in df.columns if c != partition and df.schema[c].dataType.typeName() not in ("map", "variant")]
         spread = F.pmod(F.xxhash64(*rest), F.lit(64))
         (
@@ -20,7 +41,7 @@ def write_corpus(tables: dict[str, DataFrame], path: str, partition: str = "cano
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(partition)
-            .parquet(f"{path}/{name}")
+            .parquet(target)
         )
 
 

@@ -100,6 +100,18 @@ def test_note_classes(spark):
     assert rows(app, "n", "note_idx", "note_text") == [("1", 1, "m")]
 
 
+def test_back_matter_belongs_to_the_volume_of_its_anchor(spark):
+    xml = (
+        '<TEI><text><body><milestone unit="juan" n="1"/><p><anchor xml:id="a1"/><note n="1" type="mod">one</note></p><lb n="0002"/>'
+        '<milestone unit="juan" n="2"/><p><anchor xml:id="a2"/><note n="1" type="mod">two</note><note n="2" type="mod">only</note></p></body><back>'
+        "<app from='#a1' n='1'><lem>x</lem></app><app from='#a2' n='1'><lem>y</lem></app><app from='#0002' n='2'><lem>z</lem></app><app from='#zz' n='3'><lem>w</lem></app>"
+        "</back></text></TEI>"
+    )
+    pos = parse_corpus(docs(spark, ("f", xml)))
+    app = X.link_apparatus_notes(X.extract_apparatus(pos), X.classify_notes(pos))
+    assert rows(app, "lem_text", "juan", "note_text") == [("w", 1, None), ("x", 1, "one"), ("y", 2, "two"), ("z", 1, "only")]
+
+
 def test_back_matter_apparatus_is_preferred(spark):
     xml = (
         "<TEI><text><body><app><lem>x</lem></app></body><back><app from='#b1' n='2'><lem>y</lem><rdg wit='W'>z</rdg></app>"

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 from test_markup import TEI
@@ -10,6 +11,7 @@ from scriptoria.operators.catalog import notes_for
 from scriptoria.operators.tree import nav_quality
 from scriptoria.plans.corpus import build_tables, parse_corpus
 from scriptoria.sinks import render as R
+from scriptoria.session import shared_dir
 from scriptoria.sinks import tables as T
 from scriptoria.sources import catalogs, corpus, documents, lexicons, navigation
 from scriptoria.sources.markup import flatten_markup
@@ -37,6 +39,25 @@ def test_corpus_write_is_idempotent(spark, tmp_path):
     T.write_corpus({k: t[k] for k in ("catalog", "content")}, out)
     T.write_corpus({"content": t["content"].filter("canon = 'T'")}, out)
     assert rows(T.read_table(spark, out, "content"), "sutra_id", "juan") == [("T0251", 1), ("T0251", 2), ("X0001", 1), ("X0001", 2)]
+    more = build_tables(parse_corpus(spark.createDataFrame([("f3", TEI.format(id="T08n0252"))], "doc_path string, content string")))
+    T.write_corpus({k: more[k] for k in ("catalog", "content")}, out)
+    one = build_tables(parse_corpus(spark.createDataFrame([("f1", "<TEI xml:id='T08n0251'><text><body><p>x</p></body></text></TEI>")], "doc_path string, content string")))
+    T.write_corpus({k: one[k] for k in ("catalog", "content", "notes")}, out)
+    assert rows(T.read_table(spark, out, "content"), "sutra_id", "juan") == [("T0251", 1), ("T0252", 1), ("T0252", 2), ("X0001", 1), ("X0001", 2)]
+    assert rows(T.read_table(spark, out, "catalog"), "sutra_id") == [("T0251",), ("T0252",), ("X0001",)]
+
+
+def test_cluster_needs_a_shared_folder():
+    class Stub:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Stub)
 
 
 def test_reconciliation_passes_on_own_tables(spark):
@@ -175,12 +196,11 @@ def test_indexes(spark):
 
 
 def test_quality(spark, tmp_path):
-    a = spark.createDataFrame([(1, "甲乙丙丁"), (2, "同")], "k int, a string")
-    b = spark.createDataFrame([(1, "甲乙戊丁"), (2, "同，")], "k int, b string")
+    a = spark.createDataFrame([(1, "甲乙。丙丁。甲乙。"), (2, "同"), (3, ""), (4, "獨")], "k int, a string")
+    b = spark.createDataFrame([(1, "甲乙。戊丁。"), (2, "同，"), (3, None), (5, "x")], "k int, b string")
     c = Q.compare_texts(a, b, ["k"], "a", "b")
-    assert rows(c, "k", "ratio", "band") == [(1, 0.75, "differs"), (2, 1.0, "match")]
-    d = c.filter("k = 1").first().diffs[0]
-    assert (d.op, d.left_context, d.right_context) == ("replace", "甲乙【丙】丁", "甲乙【戊】丁")
+    assert rows(c, "k", "ratio", "left_len", "right_len", "band") == [(1, 0.4, 6, 4, "differs"), (2, 1.0, 1, 1, "match"), (3, 1.0, 0, 0, "match")]
+    assert [(d.op, d.times, d.text) for d in c.filter("k = 1").first().diffs] == [("removed", 1, "甲乙"), ("added", 1, "戊丁"), ("removed", 1, "丙丁")]
     t = spark.createDataFrame([(1, "文＝辯【宋】文"), (2, "x #CB12"), (3, "ok")], "i int, text string")
     assert rows(Q.detect_leaks(t), "i", "leak", "unresolved_glyph") == [(1, "校勘替换式", False), (2, None, True)]
     sup = spark.createDataFrame([(0x4E00, 0x9FFF), (32, 126)], "lo int, hi int")
