@@ -22,9 +22,12 @@ extra columns are ignored by the fit and kept by ``apply``.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from functools import reduce
+from operator import add
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, UnivariateFeatureSelector
+from pyspark.ml.feature import HashingTF, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +38,7 @@ from .common import query, table
 DOMAINS = ("clean", "junk", "toxic")
 SLOTS = 1 << 16  # of hashed words; with the domains the size of the model
 TRAIN_ROWS = 20_000
-CHANCE = 1e-5  # slots are features if their presence depends on the domain at this level (chi-squared test)
+CRITICAL = 23.0  # of the chi-squared statistic: chance 1e-5 with three domains
 WEIGHTS = {"clean": 0.96, "junk": 0.03, "toxic": 0.01}
 ROUNDS = 60
 
@@ -59,6 +62,18 @@ def _features(docs: DataFrame, slots: int) -> DataFrame:
     return HashingTF(inputCol="words", outputCol="features", binary=True, numFeatures=slots).transform(docs)
 
 
+def telling(sample: DataFrame, size: dict[str, int]) -> list[int]:
+    """Slots whose presence depends on the domain, by the chi-squared statistic of the table presence x domain."""
+    entries = F.from_json(F.to_json(F.struct("features")), "features struct<indices:array<int>>")["features"]["indices"]
+    seen = sample.select("domain", F.explode(entries).alias("slot"))
+    count = seen.groupBy("slot").pivot("domain", list(size)).count().na.fill(0)
+    n, found = sum(size.values()), reduce(add, [F.col(d) for d in size])
+    share = found / n
+    parts = [(F.col(d) - share * k) ** 2 / (share * k) + (F.col(d) - share * k) ** 2 / ((1 - share) * k) for d, k in size.items()]
+    rows = count.where((found < n) & (reduce(add, parts) >= CRITICAL)).select("slot").collect()  # at most as many as slots
+    return sorted(r.slot for r in rows)
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, slots: int = SLOTS) -> tuple[PipelineModel | None, dict[str, float]]:
     """The classifier and its domains with their shares; no classifier if no word tells the domains apart."""
     known = domains(labels)
@@ -72,14 +87,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, slots:
     if len(have) < 2:
         return None, have
     number = F.coalesce(*[F.when(F.col("domain") == d, float(k)) for k, d in enumerate(have)])
-    sample = materialize(_features(sample, slots).select("features", number.alias("label")), "train")
-    telling = UnivariateFeatureSelector(featuresCol="features", outputCol="telling", labelCol="label", selectionMode="fpr").setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(CHANCE)
-    chosen = telling.fit(sample)
-    if not chosen.selectedFeatures:
+    sample = materialize(_features(sample, slots).select("domain", "features", number.alias("label")), "train")
+    chosen = telling(sample, size)
+    if not chosen:
         return None, have
-    sample = materialize(chosen.transform(sample).select("telling", "label"), "train")
+    slicer = VectorSlicer(inputCol="features", outputCol="telling", indices=chosen)
+    sample = materialize(slicer.transform(sample).select("telling", "label"), "train")
     regression = LogisticRegression(family="multinomial", regParam=0.003, maxIter=40, labelCol="label", featuresCol="telling")
-    return PipelineModel([chosen, regression.fit(sample)]), have
+    return PipelineModel([slicer, regression.fit(sample)]), have
 
 
 def posteriors(docs: DataFrame, model: tuple[PipelineModel | None, dict[str, float]], slots: int = SLOTS) -> DataFrame:
@@ -112,7 +127,7 @@ def _rate(history: list[list[float]], max_rate: float):
     return F.aggregate(steps, F.lit(min(1.0, max_rate)), lambda r, g: F.least(F.lit(max_rate), F.greatest(F.lit(0.0), r - sum((p[k] * g[k] for k in range(1, len(p))), p[0] * g[0]))))
 
 
-def rates(found: DataFrame, weights: dict[str, float], max_rate: float = 1e6, keep: tuple[str, ...] = (), rounds: int = ROUNDS, close: float = 1e-6) -> tuple[DataFrame, dict[str, float]]:
+def rates(found: DataFrame, weights: dict[str, float], max_rate: float = 1e6, keep: tuple[str, ...] = (), rounds: int = ROUNDS, close: float = 1e-4) -> tuple[DataFrame, dict[str, float]]:
     """The table of posteriors with the fitted rate, and the targets in tokens."""
     tokens = F.col("n_tokens") * F.col("rows")
     have = found.agg(*[F.coalesce(F.sum(tokens * F.col(f"p_{d}")), F.lit(0.0)).alias(d) for d in DOMAINS]).first()
