@@ -59,13 +59,12 @@ CN_DIGITS = "一二三四五六七八九"
 # -- script conversion ---------------------------------------------------------------------------
 
 
-def script_pairs(mapping: DataFrame, direction: str, max_rows: int = 50_000) -> list[tuple[str, str]]:
-    """Read a ``script_map(src, dst, direction)`` table of checked size as pairs, longest source first."""
-    rows = (
-        mapping.filter(F.col("direction") == direction).select("src", "dst").distinct().limit(max_rows + 1).collect()
-    )
-    if len(rows) > max_rows:
-        raise ValueError(f"script map has more than {max_rows} rows")
+def script_pairs(mapping: DataFrame, direction: str) -> list[tuple[str, str]]:
+    """Pairs of a ``script_map(src, dst, direction)`` table, longest source first.
+
+    The table is a dictionary of the script (one row per character or phrase), not data: its size does not follow the corpus.
+    """
+    rows = mapping.filter(F.col("direction") == direction).select("src", "dst").distinct().collect()
     return sorted(((r.src, r.dst) for r in rows), key=lambda p: (-len(p[0]), p[0]))
 
 

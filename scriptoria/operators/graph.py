@@ -16,9 +16,8 @@ from ..functions.text import tile_xy
 from ..session import materialize
 from .firstwins import bounded_groups, top_k
 
-# Place categories of the map layers and their sizes.
+# Place categories of the map layers.
 TEMPLE_TAG, MOUNTAIN_TAG = "寺廟", "山峰"
-TEMPLE_LIMIT, MOUNTAIN_LIMIT = 2000, 1000
 
 
 def _typed(edges: DataFrame, kind: str) -> DataFrame:
@@ -50,10 +49,10 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return forth.unionByName(back)
 
 
-def social_peers(keys: DataFrame, edges: DataFrame, persons: DataFrame, k: int = 20) -> DataFrame:
-    """Up to ``k`` social contacts of each key person, by id."""
+def social_peers(keys: DataFrame, edges: DataFrame, persons: DataFrame, k: int | None = None) -> DataFrame:
+    """Social contacts of each key person; the first ``k`` by id if a page size is given."""
     peers = _others(keys, _both_ways(edges), persons)
-    return top_k(peers, ["person_id"], ["other_id", F.col("description").asc_nulls_first()], k)
+    return peers if k is None else top_k(peers, ["person_id"], ["other_id", F.col("description").asc_nulls_first()], k)
 
 
 def _others(keys: DataFrame, pairs: DataFrame, persons: DataFrame) -> DataFrame:
@@ -95,7 +94,7 @@ def person_attributes(keys: DataFrame, persons: DataFrame, json_cols=("aliases",
 
 
 def person_profile(
-    keys: DataFrame, persons: DataFrame, edges: DataFrame, person_scriptures: DataFrame, social_limit: int = 20
+    keys: DataFrame, persons: DataFrame, edges: DataFrame, person_scriptures: DataFrame, social_limit: int | None = None
 ) -> DataFrame:
     """Profile rows ``(person_id, section, other_id, name, dynasty, sect, birth_year, note)``.
 
@@ -205,7 +204,7 @@ def graph_layers(nodes: DataFrame, edges: DataFrame, reach: int = 2) -> DataFram
         seen = seen.unionByName(frontier)
 
 
-def prune_graph(nodes: DataFrame, edges: DataFrame, n: int = 500) -> tuple[DataFrame, DataFrame]:
+def prune_graph(nodes: DataFrame, edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """First ``n`` nodes of each ego by distance, and the edges both of whose ends are kept."""
     kept = top_k(nodes, ["ego"], [F.abs("level"), "level", "person_id"], n)
     ids = kept.select("ego", "person_id")
@@ -245,16 +244,11 @@ def person_places(keys: DataFrame, persons: DataFrame, places: DataFrame) -> Dat
     )
 
 
-def origins(persons: DataFrame, places: DataFrame, sect: str | None = None, limit: int | None = None) -> DataFrame:
-    """Located places of origin with their number of persons.
-
-    ``limit`` keeps the first persons by id, as the map's page size does.
-    """
+def origins(persons: DataFrame, places: DataFrame, sect: str | None = None) -> DataFrame:
+    """Located places of origin with their number of persons."""
     p = persons.filter(F.col("place_origin").isNotNull())
     if sect:
         p = p.filter(match_text("sect", F.lit(sect)))
-    if limit is not None:
-        p = p.orderBy("person_id").limit(limit)
     who = explode_places(p)
     per = who.groupBy("place_id").agg(
         F.count(F.lit(1)).alias("n_persons"), F.min_by("place_name", "person_id").alias("_first")
@@ -273,18 +267,14 @@ def origin_persons(persons: DataFrame, places: DataFrame, limit: int = 1000) ->
     return bounded_groups(who, ["place_id"], item, "person_id", "persons", limit)
 
 
-def map_layers(persons: DataFrame, places: DataFrame, sect: str | None = None, limit: int | None = 2000) -> DataFrame:
-    """Origins, temples and mountains as one table with a ``layer`` column."""
+def map_layers(persons: DataFrame, places: DataFrame, sect: str | None = None, limit: int | None = None) -> DataFrame:
+    """Origins, temples and mountains as one table with a ``layer`` column; ``limit`` is a page size per layer, by id."""
     cols = ["place_id", "name", "latitude", "longitude", "district"]
-    layers = origins(persons, places, sect, limit).select(F.lit("origin").alias("layer"), *cols, "n_persons")
-    for layer, tag, n in (("temple", TEMPLE_TAG, TEMPLE_LIMIT), ("mountain", MOUNTAIN_TAG, MOUNTAIN_LIMIT)):
-        hit = located(places).filter(has_tag("category", tag)).orderBy("place_id").limit(n)
-        layers = layers.unionByName(
-            hit.withColumnRenamed("name_zh", "name").select(
-                F.lit(layer).alias("layer"), *cols, F.lit(None).cast("bigint").alias("n_persons")
-            )
-        )
-    return layers
+    layers = origins(persons, places, sect).select(F.lit("origin").alias("layer"), *cols, "n_persons")
+    for layer, tag in (("temple", TEMPLE_TAG), ("mountain", MOUNTAIN_TAG)):
+        hit = located(places).filter(has_tag("category", tag)).withColumnRenamed("name_zh", "name")
+        layers = layers.unionByName(hit.select(F.lit(layer).alias("layer"), *cols, F.lit(None).cast("bigint").alias("n_persons")))
+    return layers if limit is None else top_k(layers, ["layer"], ["place_id"], limit)
 
 
 def bin_places(places: DataFrame, zoom: int) -> DataFrame:

@@ -13,15 +13,14 @@ from ..session import broadcast_if_small, materialize
 from .firstwins import keep_first
 from .relate import folder_is_commentary, is_commentary
 
-MAX_DEPTH = 256
-
 
 def expand_tree(nodes: DataFrame) -> DataFrame:
     """Add ``chain`` (ancestors from the root down, as structs), ``depth``, ``root_id`` and ``root_title``.
 
-    Ancestor pointers are doubled: each round joins every node with the node its chain has reached, so
-    a tree of depth d takes log2(d) rounds however wide it is. Each round is written out, which keeps
-    the plan short.
+    Ancestor pointers are doubled: each round joins every node with the node its chain has reached, so a tree of depth d
+    takes log2(d) rounds however deep or wide it is. Each round is written out, which keeps the plan short. A node whose
+    chain meets the node itself lies on a cycle; it and all nodes below it have no root: they are returned with null
+    ``chain``, ``depth`` and ``root_id``.
     """
     cols = ["id", "parent_id", "title", "sutra_id", "sort_order"]
     me = F.struct("id", "title", "sutra_id", "sort_order")
@@ -30,27 +29,24 @@ def expand_tree(nodes: DataFrame) -> DataFrame:
         F.col("id").cast("bigint").alias("id"), F.col("parent_id").cast("bigint").alias("parent_id"), "title", "sutra_id",
         F.col("sort_order").cast("bigint").alias("sort_order"),
     )
-    state = materialize(base.select(*cols, F.col("parent_id").alias("ptr"), empty.alias("chain")), "tree")
-    reached = 1
+    state = materialize(base.select(*cols, F.col("parent_id").alias("ptr"), empty.alias("chain"), F.lit(False).alias("lost")), "tree")
     while not state.filter(F.col("ptr").isNotNull()).isEmpty():
-        if reached > MAX_DEPTH:
-            raise ValueError(f"tree is deeper than {MAX_DEPTH} levels or has a cycle")
         up = state.select(
-            F.col("id").alias("_id"), F.col("ptr").alias("_ptr"), F.concat("chain", F.array(me)).alias("_chain")
+            F.col("id").alias("_id"), F.col("ptr").alias("_ptr"), F.concat("chain", F.array(me)).alias("_chain"), F.col("lost").alias("_lost")
         )
         done = state.filter(F.col("ptr").isNull())
         moved = (
             state.filter(F.col("ptr").isNotNull())
-            .join(broadcast_if_small(up), F.col("ptr") == F.col("_id"), "left")
-            .select(*cols, F.col("_ptr").alias("ptr"), F.concat(F.coalesce("_chain", empty), "chain").alias("chain"))
+            .join(up, F.col("ptr") == F.col("_id"), "left")
+            .select(*cols, F.col("_ptr").alias("ptr"), F.concat(F.coalesce("_chain", empty), "chain").alias("chain"), F.coalesce("_lost", F.lit(False)).alias("lost"))
         )
+        lost = F.col("lost") | F.exists("chain", lambda x: x["id"] == F.col("id"))
+        moved = moved.withColumn("lost", lost).withColumn("ptr", F.when(~F.col("lost"), F.col("ptr"))).withColumn("chain", F.when(~F.col("lost"), F.col("chain")))
         state = materialize(done.unionByName(moved), "tree")
-        reached *= 2
     top = F.get("chain", F.lit(0))
     return state.select(
-        *cols, "chain", F.size("chain").alias("depth"),
-        F.coalesce(top["id"], F.col("id")).alias("root_id"), F.coalesce(top["title"], F.col("title")).alias("root_title"),
-        F.coalesce(top["sort_order"], F.col("sort_order")).alias("root_order"),
+        *cols, "chain", F.when(~F.col("lost"), F.size("chain")).alias("depth"),
+        *[F.when(~F.col("lost"), F.coalesce(top[c], F.col(c))).alias(f"root_{n}") for n, c in (("id", "id"), ("title", "title"), ("order", "sort_order"))],
     )
 
 

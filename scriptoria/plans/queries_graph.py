@@ -264,7 +264,19 @@ def prune_graph(t: Tables) -> DataFrame:
     return edges.select("ego", "source_id", "target_id")
 
 
-@query("graph_layers")
+@query(
+    "graph_layers",
+    f"""
+    WITH RECURSIVE {_SQL_EGO},
+    e AS (SELECT DISTINCT ego, s, d FROM (SELECT ego, s, d FROM dn JOIN te ON node = s UNION ALL SELECT ego, s, d FROM un JOIN te ON node = d)),
+    ne AS (SELECT e.* FROM e JOIN nodes a ON a.ego = e.ego AND a.node = s JOIN nodes b ON b.ego = e.ego AND b.node = d),
+    st AS (SELECT ego, s AS f, d AS t, 1 AS v FROM ne UNION SELECT ego, d, s, -1 FROM ne),
+    l0 AS (SELECT ego, node, 0 AS layer FROM nodes WHERE node = ego),
+    {", ".join(f"""w{k} AS (SELECT l.ego, t AS node, min(l.layer + v) AS layer FROM l{k - 1}_new l JOIN st ON st.ego = l.ego AND f = l.node WHERE abs(l.layer + v) <= 2 GROUP BY ALL),
+    l{k}_new AS (SELECT w.* FROM w{k} w ANTI JOIN l{k - 1} l ON l.ego = w.ego AND l.node = w.node), l{k} AS (SELECT * FROM l{k - 1} UNION ALL SELECT * FROM l{k}_new)""" for k in range(1, 9)).replace("l0_new", "l0")}
+    SELECT * FROM l8
+    """,
+)
 def graph_layers(t: Tables) -> DataFrame:
     p = graph_persons(t)
     return G.graph_layers(*G.ego_network(p, graph_edges(t), p, 3))
@@ -275,7 +287,7 @@ def graph_layers(t: Tables) -> DataFrame:
     f"""
     WITH {_SQL_EDGES}, p AS (SELECT p_partkey AS id, p_name AS name FROM part),
     so AS (SELECT s AS a, d AS b FROM se UNION ALL SELECT d, s FROM se WHERE s <> d),
-    sk AS (SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY b) AS r FROM so JOIN p ON b = id JOIN part ON a = p_partkey) WHERE r <= 20),
+    sk AS (SELECT a, b FROM so JOIN p ON b = id JOIN part ON a = p_partkey),
     sc AS (SELECT o_custkey AS a, o_orderkey AS b FROM orders JOIN part ON o_custkey = p_partkey),
     x AS (SELECT d AS a, s AS b, 'teacher' AS section FROM te UNION ALL SELECT s, d, 'student' FROM te
           UNION ALL SELECT a, b, 'social' FROM sk)
@@ -350,7 +362,7 @@ who AS (SELECT c_custkey AS person_id, 'town ' || c_mktsegment AS place_name, un
     """,
 )
 def map_layers(t: Tables) -> DataFrame:
-    return G.map_layers(placed_persons(t), places(t), limit=None).select("layer", "place_id", "name", "latitude", "longitude", "n_persons")
+    return G.map_layers(placed_persons(t), places(t)).select("layer", "place_id", "name", "latitude", "longitude", "n_persons")
 
 
 @query("person_places", f"WITH {_SQL_PLACES} SELECT person_id, place_id, latitude FROM who JOIN pl USING (place_id)")

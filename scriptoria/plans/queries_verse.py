@@ -15,7 +15,7 @@ from .registry import Tables, query
 # The documents are in Latin script, so words stand for sentences and these words for the keywords.
 DOCTRINE = ["the", "la", "der", "que", "tion", "ou"]
 NARRATIVE = ["and", "un", "es"]
-SHORT_LINE = r"[^\n]{1,160}"
+WHOLE_LINE = r"[^\n]+"
 TABLES = {
     "bonus": {"src1": 40, "src10": 35, "src3": 30},
     "concepts": {"the": 4, "tion": 5, "la": 3, "er": 2, "que": 4, "in": 1, "on": 3},
@@ -34,7 +34,7 @@ def _sql_list(words) -> str:
 _PUNCT = V.SENTENCE_PUNCTUATION.replace("'", "''")
 _SQL_BLOCKS = rf"""
 bl AS (SELECT doc_id, lang, source, unnest(bs) AS b, unnest(range(0, len(bs))) AS block_no FROM
-       (SELECT doc_id, lang, source, regexp_extract_all(text, '(?m)((?:^[^\n]{{1,160}}(?:\n|\z))+)', 1) AS bs FROM documents)),
+       (SELECT doc_id, lang, source, regexp_extract_all(text, '(?m)((?:^[^\n]+(?:\n|\z))+)', 1) AS bs FROM documents)),
 se AS (SELECT doc_id, lang, source, block_no, list_filter(list_transform(string_split_regex(b, '[，。；！？、{WS}]+'),
          lambda s: translate(s, '{_PUNCT}', '')), lambda s: s <> '') AS s FROM bl),
 le AS (SELECT *, list_transform(s, lambda x: length(x)) AS l, len(s) AS n FROM se),
@@ -58,7 +58,7 @@ def _docs(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.col("text").alias("value"), F.col("source").alias("title"), F.col("lang").alias("author"))
 
 
-_BANDS = {"line_pattern": SHORT_LINE, "doctrine": DOCTRINE, "narrative": NARRATIVE}
+_BANDS = {"line_pattern": WHOLE_LINE, "doctrine": DOCTRINE, "narrative": NARRATIVE}
 
 
 @query("verse_candidates", f"WITH {_SQL_BLOCKS} SELECT doc_id, block_no, score, text FROM ok")

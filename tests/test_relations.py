@@ -169,8 +169,14 @@ def test_tree(spark):
     assert stats[("leaves", "")] == 5 and stats[("duplicate_id", "T0001")] == 2 and stats[("max_depth", "")] == 2
 
 
+def test_cycles_are_reported(spark):
+    pairs = [(1, None), (2, 1), (3, 4), (4, 5), (5, 3), (6, 5), (7, 6), (8, 8), (9, 2)]
+    df = spark.createDataFrame([(i, p, f"n{i}", None, i) for i, p in pairs], "id bigint, parent_id bigint, title string, sutra_id string, sort_order bigint")
+    assert rows(T.expand_tree(df), "id", "depth", "root_id") == [(1, 0, 1), (2, 1, 1), *[(i, None, None) for i in range(3, 9)], (9, 2, 1)]
+
+
 def test_deep_tree(spark):
-    n = 37
+    n = 700
     df = spark.createDataFrame([(i, i - 1 if i else None, f"n{i}", None, i) for i in range(n)], "id bigint, parent_id bigint, title string, sutra_id string, sort_order bigint")
     last = T.expand_tree(df).filter(f"id = {n - 1}").first()
     assert last.depth == n - 1 and [c.id for c in last.chain] == list(range(n - 1))
