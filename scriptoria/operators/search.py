@@ -1,45 +1,55 @@
 """Full-text and title search for batches of queries.
 
-The text is read once. A small, measured batch of queries travels as one literal array and is tested
-row by row, without a join; a larger batch is matched by an equi-join on text windows.
+Whatever the size of the batch, texts meet queries by equi-joins: long texts by windows on their first characters,
+titles and names by their substrings, stored indexes by the rarest trigrams of a query.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.compat import as_col, quote_regex, strip, text_windows
-from ..functions.predicates import match_text
+from ..functions.predicates import fold_ascii, match_text
 from ..functions.text import escape_keep_mark, to_script
 from ..session import broadcast_if_small, fits_broadcast, materialize
 from .firstwins import top_k
-from .joins import occurrences
+from .joins import occurrences, substrings
 
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
-MAX_INLINE_QUERIES = 2_000
 
 
-def _inline(df: DataFrame, queries: DataFrame, cond, keep=("query",)) -> DataFrame:
-    """Rows of ``df`` once per query that satisfies ``cond(query_struct)``.
+def _pairs(df: DataFrame, queries: DataFrame, probes, keep=("query",)) -> DataFrame:
+    """Rows of ``df`` (short texts) once per query that one of the probes finds.
 
-    A measured batch is one literal array that every row tests in place. A larger batch is cut into
-    hash slices of that size, each with its own pass over ``df`` (a catalogue, not the texts).
+    A probe is (text, needle, mode): every substring (``contains``) or prefix (``prefix``) of the text is looked up by
+    equality among the needles, so the join is an equi-join of any batch size and yields true pairs only. A query that
+    several probes find counts at the first.
     """
-
-    def one(batch_rows: DataFrame) -> DataFrame:
-        batch = batch_rows.select(F.struct(*keep).alias("q")).agg(F.array_sort(F.collect_set("q")))
-        out = df.withColumn("_qs", batch.scalar())
-        out = out.withColumn("_q", F.explode(F.filter("_qs", cond)))
-        return out.select("*", *[F.col(f"_q.{c}").alias(c) for c in keep]).drop("_qs", "_q")
-
-    if fits_broadcast(queries, MAX_INLINE_QUERIES):
-        return one(queries)
-    slices = -(-queries.count() // MAX_INLINE_QUERIES) + 1
-    part = F.pmod(F.xxhash64(keep[0]), F.lit(slices))
-    return reduce(DataFrame.unionByName, [one(queries.filter(part == i)) for i in range(slices)])
+    needles = F.array(*[F.struct(F.lit(i).alias("probe"), F.coalesce(n, F.lit("")).alias("key")) for i, (_, n, _) in enumerate(probes)])
+    q = queries.select(*keep, F.explode(needles).alias("_k")).select(*keep, "_k.probe", "_k.key")
+    longest = q.agg(F.coalesce(F.max(F.length("key")), F.lit(0)))
+
+    def keys(text, mode):
+        c = F.coalesce(text, F.lit(""))
+        if mode == "contains":
+            found = substrings(c, 1, F.col("_longest"))
+        else:
+            size = F.least(F.length(c), F.col("_longest"))
+            found = F.when(size > 0, F.transform(F.sequence(F.lit(1), size), lambda n: F.left(c, n))).otherwise(F.array().cast("array<string>"))
+        return F.concat(F.array(F.lit("")), found)  # the empty query is in every text
+
+    def numbered(found, i):
+        return F.transform(found, lambda k: F.struct(F.lit(i).alias("probe"), k.alias("key")))
+
+    every = F.flatten(F.array(*[numbered(keys(t, m), i) for i, (t, _, m) in enumerate(probes)]))
+    rows = df.withColumn("_longest", longest.scalar()).withColumn("_k", F.explode(every)).select(*df.columns, "_k.probe", "_k.key")
+    hit = rows.join(q, ["probe", "key"])
+    test = {"contains": F.contains, "prefix": F.startswith}
+    earlier = F.lit(False)
+    for i, (t, n, m) in enumerate(probes[:-1]):
+        earlier = earlier | ((F.col("probe") > i) & F.coalesce(test[m](t, n), F.lit(False)))
+    return hit.filter(~earlier).drop("probe", "key")
 
 
 # -- index -----------------------------------------------------------------------------------------
@@ -157,16 +167,6 @@ def _matches(content: DataFrame, queries: DataFrame, doc: str, text: str, width:
     """
     needle = queries.select("query", F.lower("query").alias("needle")).distinct()
     n_tokens = F.greatest(F.length(text) - 2, F.lit(0)).cast("bigint")
-    if fits_broadcast(needle, MAX_INLINE_QUERIES):
-        batch = needle.agg(F.collect_list(F.struct("query", "needle")))
-        base = content.select(doc, F.col(text).alias("_text"), F.lower(text).alias("_low"), n_tokens.alias("n_tokens"))
-        base = base.withColumn("_qs", F.coalesce(batch.scalar(), F.array().cast("array<struct<query:string,needle:string>>")))
-        return base.select(
-            doc,
-            "n_tokens",
-            F.lit(True).alias("is_doc"),
-            _verified("_qs", width),
-        )
     hits = occurrences(content.select(doc, F.lower(text).alias("_low")), needle, doc, "_low", "needle", prefix=2)
     per_doc = hits.groupBy(doc, "query").agg(F.count(F.lit(1)).alias("tf"))
     texts = content.select(doc, F.col(text).alias("_text"), n_tokens.alias("n_tokens"))
@@ -230,14 +230,9 @@ def search_fulltext(
 def search_titles(queries: DataFrame, catalog: DataFrame, k: int = 20, pairs=()) -> DataFrame:
     """Works whose id starts with a query or whose title holds it in either script, best ``k`` per query."""
     q = queries.select("query").distinct().withColumn("query_sc", to_script("query", list(pairs)))
-    hit = _inline(
-        catalog,
-        q,
-        lambda x: match_text("sutra_id", x["query"], "prefix")
-        | match_text("title_sc", x["query_sc"])
-        | match_text("title", x["query"]),
-        ("query", "query_sc"),
-    )
+    fold = fold_ascii
+    probes = [(fold("sutra_id"), fold("query"), "prefix"), (fold("title_sc"), fold("query_sc"), "contains"), (fold("title"), fold("query"), "contains")]
+    hit = _pairs(catalog, q, probes, ("query", "query_sc"))
     rank = (
         F.when(match_text("sutra_id", F.col("query"), "prefix"), 0)
         .when(match_text("title_sc", F.col("query_sc"), "prefix"), 1)
@@ -251,14 +246,8 @@ def scan_titles(queries: DataFrame, catalog: DataFrame, k: int = 50, pairs=(), p
     """Degraded title search without an index: first ``k`` matches in catalogue order."""
     q = queries.select("query").distinct().withColumn("query_sc", to_script("query", list(pairs)))
     cat = catalog if "title_sc" in catalog.columns else catalog.withColumn("title_sc", to_script("title", list(pairs)))
-    hit = _inline(
-        cat,
-        q,
-        lambda x: F.startswith(F.upper("sutra_id"), F.upper(x["query"]))
-        | F.contains(F.lower("title"), F.lower(x["query"]))
-        | F.contains("title_sc", x["query_sc"]),
-        ("query", "query_sc"),
-    ).drop("query_sc")
+    probes = [(F.upper("sutra_id"), F.upper("query"), "prefix"), (F.lower("title"), F.lower("query"), "contains"), (F.col("title_sc"), F.col("query_sc"), "contains")]
+    hit = _pairs(cat, q, probes, ("query", "query_sc")).drop("query_sc")
     return top_k(hit, ["query"], [pos], k, "rank")
 
 
@@ -271,14 +260,8 @@ def search_works(
         "query", F.upper(trimmed).alias("u"), F.lower(to_script(trimmed, list(to_tc))).alias("tc"),
         F.lower(to_script(trimmed, list(to_sc))).alias("sc"),
     )
-    hit = _inline(
-        catalog,
-        q,
-        lambda x: F.contains(F.upper("sutra_id"), x["u"])
-        | F.contains(F.lower("title"), x["tc"])
-        | F.contains(F.lower("title"), x["sc"]),
-        ("query", "u", "tc", "sc"),
-    )
+    probes = [(F.upper("sutra_id"), F.col("u"), "contains"), (F.lower("title"), F.col("tc"), "contains"), (F.lower("title"), F.col("sc"), "contains")]
+    hit = _pairs(catalog, q, probes, ("query", "u", "tc", "sc"))
     return top_k(hit, ["query"], [pos], k, "rank").select("query", "rank", "sutra_id", "title", "total_juan")
 
 
@@ -291,10 +274,8 @@ def search_persons(queries: DataFrame, persons: DataFrame, k: int = 20, pairs=()
     def either(x, test):
         return test(x["query"]) | test(x["query_t"])
 
-    hit = _inline(
-        p, q, lambda x: either(x, lambda s: match_text("_name", s) | match_text("_aliases", s) | match_text("_place_origin", s)),
-        ("query", "query_t"),
-    )
+    probes = [(fold_ascii(f"_{c}"), fold_ascii(n), "contains") for c in cols for n in ("query", "query_t")]
+    hit = _pairs(p, q, probes, ("query", "query_t"))
     row = {"query": F.col("query"), "query_t": F.col("query_t")}
     rank = (
         F.when(either(row, lambda s: F.col("_name") == s), 0)

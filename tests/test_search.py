@@ -29,12 +29,12 @@ def test_index_scan_and_brute_force_agree(spark):
     assert rows(scan) == rows(indexed)
 
 
-def test_large_batches_use_the_equi_join(spark, monkeypatch):
+def test_batches_of_any_size_take_one_path(spark):
     docs = spark.createDataFrame([(1, "banana bandana"), (2, "nothing")], "doc_id int, text string")
-    q = queries(spark, "ana", "an", "no")
-    small = rows(S.search_fulltext(docs, q))
-    monkeypatch.setattr(S, "fits_broadcast", lambda *_: False)
-    assert rows(S.search_fulltext(docs, q)) == small
+    q = ["ana", "an", "no"]
+    small = rows(S.search_fulltext(docs, queries(spark, *q)))
+    many = spark.createDataFrame([(x,) for x in q] + [(f"q{i}z",) for i in range(5000)], "query string")
+    assert rows(S.search_fulltext(docs, many)) == small
 
 
 def test_stored_index_round_trip(spark, tmp_path):
@@ -69,12 +69,12 @@ def test_titles(spark):
     assert rows(S.search_works(queries(spark, "x0"), catalog(spark)), "sutra_id", "total_juan") == [("X0001", 2)]
 
 
-def test_title_batches_beyond_the_inline_size_are_sliced(spark, monkeypatch):
-    q = queries(spark, "心經", "t02", "論", "x")
-    want = rows(S.search_titles(q, catalog(spark), pairs=PAIRS))
-    monkeypatch.setattr(S, "fits_broadcast", lambda *_: False)
-    monkeypatch.setattr(S, "MAX_INLINE_QUERIES", 2)
-    assert rows(S.search_titles(q, catalog(spark), pairs=PAIRS)) == want
+def test_title_batches_of_any_size_take_one_path(spark):
+    q = ["心經", "t02", "論", "x", ""]
+    want = rows(S.search_titles(queries(spark, *q), catalog(spark), pairs=PAIRS))
+    assert len(want) == 2 + 2 + 1 + 1 + 3
+    many = queries(spark, *q, *[f"none{i}" for i in range(5000)])
+    assert rows(S.search_titles(many, catalog(spark), pairs=PAIRS)) == want
 
 
 def test_unified_search(spark):
