@@ -397,7 +397,7 @@ def apparatus_notes(t: Tables) -> DataFrame:
     f"""
     WITH {_SQL_LINES}
     SELECT sutra_id, juan, CASE WHEN (sutra_id LIKE '%0') THEN 'again' ELSE coalesce(string_agg(CASE WHEN NOT is_head THEN s END, '' ORDER BY i), '') END AS plain_text
-    FROM marked GROUP BY ALL
+    FROM marked GROUP BY sutra_id, juan
     """,
 )
 def load_twice(t: Tables) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..functions.compat import WS, strip
 from ..operators import census, joins, search
 from ..operators.mentions import person_mentions, rank_mentions
-from ..session import materialize
+from ..session import materialize, scratch_path
 from ..sources.markup import attr, flatten_markup, node_texts, starts
 from .registry import Tables, query
 
@@ -52,6 +52,9 @@ FROM win
 """
 
 
+_SQL_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 @query("search_fulltext", _SQL_FULLTEXT)
 def search_fulltext(t: Tables) -> DataFrame:
     return search.search_fulltext(t.documents, _long_words(t.benchmark, "text"))
@@ -176,41 +179,44 @@ def search_persons(t: Tables) -> DataFrame:
     return search.search_persons(qs, _persons(t)).select("query", "person_id", "birth_year", "match_rank", "rank")
 
 
+# The queries of the full-text search and the sources, which are words of the titles.
+def _with_sources(sql: str) -> str:
+    return sql.replace("AS query FROM benchmark)", "AS query FROM benchmark UNION SELECT DISTINCT source FROM documents)")
+
+
 @query(
     "search_unified",
     f"""
-    WITH ft AS ({_SQL_FULLTEXT}), {_SQL_QUERIES},
-    cat AS (SELECT 'D' || doc_id AS sutra_id, source || ' ' || lang AS title, lang AS author FROM documents),
+    WITH ft AS ({_with_sources(_SQL_FULLTEXT)}), {_with_sources(_SQL_QUERIES)},
+    cat AS (SELECT 'D' || lpad(doc_id::VARCHAR, 12, '0') AS sutra_id, source || ' ' || replace(left(text, 60), chr(10), ' ') AS title, lang AS author FROM documents),
     tit AS (SELECT query, sutra_id, title, author, row_number() OVER (PARTITION BY query ORDER BY
-              CASE WHEN starts_with(lower(sutra_id), query) THEN 0 WHEN starts_with(title, query) THEN 1 ELSE 2 END, sutra_id) AS rank
-            FROM cat, qs WHERE starts_with(lower(sutra_id), query) OR contains(title, query))
+              CASE WHEN starts_with(lower(sutra_id), lower(query)) THEN 0 WHEN starts_with(title, query) THEN 1 ELSE 2 END, sutra_id) AS rank
+            FROM cat, qs WHERE starts_with(lower(sutra_id), lower(query)) OR contains({_SQL_FOLD.format("title")}, {_SQL_FOLD.format("query")}))
     SELECT query, 'title' AS section, rank, sutra_id, title, author, NULL::INT AS juan, NULL AS snippet FROM tit WHERE rank <= 20
     UNION ALL
     SELECT query, 'fulltext', rank, sutra_id, title, author, 1,
       replace(replace(replace(replace(replace(replace(replace(snippet, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
         '"', '&quot;'), '''', '&#x27;'), '&lt;mark&gt;', '<mark>'), '&lt;/mark&gt;', '</mark>')
-    FROM ft JOIN cat ON sutra_id = 'D' || doc_id
+    FROM ft JOIN cat ON sutra_id = 'D' || lpad(doc_id::VARCHAR, 12, '0')
     """,
 )
 def search_unified(t: Tables) -> DataFrame:
-    cat = t.documents.select(
-        F.concat(F.lit("D"), "doc_id").alias("sutra_id"), F.concat_ws(" ", "source", "lang").alias("title"),
-        F.concat_ws(" ", "source", "lang").alias("title_sc"), F.col("lang").alias("author"),
-    )
-    content = t.documents.select(
-        F.concat(F.lit("D"), "doc_id").alias("sutra_id"), F.lit(1).alias("juan"), F.col("text").alias("plain_text_sc"), "doc_id"
-    )
-    # Documents are ordered by number, so the full-text section is keyed by it.
-    qs = _long_words(t.benchmark, "text")
-    titles = search.search(qs, cat, content.limit(0).drop("doc_id"), lang="sc").filter("section = 'title'")
-    full = search.search_fulltext(content, qs, "doc_id", "plain_text_sc")
-    hits = search.attach_catalog(full.withColumn("sutra_id", F.concat(F.lit("D"), "doc_id")), cat)
-    return titles.unionByName(
-        hits.select(
-            "query", F.lit("fulltext").alias("section"), "rank", "sutra_id", "title", "author", F.lit(1).alias("juan"),
-            T.escape_keep_mark("snippet").alias("snippet"),
-        )
-    )
+    """Titles (source and first characters of the text) and texts in one answer."""
+    key = F.concat(F.lit("D"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))
+    title = F.concat_ws(" ", "source", F.replace(F.left("text", F.lit(60)), F.lit("\n"), F.lit(" ")))
+    cat = t.documents.select(key.alias("sutra_id"), title.alias("title"), title.alias("title_sc"), F.col("lang").alias("author"))
+    content = t.documents.select(key.alias("sutra_id"), F.lit(1).alias("juan"), F.col("text").alias("plain_text_sc"))
+    qs = _long_words(t.benchmark, "text").union(t.documents.select("source")).distinct()
+    return search.search(qs, cat, content, lang="sc")
+
+
+@query("search_stored_index", _SQL_FULLTEXT)
+def search_stored_index(t: Tables) -> DataFrame:
+    """The index is written once by term bucket, and the batch is answered from the stored postings."""
+    postings, stats = search.build_trigram_index(t.documents, "doc_id", "text")
+    path = scratch_path(t.spark, "index")
+    search.write_index(postings, path, "doc_id")
+    return search.search_fulltext(t.documents, _long_words(t.benchmark, "text"), index=(t.spark.read.parquet(path), stats))
 
 
 # -- names in texts --------------------------------------------------------------------------------

@@ -34,7 +34,7 @@ def _sql_list(words) -> str:
 _PUNCT = V.SENTENCE_PUNCTUATION.replace("'", "''")
 _SQL_BLOCKS = rf"""
 bl AS (SELECT doc_id, lang, source, unnest(bs) AS b, unnest(range(0, len(bs))) AS block_no FROM
-       (SELECT doc_id, lang, source, regexp_extract_all(text, '(?m)((?:^[^\n]+(?:\n|\z))+)', 1) AS bs FROM documents)),
+       (SELECT doc_id, lang, source, regexp_extract_all(replace(text, chr(10), chr(10) || chr(10)), '(?m)((?:^[^\n]+(?:\n|\z))+)', 1) AS bs FROM documents)),
 se AS (SELECT doc_id, lang, source, block_no, list_filter(list_transform(string_split_regex(b, '[，。；！？、{WS}]+'),
          lambda s: translate(s, '{_PUNCT}', '')), lambda s: s <> '') AS s FROM bl),
 le AS (SELECT *, list_transform(s, lambda x: length(x)) AS l, len(s) AS n FROM se),
@@ -55,7 +55,8 @@ ok AS (SELECT doc_id, block_no, score, '《' || source || '》／' || lang AS so
 
 
 def _docs(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.col("text").alias("value"), F.col("source").alias("title"), F.col("lang").alias("author"))
+    """Every line of a document as a block of its own."""
+    return t.documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("value"), F.col("source").alias("title"), F.col("lang").alias("author"))
 
 
 _BANDS = {"line_pattern": WHOLE_LINE, "doctrine": DOCTRINE, "narrative": NARRATIVE}
