@@ -4,7 +4,7 @@ Public vocabularies measure every text: characters per token and token entropy u
 and the byte-fallback share under a piece vocabulary (bytes of characters that have no piece of their own, which it can
 only spell byte by byte). The entropy is taken over consecutive blocks of ``BLOCK`` tokens and relative to the most it can
 be, so it does not depend on the length of the text. Each measure has a rejection band per language: quartiles of the
-documents that pass the base rule, widened by ``spread`` times their distance. Quartiles come from counts per bin
+documents that pass the base rule, widened by multiples (``spread``) of their distance. Quartiles come from counts per bin
 (exact, mergeable, of bounded size per language); languages with fewer than ``least`` such documents use the bands of all.
 
 Base rule: fewer than 50 words, or more than half of the words inside repeated windows of three words.
@@ -34,7 +34,9 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SYMBOLS = b"#*$%&|<>"
 BLOCK = 256
 BIN = 0.005
-SPREAD = 5.0
+#: How many distances of the quartiles a band reaches below and above them. Low entropy (repetition) and low characters
+#: per token (odd spelling) are what junk shows; short clean texts lie above the others.
+SPREAD = {"chars_per_token": (5.0, 8.0), "fallback_share": (5.0, 8.0), "token_entropy": (3.5, 8.0)}
 LEAST = 40
 MEASURES = ("chars_per_token", "fallback_share", "token_entropy")
 
@@ -126,7 +128,7 @@ def measure(docs: DataFrame, folder: str = VOCABULARIES) -> DataFrame:
     return found.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
 
-def bands(found: DataFrame, spread: float = SPREAD, least: int = LEAST) -> DataFrame:
+def bands(found: DataFrame, spread: dict[str, tuple[float, float]] = SPREAD, least: int = LEAST) -> DataFrame:
     """(lang, measure, low, high) of every language, and of all under the key '*'."""
     both = found.where("not base_failed").withColumn("lang", F.explode(F.array("lang", F.lit("*"))))
     long = both.select("lang", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.round(F.col(m) / BIN).cast("long").alias("bin")) for m in MEASURES])).alias("x"))
@@ -136,11 +138,12 @@ def bands(found: DataFrame, spread: float = SPREAD, least: int = LEAST) -> DataF
     placed = count.withColumn("upto", F.sum("count").over(run)).withColumn("n", F.sum("count").over(whole))
     at = [F.min(F.when(F.col("upto") >= q * F.col("n"), F.col("bin"))).alias(name) for q, name in ((0.25, "q1"), (0.75, "q3"))]
     quart = placed.groupBy("lang", "measure").agg(F.max("n").alias("n"), *at).where((F.col("n") >= least) | (F.col("lang") == "*"))
-    wide = F.greatest(F.col("q3") - F.col("q1"), F.lit(2)) * spread
-    return quart.select("lang", "measure", ((F.col("q1") - wide) * BIN).alias("low"), ((F.col("q3") + wide) * BIN).alias("high"))
+    wide = F.greatest(F.col("q3") - F.col("q1"), F.lit(2))
+    below, above = (F.coalesce(*[F.when(F.col("measure") == m, F.lit(spread[m][k])) for m in MEASURES]) for k in (0, 1))
+    return quart.select("lang", "measure", ((F.col("q1") - wide * below) * BIN).alias("low"), ((F.col("q3") + wide * above) * BIN).alias("high"))
 
 
-def judge(docs: DataFrame, lang: str | None = "lang", folder: str = VOCABULARIES, spread: float = SPREAD, least: int = LEAST) -> DataFrame:
+def judge(docs: DataFrame, lang: str | None = "lang", folder: str = VOCABULARIES, spread: dict[str, tuple[float, float]] = SPREAD, least: int = LEAST) -> DataFrame:
     """Measures of every row of ``docs`` (its columns but the text), base_failed and kept."""
     named = docs.withColumn("lang", F.coalesce(F.col(lang).cast("string"), F.lit("")) if lang in docs.columns else F.lit(""))
     found = materialize(measure(named, folder), "measures")
