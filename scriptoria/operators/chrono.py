@@ -30,25 +30,38 @@ DYNASTIES = [
 ]
 # Dynasties that are divided by eras, by their name in the era table.
 SUBDIVIDED = {"唐": "唐", "北宋": "北宋", "南宋": "南宋", "大明": "明", "大清": "清"}
-# Other dynasty names that count as one of the sixteen (the sixteen map to themselves).
-DYNASTY_ALIASES = {
-    "近現代": ["民國"],
-    "南北朝": [
-        "劉宋", "南齊", "南梁", "南陳", "北魏", "東魏", "西魏", "北齊", "北周", "陳",
-        "劉宋/    南齊", "南齊/    南梁", "南梁/    陳", "北魏/    東魏", "北魏/    西魏",
-    ],
-    "漢": ["西漢", "東漢", "新", "新莽"],
-    "三國": ["曹魏", "蜀漢", "孫吳"],
-    "北宋": ["宋", "北宋/    南宋"],
-    "五代十國": ["後梁", "後唐", "後晉", "後漢", "後周", "五代十國/    北宋"],
-    "南宋": ["金", "大理國", "南宋/    元", "金/    蒙古"],
-    "東晉": ["前秦", "後趙", "後秦", "前涼", "後涼", "北涼", "南涼", "西秦", "成漢", "東晉/    劉宋"],
-    "先秦": ["春秋", "戰國", "東周", "西周", "唐堯", "商"],
-    "明": ["大明", "明/    清"],
-    "清": ["大清", "清/    民國"],
-    "隋": ["隋/    唐"],
-    "元": ["元/    明", "金/    元"],
-    "唐": ["唐/    五代十國"],
+# Dynasty of every name that occurs.
+DYNASTY_OF = {
+    "先秦": "先秦", "秦": "秦", "漢": "漢",
+    "三國": "三國", "西晉": "西晉", "東晉": "東晉",
+    "南北朝": "南北朝",
+    "隋": "隋", "唐": "唐",
+    "五代十國": "五代十國",
+    "北宋": "北宋", "南宋": "南宋",
+    "元": "元", "明": "明", "清": "清", "近現代": "近現代", "民國": "近現代",
+    "劉宋": "南北朝", "南齊": "南北朝", "南梁": "南北朝", "南陳": "南北朝",
+    "北魏": "南北朝", "東魏": "南北朝", "西魏": "南北朝",
+    "北齊": "南北朝", "北周": "南北朝", "陳": "南北朝",
+    "西漢": "漢", "東漢": "漢", "新": "漢", "新莽": "漢",
+    "曹魏": "三國", "蜀漢": "三國", "孫吳": "三國",
+    "宋": "北宋",
+    "後梁": "五代十國", "後唐": "五代十國", "後晉": "五代十國",
+    "後漢": "五代十國", "後周": "五代十國",
+    "金": "南宋", "大理國": "南宋",
+    "前秦": "東晉", "後趙": "東晉", "後秦": "東晉",
+    "前涼": "東晉", "後涼": "東晉", "北涼": "東晉", "南涼": "東晉",
+    "西秦": "東晉", "成漢": "東晉",
+    "春秋": "先秦", "戰國": "先秦", "東周": "先秦", "西周": "先秦",
+    "唐堯": "先秦", "商": "先秦",
+    "大明": "明", "大清": "清",
+    "明/    清": "明", "清/    民國": "清",
+    "隋/    唐": "唐", "元/    明": "明",
+    "南宋/    元": "南宋", "唐/    五代十國": "唐",
+    "北宋/    南宋": "北宋", "五代十國/    北宋": "五代十國",
+    "金/    蒙古": "南宋", "金/    元": "元",
+    "東晉/    劉宋": "東晉", "劉宋/    南齊": "南北朝",
+    "南齊/    南梁": "南北朝", "南梁/    陳": "南北朝",
+    "北魏/    東魏": "南北朝", "北魏/    西魏": "南北朝",
 }
 PENDING = "待考"
 LAST = 9999
@@ -60,9 +73,7 @@ def dynasty_table(spark: SparkSession) -> DataFrame:
 
 
 def alias_table(spark: SparkSession) -> DataFrame:
-    rows = [(n, n) for n, _, _ in DYNASTIES]
-    rows += [(a, n) for n, names in DYNASTY_ALIASES.items() for a in names]
-    return spark.createDataFrame(rows, "alias string, dynasty string")
+    return spark.createDataFrame(list(DYNASTY_OF.items()), "alias string, dynasty string")
 
 
 def chinese_eras(eras: DataFrame, dynasties: DataFrame) -> DataFrame:

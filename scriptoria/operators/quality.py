@@ -77,6 +77,25 @@ def source_counts(pos: DataFrame, works: DataFrame) -> DataFrame:
     return out
 
 
+def raw_counts(files: DataFrame, works: DataFrame) -> DataFrame:
+    """Tags of the body per work, counted in the files as text (doc_path, content): no parser or extractor takes part.
+
+    Every volume mark with a number is a volume, one if there is none; notes, apparatus entries and table-of-contents
+    marks are counted as written, so an extraction that loses or invents rows shows up.
+    """
+    body = F.regexp_extract("content", r"(?s)<body[^>]*>(.*)</body>", 1)
+
+    def tags(name: str) -> Column:
+        return F.regexp_count(body, F.lit(rf"<{name}[\s>/]")).cast("bigint")
+
+    marks = F.regexp_extract_all(body, F.lit(r'<milestone[^>]*unit="juan"[^>]*n="(\d+)"'), F.lit(1))
+    per_file = files.join(works.select("doc_path", "sutra_id"), "doc_path")
+    per_file = per_file.select("sutra_id", marks.alias("m"), tags("note").alias("notes"), tags("app").alias("apps"), tags("mulu").alias("toc_entries"))
+    sums = [F.sum(c).alias(c) for c in ("notes", "apps", "toc_entries")]
+    volumes = F.greatest(F.lit(1), F.size(F.array_distinct(F.flatten(F.collect_list("m"))))).cast("bigint")
+    return per_file.groupBy("sutra_id").agg(volumes.alias("juans"), *sums)
+
+
 def table_counts(content: DataFrame, notes: DataFrame, apparatus: DataFrame, toc: DataFrame) -> DataFrame:
     """The same counts from the written tables (each with ``sutra_id``)."""
     parts = [

@@ -62,12 +62,14 @@ def tei_documents(t: Tables) -> DataFrame:
     return d.select(number.alias("doc_path"), F.concat(head, body, F.lit("</body></text></TEI>")).alias("content"))
 
 
-_PARSED: dict[tuple[str, str], DataFrame] = {}
+_PARSED: dict[tuple, DataFrame] = {}
 
 
 def parsed(t: Tables) -> DataFrame:
-    """The event table: parsed and written once per session and input folder, read by every query below."""
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    """The event table of the documents, parsed and written once for the same files (folder, time and size of each)."""
+    files = t.spark.read.parquet(f"{t.sf_dir}/documents.parquet").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size")
+    stamp = files.distinct().agg(F.expr("bit_xor(xxhash64(file_path, file_modification_time, file_size))"), F.count(F.lit(1))).first()
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, *stamp)
     if key not in _PARSED:
         _PARSED[key] = parse_corpus(tei_documents(t))
     return _PARSED[key]
@@ -199,14 +201,15 @@ def child_patterns(t: Tables) -> DataFrame:
     """,
 )
 def reconcile_counts(t: Tables) -> DataFrame:
-    pos = parsed(t)
-    tab = build_tables(pos)
-    measures = ["juans", "notes", "apps", "toc_entries"]
-    got = Q.reconcile_counts(
-        Q.source_counts(pos, X.doc_works(pos)), Q.table_counts(tab["content"], tab["notes"], tab["apparatus"], tab["toc"]),
-        "sutra_id", measures,
-    )
-    return got.select("sutra_id", *[F.col(f"{m}_source").alias(m) for m in measures], "status")
+    """Tags counted in the files as text against the tables as they are read back after a load."""
+    path = scratch_path(t.spark, "reconcile")
+    tables = build_tables(parsed(t))
+    names = ("content", "notes", "apparatus", "toc")
+    write_corpus({n: tables[n].withColumn("canon", F.substring("sutra_id", 1, 2)) for n in names}, path)
+    stored = [read_table(t.spark, path, n) for n in names]
+    works = X.doc_works(parsed(t))
+    got = Q.reconcile_counts(Q.raw_counts(tei_documents(t), works), Q.table_counts(*stored), "sutra_id", ["juans", "notes", "apps", "toc_entries"])
+    return got.select("sutra_id", *[F.col(f"{m}_source").alias(m) for m in ("juans", "notes", "apps", "toc_entries")], "status")
 
 
 @query(
