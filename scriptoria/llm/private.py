@@ -4,7 +4,7 @@ Patterns find e-mail addresses, IP addresses, card and phone numbers; these are
 near an entity) reveals entity e as far as knowing the term raises the probability of e: the disclosure of a term is its
 pointwise mutual information with e over the information of e, log(p(e|t) / p(e)) / log(1 / p(e)), with probabilities over
 the documents of the corpus. It is 1 if the term occurs with e only. Terms at or above ``disclosure`` that stand near e in
-at least ``support`` different contexts are sanitised wherever they occur: as spans of kind ``term``, and in the
+at least ``support`` different contexts (the words beside e) are sanitised wherever they occur: as spans of kind ``term``, and in the
 sanitised text as [TERM], or by the generalisation given for the word.
 
 Counts cover all documents. Only words near entities are candidates (few, as entities are); their document counts need
@@ -92,7 +92,8 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
             if len(right) == NEAR:
                 break
         around = [m[0].lower() for m in [*left, *right]]
-        context = xxhash.xxh64_intdigest(" ".join(around).encode()) - (1 << 63)
+        beside = [m[0].lower() for m in [*left[-1:], *right[:1]]]  # copies with edits further off are one context
+        context = xxhash.xxh64_intdigest(" ".join(beside).encode()) - (1 << 63)
         entity = xxhash.xxh64_intdigest(f"{k}:{text[s:e].lower()}".encode()) - (1 << 63)
         out.extend((entity, context, term_hash(w)) for w in {w for x in around if "@" not in x for w in WORD.findall(x)})
     return out
@@ -206,7 +207,7 @@ def find(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE
     if not words.limit(1).count():
         return plain.withColumn("spans", F.col("base"))
     bits = spark.sparkContext.broadcast(_bit_table(words, "term"))
-    places = docs.dropDuplicates(["doc_id", "h"]).mapInArrow(_places(bits), "doc_id long, h long, term long, start long, end long").join(words, "term", "left_semi")
+    places = docs.mapInArrow(_places(bits), "doc_id long, h long, term long, start long, end long").join(words, "term", "left_semi").distinct()
     listed = places.groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "end")).alias("terms"))
     joined = plain.alias("a").join(listed.alias("b"), F.expr("a.doc_id <=> b.doc_id and a.h = b.h"), "left").select("a.*", "b.terms")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema) + ", spans string"
