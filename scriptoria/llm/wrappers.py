@@ -31,6 +31,7 @@ from ..session import materialize
 from .common import query, table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
+CUT_TAG = re.compile(r"<[/!a-zA-Z][^<>]*\Z")  # a tag that the end of the page cuts
 ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select", "canvas"}
@@ -121,7 +122,7 @@ def parse(page: str) -> Element:
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             path.append(element)
     if at < len(page):
-        path[-1].kids.append(page[at:])
+        path[-1].kids.append(CUT_TAG.sub("", page[at:]))
     return root
 
 
