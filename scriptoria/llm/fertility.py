@@ -144,8 +144,9 @@ def bands(found: DataFrame, spread: dict[str, tuple[float, float]] = SPREAD, lea
 
 
 def judge(docs: DataFrame, lang: str | None = "lang", folder: str = VOCABULARIES, spread: dict[str, tuple[float, float]] = SPREAD, least: int = LEAST) -> DataFrame:
-    """Measures of every row of ``docs`` (its columns but the text), base_failed and kept."""
-    named = docs.withColumn("lang", F.coalesce(F.col(lang).cast("string"), F.lit("")) if lang in docs.columns else F.lit(""))
+    """Measures of every row of ``docs`` (its columns but the text), base_failed and kept; these replace columns of their names."""
+    made = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *MEASURES}
+    named = docs.drop(*made).withColumn("lang", F.coalesce(F.col(lang).cast("string"), F.lit("")) if lang in docs.columns else F.lit(""))
     found = materialize(measure(named, folder), "measures")
     limits = bands(found, spread, least).groupBy("lang").agg(*[F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{side}_{m}") for m in MEASURES for side in ("low", "high")])
     limits = materialize(limits, "bands")

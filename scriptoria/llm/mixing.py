@@ -159,9 +159,10 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
 
 def apply(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, max_rate: float = 1.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``docs``, each as often as its copies say, with the columns of ``docs``."""
-    found = mix(docs, labels, weights, max_rate, keep).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "copies").where("copies > 0")
-    joined = docs.withColumn("_k", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_h")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    found = mix(docs, labels, weights, max_rate, keep).where("copies > 0")
+    found = found.select(F.col("doc_id").alias("_mix_id"), F.col("h").alias("_mix_h"), F.col("copies").cast("int").alias("_mix_copies"))
+    joined = docs.withColumn("_mix_k", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_k") == F.col("_mix_h")))
+    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(docs.columns)
 
 
 @query("op8_mixing")

@@ -12,7 +12,7 @@ Ranks are taken within cells; rows of one key spread over ``SALT`` cells, so a k
 
 Contract: a null text has size 16 and the checksum of an empty text; a null key has a place on the ring as any value;
 repeated rows are placed each (which of them gets which slot is not told apart); an empty table gives no rows; extra
-columns are kept, names that this module adds are reserved (size, text_crc32, shard, slot).
+columns are kept, except that the added ones (size, text_crc32, shard, slot) replace columns of their names.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from .common import query, table
 VNODES = 64
 PREFIX_BITS = 12
 SALT = 16
+ADDED = ("size", "text_crc32", "shard", "slot")
 
 
 def ring(shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -65,34 +66,38 @@ def shard_rows(docs: DataFrame, shards: int = 40, vnodes: int = VNODES, key: str
     positions = [p for p, _ in points]
     step = 1 << (64 - PREFIX_BITS)
     by_prefix = [(k, bisect_left(positions, lo), [p for p in positions[bisect_left(positions, lo) :][:vnodes * shards] if p < lo + step]) for k, lo in ((k, (k << (64 - PREFIX_BITS)) - (1 << 63)) for k in range(1 << PREFIX_BITS))]
-    cells = F.broadcast(spark.createDataFrame(by_prefix, "prefix long, before int, points array<long>"))  # 2 ** PREFIX_BITS rows
+    cells = F.broadcast(spark.createDataFrame(by_prefix, "_ring_prefix long, _ring_before int, _ring_points array<long>"))  # 2 ** PREFIX_BITS rows
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    kept = [c for c in (docs.columns if columns is None else columns) if c not in ADDED]
+    placed = docs.select(
+        *dict.fromkeys([*kept, key]),
+        (F.octet_length(body).cast("long") + 16).alias("size"),
+        F.crc32(body.cast("binary")).alias("text_crc32"),
+        F.xxhash64(key).alias("_ring_at"),
+    )
     placed = (
-        docs.withColumn("size", F.octet_length(body).cast("long") + 16)
-        .withColumn("text_crc32", F.crc32(body.cast("binary")))
-        .withColumn("_at", F.xxhash64(key))
-        .withColumn("prefix", F.shiftright("_at", 64 - PREFIX_BITS) + (1 << (PREFIX_BITS - 1)))
-        .join(cells, "prefix")
-        .withColumn("_arc", (F.col("before") + F.size(F.filter("points", lambda p: p < F.col("_at")))) % len(points))
-        .withColumn("_part", F.pmod(F.xxhash64(key, "text_crc32", F.monotonically_increasing_id()), F.lit(SALT)))
-        .drop("before", "points")
+        placed.withColumn("_ring_prefix", F.shiftright("_ring_at", 64 - PREFIX_BITS) + (1 << (PREFIX_BITS - 1)))
+        .join(cells, "_ring_prefix")
+        .withColumn("_ring_arc", (F.col("_ring_before") + F.size(F.filter("_ring_points", lambda p: p < F.col("_ring_at")))) % len(points))
+        .withColumn("_ring_part", F.pmod(F.xxhash64(key, "text_crc32", F.monotonically_increasing_id()), F.lit(SALT)))
+        .drop("_ring_before", "_ring_points")
     )
-    kept = docs.columns if columns is None else columns
-    placed = placed.select(*dict.fromkeys([*kept, key]), "size", "text_crc32", "_at", "prefix", "_arc", "_part")
     placed = materialize(placed, "placed")
-    cell = ["_arc", "prefix", "_part"]
+    cell = ["_ring_arc", "_ring_prefix", "_ring_part"]
     sizes = placed.groupBy(cell).count().orderBy(cell).collect()  # at most SALT * (points + 2 ** PREFIX_BITS) rows
     counts, before = [0] * len(points), []
     for r in sizes:
-        before.append((r._arc, r.prefix, r._part, counts[r._arc]))
-        counts[r._arc] += r["count"]
+        arc = r["_ring_arc"]
+        before.append((arc, r["_ring_prefix"], r["_ring_part"], counts[arc]))
+        counts[arc] += r["count"]
     n = sum(counts)
     runs = place(counts, [s for _, s in points], [n // shards + (s < n % shards) for s in range(shards)])
-    offsets = spark.createDataFrame(before, "_arc int, prefix long, _part long, _before long")
-    spans = spark.createDataFrame(runs, "_arc int, _lo long, _hi long, shard int, _slot long")
-    ranked = placed.withColumn("_n", F.expr(f"row_number() over (partition by _arc, prefix, _part order by _at, `{key}`, text_crc32) - 1"))
-    ranked = ranked.join(F.broadcast(offsets), cell).withColumn("_rank", F.col("_n") + F.col("_before"))
-    found = ranked.join(F.broadcast(spans), "_arc").where("_rank >= _lo and _rank < _hi").withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_lo"))
+    offsets = spark.createDataFrame(before, "_ring_arc int, _ring_prefix long, _ring_part long, _ring_before long")
+    spans = spark.createDataFrame(runs, "_ring_arc int, _ring_lo long, _ring_hi long, shard int, _ring_slot long")
+    order = f"row_number() over (partition by _ring_arc, _ring_prefix, _ring_part order by _ring_at, `{key}`, text_crc32) - 1"
+    ranked = placed.withColumn("_ring_n", F.expr(order)).join(F.broadcast(offsets), cell).withColumn("_ring_rank", F.col("_ring_n") + F.col("_ring_before"))
+    found = ranked.join(F.broadcast(spans), "_ring_arc").where("_ring_rank >= _ring_lo and _ring_rank < _ring_hi")
+    found = found.withColumn("slot", F.col("_ring_slot") + F.col("_ring_rank") - F.col("_ring_lo"))
     return found.select(*kept, "size", "text_crc32", "shard", "slot")
 
 

@@ -130,7 +130,7 @@ def test_disclosing_terms(spark):
     assert got[100].spans == "" and got[201].text is None
 
 
-@pytest.mark.parametrize("call", [lambda d: fertility.judge(d.select("doc_id", "lang", "text")), lambda d: licenses.scan(d), lambda d: private.find(d)])
+@pytest.mark.parametrize("call", [lambda d: fertility.judge(d.withColumn("n_words", d.doc_id).withColumn("kept", d.lang)), lambda d: licenses.scan(d), lambda d: private.find(d)])
 def test_edges(odd, none, call):
     assert call(odd).count() == odd.count()
     assert call(none).count() == 0
