@@ -139,7 +139,7 @@ def strip_tags(col: Column | str) -> Column:
 
 
 def strip_markup(col: Column | str) -> Column:
-    """Remove tags, then decode entities (only texts with an ampersand go through Python)."""
+    """Remove tags, then decode entities, in Arrow batches over all rows (a condition does not keep rows out of Python)."""
     bare = strip_tags(col)
     return F.when(F.contains(bare, F.lit("&")), unescape_entities(bare)).otherwise(bare)
 
