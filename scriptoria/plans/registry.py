@@ -43,6 +43,7 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from . import (  # noqa: F401
         queries_corpus,
+        queries_files,
         queries_graph,
         queries_lexicon,
         queries_quality,
