@@ -132,17 +132,32 @@ def _hit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[(slot >> np.uint64(5)).astype(np.int64)] >> (slot & np.uint64(31)).astype(np.uint32)) & 1 == 1
 
 
+class Candidates:
+    """Which words the bit table holds; words met before are not hashed again while the memo has room."""
+
+    def __init__(self, bits: np.ndarray, room: int = 300_000):
+        self.bits, self.room, self.memo = bits, room, {}
+
+    def among(self, words: set[str]) -> dict[str, int]:
+        if len(self.memo) > self.room:
+            self.memo.clear()
+        new = [w for w in words if w not in self.memo]
+        if new:
+            hashes = np.fromiter((term_hash(w) for w in new), np.int64, len(new))
+            self.memo.update((w, h if x else None) for w, h, x in zip(new, hashes.tolist(), _hit(self.bits, hashes).tolist()))
+        return {w: h for w in words if (h := self.memo[w]) is not None}
+
+
 def _document_counts(bits):
     """How many documents of this task hold each candidate."""
 
     def run(batches):
         total: Counter = Counter()
+        candidates = Candidates(bits.value)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                words = {w.lower() for w in WORD.findall(text)} if text else ()
-                if words:
-                    hashes = np.fromiter((term_hash(w) for w in words), np.int64, len(words))
-                    total.update(np.unique(hashes[_hit(bits.value, hashes)]).tolist())
+                if text:
+                    total.update(candidates.among({w.lower() for w in set(WORD.findall(text))}).values())
             if len(total) > 500_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array(list(total.values()))], ["term", "n"])
                 total = Counter()
@@ -156,13 +171,14 @@ def _places(bits):
     names = ["doc_id", "h", "term", "start", "end"]
 
     def run(batches):
+        candidates = Candidates(bits.value)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, h, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text"))):
-                found = [(m.start(), m.end(), term_hash(m[0])) for m in WORD.finditer(text)] if text else []
-                if found:
-                    hit = _hit(bits.value, np.array([t for _, _, t in found], np.int64))
-                    out.extend((doc_id, h, t, s, e) for (s, e, t), x in zip(found, hit.tolist()) if x)
+                held = candidates.among({w.lower() for w in set(WORD.findall(text))}) if text else {}
+                if held:
+                    found = ((m.start(), m.end(), held.get(m[0].lower())) for m in WORD.finditer(text))
+                    out.extend((doc_id, h, t, s, e) for s, e, t in found if t is not None)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([],) * 5)], names)
 
     return run
