@@ -8,7 +8,9 @@ learned is a set of counts per item, so wrappers of parts of a host align with e
 folds its own pages into one wrapper per host, and wrappers of a host meet in rounds of bounded groups.
 
 The main region of a host is found in its wrapper: from the root down to the element that still holds most of the text
-of slots, not counting elements whose name or role says that they are something else (menus, adverts, forms, comments).
+of slots, not counting elements whose name or role says that they are something else (menus, adverts, forms, comments);
+a name is a whole class or id or the head of one, never that of html, body, main or article, and it does not count where
+the element holds most of the page's text together with its title or article, or nearly all of it.
 On a page the region's blocks are joined, without such elements and without texts that are the same on all pages of the
 host (unless they sit in a repeated group, where they are content that happens to recur).
 
@@ -43,35 +45,47 @@ OTHER_NAMES = {
     "footer", "masthead", "topbar", "cookie", "cookies", "consent", "gdpr", "notice", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "comment", "comments", "disqus", "respond",
     "reply", "replies", "pagination", "pager", "skip", "toolbar", "search", "form", "copyright", "legal", "disclaimer", "hidden",
 }
+CONTAINERS = {"html", "body", "main", "article"}  # no name excludes them
+STATES = {"has", "with", "no", "without", "not", "is", "show"}  # a name after these tells of a container, not of itself
+PLAIN = {"area", "bar", "block", "box", "button", "buttons", "container", "holder", "inner", "item", "items", "link", "links", "list", "outer", "post", "posts", "section", "thread", "wrap", "wrapper"}  # heads that say nothing
 SITE_HEADER = {"header", "pageheader", "siteheader"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LISTS = {"ul", "ol", "dl", "table"}
 MIN_PAGES = 3  # below, a text that is the same on all pages proves nothing
 SHARE = 0.6
+NEARLY_ALL = 0.9
 GROUP = 64  # wrappers of a host that meet in one task of a round
 
 
 class Element:
     __slots__ = ("key", "tag", "other", "kids")
 
-    def __init__(self, key: str, tag: str, other: bool):
+    def __init__(self, key: str, tag: str, other: int):
         self.key, self.tag, self.other, self.kids = key, tag, other, []
 
 
-def _named(tag: str, raw: str) -> tuple[str, bool]:
-    """Key of an element (tag, classes and id without digits) and whether its name or role excludes it."""
+def _excludes(name: str) -> bool:
+    """Whether a class or id is one of OTHER_NAMES, or a compound of which that is the head (main-menu, not sidebar-right)."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+    while len(words) > 1 and words[-1] in PLAIN:
+        words.pop()
+    return bool(words) and words[-1] in OTHER_NAMES and not STATES & set(words[:-1])
+
+
+def _named(tag: str, raw: str) -> tuple[str, int]:
+    """Key of an element (tag, classes and id without digits) and what excludes it: 2 its tag, role or style, 1 only its name, 0 nothing."""
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(raw)} if "=" in raw else {}
     names = [*sorted(found.get("class", "").split()), found.get("id", ""), found.get("role", "")]
     key = ".".join([tag, *[re.sub(r"\d+", "#", n) for n in names if n]])
-    parts = {p for n in names[:-1] for p in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", n).lower())}
-    other = tag in OTHER_TAGS or found.get("role", "").lower() in OTHER_ROLES or bool(parts & OTHER_NAMES) or found.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|$)", raw) is not None or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
-    return key, other
+    if tag in OTHER_TAGS or found.get("role", "").lower() in OTHER_ROLES or found.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|$)", raw) is not None or re.search(r"display\s*:\s*none", found.get("style", "")) is not None:
+        return key, 2
+    return key, int(tag not in CONTAINERS and any(_excludes(n) for n in names[:-1]))
 
 
-_names: dict[tuple[str, str], tuple[str, bool]] = {}
+_names: dict[tuple[str, str], tuple[str, int]] = {}
 
 
-def named(tag: str, raw: str) -> tuple[str, bool]:
+def named(tag: str, raw: str) -> tuple[str, int]:
     got = _names.get((tag, raw))
     if got is None:
         got = _named(tag, raw)
@@ -82,7 +96,8 @@ def named(tag: str, raw: str) -> tuple[str, bool]:
 
 def parse(page: str) -> Element:
     """Tree of elements and texts; comments are gone, the content of raw elements too."""
-    root = Element("", "", False)
+    root = Element("", "", 0)
+    by_name = False
     path = [root]
     at, raw_until = 0, None
     for m in TOKEN.finditer(page):
@@ -115,6 +130,7 @@ def parse(page: str) -> Element:
                     break
         key, other = named(tag, m[3])
         element = Element(key, tag, other)
+        by_name |= other == 1
         path[-1].kids.append(element)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
@@ -123,9 +139,33 @@ def parse(page: str) -> Element:
             path.append(element)
     if at < len(page):
         path[-1].kids.append(CUT_TAG.sub("", page[at:]))
+    if by_name:
+        readmit(root)
     return root
 
 
+def readmit(root: Element) -> None:
+    """What only its name excludes is content if it holds most of the page's text: with the article or its title, or nearly all."""
+    found = []
+
+    def size(e: Element) -> tuple[int, bool]:
+        chars, titled = 0, False
+        for kid in e.kids:
+            if isinstance(kid, str):
+                chars += len(kid.strip())
+            elif kid.other != 2:
+                n, t = size(kid)
+                chars, titled = chars + n, titled or t or kid.tag in ("h1", "main", "article")
+        if e.other == 1:
+            found.append((e, chars, titled))
+        return chars, titled
+
+    total = size(root)[0]
+    for e, chars, titled in found:
+        if 2 * chars > total and (titled or chars >= NEARLY_ALL * total):
+            e.other = 0
+
+
 def squeeze(text: str) -> str:
     return " ".join(html.unescape(text).split())
 
@@ -133,11 +173,11 @@ def squeeze(text: str) -> str:
 # ---------------------------------------------------------------- wrappers
 
 # An item of a wrapper is a list: [times its parent was seen with it, most often in one parent, constant text of its own
-# or None (a slot), characters of its own texts, texts seen, whether excluded, items by key, pairs of keys in order].
+# or None (a slot), characters of its own texts, texts seen, how often it was excluded, items by key, pairs of keys in order].
 
 
-def blank(other: bool = False) -> list:
-    return [0, 0, "", 0, 0, other, {}, {}]
+def blank() -> list:
+    return [0, 0, "", 0, 0, 0, {}, {}]
 
 
 def fold(item: list, element: Element) -> None:
@@ -152,7 +192,8 @@ def fold(item: list, element: Element) -> None:
             continue
         below = item[6].get(kid.key)
         if below is None:
-            below = item[6][kid.key] = blank(kid.other)
+            below = item[6][kid.key] = blank()
+        below[5] += kid.other > 0
         seen[kid.key] = seen.get(kid.key, 0) + 1
         if before is not None and before != kid.key:
             item[7][before + " " + kid.key] = 1
@@ -178,6 +219,7 @@ def align(a: list, b: list) -> list:
     a[1] = max(a[1], b[1])
     a[3] += b[3]
     a[4] += b[4]
+    a[5] += b[5]
     a[7].update(b[7])
     for key, item in b[6].items():
         a[6][key] = align(a[6][key], item) if key in a[6] else item
@@ -226,7 +268,7 @@ def _order(item: list) -> list[list[str]]:
 
 def weight(item: list) -> int:
     """Characters of slots below an item, without excluded elements; texts of hosts with few pages all count."""
-    if item[5]:
+    if 2 * item[5] > item[4]:
         return 0
     own = item[3] if item[2] is None or item[4] < MIN_PAGES else 0
     return own + sum(weight(x) for x in item[6].values())
@@ -302,6 +344,11 @@ def blocks(element: Element, same: dict, inside: bool = True) -> list[str]:
     return out
 
 
+def built(tree: list) -> tuple[list[str], dict]:
+    """Main region and fixed texts of a wrapper."""
+    return region(tree), {} if titled_alike(tree) else fixed(tree)
+
+
 def locate(root: Element, path: list[str]) -> list[Element]:
     here = [root]
     for key in path:
@@ -358,14 +405,13 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 
 def _extract(batches):
-    built: dict[str, tuple[list[str], dict]] = {}
+    known: dict[str, tuple[list[str], dict]] = {}
     for batch in batches:
         texts = []
         for page, host, wrapper in zip(*(batch.column(c).to_pylist() for c in ("html", "host", "wrapper"))):
-            if wrapper is not None and host not in built:
-                tree = json.loads(wrapper)
-                built[host] = (region(tree), {} if titled_alike(tree) else fixed(tree))
-            texts.append(main_text(page, built.get(host)))
+            if wrapper is not None and host not in known:
+                known[host] = built(json.loads(wrapper))
+            texts.append(main_text(page, known.get(host)))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
