@@ -12,7 +12,7 @@ of slots, not counting elements whose name or role says that they are something
 a name is a whole class or id or the head of one, never that of html, body, main or article, and it does not count where
 the element holds most of the page's text together with its title or article, or nearly all of it.
 On a page the region's blocks are joined, without such elements and without texts that are the same on all pages of the
-host (unless they sit in a repeated group, where they are content that happens to recur).
+host (unless they sit in a repeated group, where they are content that happens to recur, or in an article or main element).
 
 Contract: a null or empty page has an empty text; a page whose region is missing is aligned with itself alone; a null url is
 a host of its own; malformed markup is closed as browsers do for the usual cases; nothing is cut or capped; repeated rows
@@ -37,6 +37,7 @@ CUT_TAG = re.compile(r"<[/!a-zA-Z][^<>]*\Z")  # a tag that the end of the page c
 ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select", "canvas"}
+FOREIGN = {"svg", "math"}  # empty where they are closed in their own tag or never
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
 OTHER_TAGS = {"nav", "aside", "footer", "form", "button", "input", "dialog", "menu", "head", "fieldset"} | RAW
 OTHER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "alertdialog"}
@@ -117,7 +118,7 @@ def parse(page: str) -> Element:
                 if path[k].tag in ("article", "main", "body", "td", "th") and tag in INLINE:
                     break
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in FOREIGN:
             while path[-1].tag in INLINE and any(e.tag == "p" for e in path) or path[-1].tag == "p":
                 path.pop()
         shut = CLOSES.get(tag)
@@ -132,9 +133,11 @@ def parse(page: str) -> Element:
         element = Element(key, tag, other)
         by_name |= other == 1
         path[-1].kids.append(element)
+        if tag in FOREIGN and m[3].rstrip().endswith("/"):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = raw_until = end.end() if end else (at if tag in ("title", "textarea") else len(page))
+            at = raw_until = end.end() if end else (at if tag in ("title", "textarea") or tag in FOREIGN else len(page))
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             path.append(element)
     if at < len(page):
@@ -296,14 +299,16 @@ def titled_alike(item: list) -> bool:
     return any((k.split(".")[0] == "h1" and x[2] is not None and x[4] >= MIN_PAGES) or titled_alike(x) for k, x in item[6].items())
 
 
-def fixed(item: list, repeated: bool = False) -> dict:
-    """Tree of the keys whose own text is the same on all pages (outside of repeated groups); main headings never are."""
+def fixed(item: list, repeated: bool = False, pages: int | None = None) -> dict:
+    """Tree of the keys whose own text is the same on all pages (outside of repeated groups and of article and main); main headings never are."""
+    pages = item[4] if pages is None else pages
+    once = {k: x for k, x in item[6].items() if k.split(".")[0] not in ("article", "main")}
     groups = {k for g in _order(item) if len(g) > 1 for k in g}
     out = {}
-    for key, below in item[6].items():
+    for key, below in once.items():
         again = repeated or below[1] > 1 or key in groups
-        inner = fixed(below, again)
-        same = not again and key.split(".")[0] != "h1" and below[2] is not None and below[2] != "" and below[4] >= MIN_PAGES
+        inner = fixed(below, again, pages)
+        same = not again and key.split(".")[0] != "h1" and below[2] is not None and below[2] != "" and below[4] >= max(MIN_PAGES, pages)
         if inner or same:
             out[key] = [same, inner]
     return out

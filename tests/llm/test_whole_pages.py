@@ -29,3 +29,25 @@ def test_names_of_containers_exclude_no_article(form):
     for pages in ([form.format(MENU + article(k) + SIDE) for k in range(4)], [form.format(article(0))]):
         assert together(pages) == want[: len(pages)]
         assert [wrappers.main_text(p, None) for p in pages] == want[: len(pages)]
+
+
+def test_texts_of_some_pages_stay():
+    box = "<body><div class=site>{}</div></body>"
+    extra = "<h2>Ingredients</h2><blockquote>The same words</blockquote>"
+    foot = "<div class=tell>Tell your friends</div>"
+    texts = together([box.format(f"<div class=story>{article(k)}{extra if k < 3 else ''}{foot}</div>") for k in range(8)])
+    assert all(("Ingredients\n\nThe same words" in t) == (k < 3) for k, t in enumerate(texts))
+    assert not any("friends" in t for t in texts)  # the same on all pages
+
+
+def test_nothing_within_an_article_is_fixed():
+    texts = together([f"<body><article>{article(k)}<h2>Ingredients</h2></article></body>" for k in range(4)])
+    assert all(t.endswith("Ingredients") for t in texts)
+
+
+@pytest.mark.parametrize("icon", ["<svg class='i' />", "<svg viewBox='0 0 1 1'/>", "<math/>", "<svg>", "<svg><path d='M0'/></svg>"])
+def test_foreign_elements_take_no_text(icon):
+    page = f"<body><article><h1>Title</h1><p>Before {icon} after the icon</p><p>More text to the end</p></article></body>"
+    assert wrappers.main_text(page, None) == "Title\n\nBefore after the icon\n\nMore text to the end"
+    two = page.replace("</article>", "<p><svg>no<path></svg> last</p></article>")
+    assert icon in ("<svg>",) or wrappers.main_text(two, None).endswith("More text to the end\n\nlast")
