@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import U64, Texts, deal, gather, mix, popcount, query, record, scatter, starts, table, tasks
+from .common import U64, Texts, deal, gather, mix, numbered, popcount, query, record, scatter, starts, table, tasks
 from .components import components
 
 SEED = 42
@@ -183,10 +183,11 @@ def near_duplicates(docs: DataFrame, size: int = 4, distance: int = 4, direct: i
 
 
 def keep_one(docs: DataFrame, size: int = 4, distance: int = 4) -> DataFrame:
-    """One document of each component: the one whose doc_id names it (of repeated ids, one row). Null ids stay."""
-    ids = near_duplicates(docs.where("doc_id is not null"), size, distance).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").select(docs.columns)
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """One row of each component: the first by doc_id, of repeated ids by a hash of the text. Null ids stay."""
+    rows = numbered(docs.where("doc_id is not null").select("doc_id", "text", F.struct(*docs.columns).alias("row")))
+    found = near_duplicates(rows.select(F.col("ord").alias("doc_id"), "text"), size, distance)
+    kept = rows.join(found.where("doc_id = component_id").select(F.col("doc_id").alias("ord")), "ord", "left_semi")
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 @query("op10_simhash")
