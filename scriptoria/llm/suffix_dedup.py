@@ -264,7 +264,9 @@ def _chunks(batch, length):
 def _round3(length: int, bits, buckets: int):
     def flush(parts):
         name, full, doc, pos = (np.concatenate(x) for x in zip(*parts))
-        return scatter(mix(name) % U64(buckets), name=name, full=full, doc=doc, pos=pos)
+        keep = _first_of_pos(doc, pos, name, full)
+        name, full = name[keep], full[keep]  # the name alone would bring all documents around one passage together
+        return scatter(mix(name ^ mix(full)) % U64(buckets), name=name, full=full, doc=doc[keep], pos=pos[keep])
 
     def run(batches):
         parts, held = [], 0
