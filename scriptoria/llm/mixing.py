@@ -10,7 +10,7 @@
    r <- min(max_rate, max(0, r - gradient)). A round is one aggregation to K sums over the table of posteriors; the
    gradients so far are the whole state, and a document's rate follows from them.
 
-Domains: junk (quality 0), toxic (toxic 1, not junk) and clean. ``weights`` gives target shares; the total is the largest
+Domains: toxic (toxic 1, whatever the quality), junk (quality 0, not toxic) and clean. ``weights`` gives target shares; the total is the largest
 at which no domain with a weight needs more than it has. Domains in ``keep`` keep the total that they have.
 
 Contract: documents are told apart by (doc_id, hash of the text), rows equal in both get the same rate each; a null text
@@ -55,7 +55,7 @@ def _count(words):
 def domains(labels: DataFrame) -> DataFrame:
     """(doc_id, domain) of every labelled document."""
     one = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    return one.select("doc_id", F.when(F.col("quality") == 0, "junk").when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("domain"))
+    return one.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "junk").otherwise("clean").alias("domain"))
 
 
 def _features(docs: DataFrame, slots: int) -> DataFrame:

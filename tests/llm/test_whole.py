@@ -4,7 +4,8 @@ from types import SimpleNamespace
 
 import numpy as np
 
-from scriptoria.llm import common, simhash, suffix_dedup
+import corpus_pipeline
+from scriptoria.llm import common, mixing, simhash, suffix_dedup
 
 
 def test_keep_one_keeps_other_texts_of_an_id(spark):
@@ -13,6 +14,16 @@ def test_keep_one_keeps_other_texts_of_an_id(spark):
     assert sorted(map(tuple, simhash.keep_one(docs).collect())) == rows[:2]
 
 
+def test_toxic_labels_go_whatever_their_quality(spark, sf):
+    folder = sf.replace("0.001", "0.01")
+    docs, known = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    toxic = {r.doc_id for r in known.where("toxic = 1").collect()}
+    both = {r.doc_id for r in known.where("toxic = 1 and quality = 0").collect()}
+    assert both and both <= {r.doc_id for r in mixing.domains(known).where("domain = 'toxic'").collect()}
+    kept = {r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, folder).select("doc_id").collect()}
+    assert kept and not kept & toxic
+
+
 def test_windows_around_a_shared_passage_are_spread():
     import pyarrow as pa
 
