@@ -19,9 +19,3 @@ def spark():
 @pytest.fixture(scope="session")
 def sf():
     return "/root/testdata/sf0.001"
-
-
-def rows(df, *cols):
-    """Result rows as a sorted list of tuples."""
-    df = df.select(*cols) if cols else df
-    return sorted((tuple(r) for r in df.collect()), key=repr)

@@ -1,7 +1,7 @@
 import random
 from collections import deque
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from scriptoria.operators import chrono as C

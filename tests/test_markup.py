@@ -1,4 +1,4 @@
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from scriptoria.operators import extract as X

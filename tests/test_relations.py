@@ -1,6 +1,6 @@
 import random
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from scriptoria.operators import firstwins as W
