@@ -1,11 +1,13 @@
 """Queries of this package, by name."""
 
 from . import (  # noqa: F401
+    centroids,
     common,
     decontaminate,
     fertility,
     licenses,
     mixing,
+    packing,
     ppm,
     private,
     ring,
