@@ -13,6 +13,7 @@ from . import (  # noqa: F401
     ring,
     simhash,
     suffix_dedup,
+    turns,
     wrappers,
 )
 
