@@ -468,7 +468,54 @@ def damage(turns: DataFrame) -> DataFrame:
     ).drop("copy")
 
 
-@query("op11_turns")
+#: The same rows in SQL: no targets and bands, but least (cost, edits) of each state of the grammar, row by row.
+SQL = r"""WITH RECURSIVE named AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+crc AS (
+    SELECT *, (xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(k) + 1), lambda i: ord(substr(k, i, 1))::BIGINT)),
+        lambda acc, x: list_reduce(list_prepend(xor(acc, x), range(8)), lambda c, n: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))))) % 20 AS fault FROM named),
+damaged AS (
+    SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+        CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy
+    FROM crc WHERE fault <> 0),
+convs AS (SELECT conv_id, row_number() OVER () AS g FROM (SELECT DISTINCT conv_id FROM conversations)),
+placed AS (
+    SELECT g, turn, role, text, CASE WHEN role = '' THEN ' ' ELSE role[1] END AS letter, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body,
+        row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text, copy) AS i, row_number() OVER (PARTITION BY g, role, text ORDER BY turn NULLS FIRST, copy) AS seen
+    FROM damaged d JOIN convs c ON d.conv_id IS NOT DISTINCT FROM c.conv_id),
+faults AS MATERIALIZED (
+    SELECT *, body = '' AS blank, body <> '' AND seen > 1 AS duplicate, body <> '' AND seen = 1 AND body[-1] NOT IN ('.', '!', '?') AS truncated,
+        lag(letter) OVER (PARTITION BY g ORDER BY i) || letter NOT IN ('su', 'ua', 'au') AS illegal, count(*) OVER (PARTITION BY g) AS n
+    FROM placed),
+states AS (
+    SELECT g, 0::BIGINT AS i, {'c': 0::BIGINT, 'e': ''} AS o, {'c': 1000000000::BIGINT, 'e': ''} AS s, {'c': 1000000000::BIGINT, 'e': ''} AS u, {'c': 1000000000::BIGINT, 'e': ''} AS a FROM convs
+    UNION ALL
+    SELECT g, i, {'c': o.c + 4, 'e': o.e || 'D'},
+        list_min([{'c': s.c + 4, 'e': s.e || 'D'}, {'c': o.c + IF(letter = 's', stay, 1000000000), 'e': o.e || 'K'}]),
+        list_min([{'c': u.c + 4, 'e': u.e || 'D'}, {'c': least(o, s, a).c + stay + IF(letter = 'u', 0, 3), 'e': least(o, s, a).e || IF(letter = 'u', 'K', 'R')}]),
+        list_min([{'c': a.c + 4, 'e': a.e || 'D'}, {'c': u.c + stay + IF(letter = 'a', 0, 3), 'e': u.e || IF(letter = 'a', 'K', 'R')}])
+    FROM (
+        SELECT b.g, f.i, letter, CASE WHEN blank OR duplicate THEN 1000000000 WHEN truncated THEN 3 ELSE 0 END AS stay, o, s,
+            list_min([u, {'c': a.c + 3, 'e': a.e || 'I'}, {'c': s.c + 3, 'e': s.e || 'I'}, {'c': o.c + 3, 'e': o.e || 'I'}]) AS u,
+            list_min([a, {'c': u.c + 3, 'e': u.e || 'I'}, {'c': s.c + 6, 'e': s.e || 'II'}, {'c': o.c + 6, 'e': o.e || 'II'}]) AS a
+        FROM states b JOIN faults f ON f.g = b.g AND f.i = b.i + 1)),
+best AS (
+    SELECT b.g, list_min([o, a, {'c': u.c + 3, 'e': u.e || 'I'}, {'c': s.c + 6, 'e': s.e || 'II'}]) AS w
+    FROM states b LEFT JOIN (SELECT g, max(n) AS n FROM faults GROUP BY g) f USING (g) WHERE b.i = coalesce(n, 0)),
+steps AS (SELECT g, w.e AS audit, p, w.e[p] AS e, len(replace(w.e[:p - 1], 'I', '')) + 1 AS i, len(replace(w.e[:p], 'D', '')) AS k FROM (SELECT g, w, unnest(range(1, len(w.e) + 1)) AS p FROM best)),
+lines AS (
+    SELECT t.g, p, CASE WHEN e = 'K' THEN role ELSE IF((k - max(IF(e = 'K' AND letter = 's', 1, 0)) OVER (PARTITION BY t.g)) % 2 = 1, 'user', 'assistant') END || ':' || IF(e = 'I', '', text) AS line, e
+    FROM steps t LEFT JOIN faults f ON f.g = t.g AND f.i = t.i)
+SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank)::BIGINT AS blank,
+    count(*) FILTER (duplicate)::BIGINT AS duplicate, count(*) FILTER (truncated)::BIGINT AS truncated, count(*) FILTER (illegal)::BIGINT AS illegal,
+    any_value(w.c)::BIGINT AS cost, any_value(w.e) AS audit,
+    sha256(coalesce(any_value(whole), '')) AS repaired_sha256
+FROM convs c JOIN best USING (g) LEFT JOIN faults USING (g)
+    LEFT JOIN (SELECT g, string_agg(line, chr(10) ORDER BY p) FILTER (e <> 'D') AS whole FROM lines GROUP BY g) USING (g)
+GROUP BY g, conv_id"""
+
+
+@query("op11_turns", SQL)
 def op11(spark, sf_dir):
     """Faults, cheapest edits and hash of the repaired form of every damaged conversation."""
     given = table(spark, sf_dir, "conversations")
