@@ -1,7 +1,8 @@
 """The stages of the pipeline on the small tables."""
 
 import corpus_pipeline
-from scriptoria.llm import decontaminate, fertility, mixing, simhash
+from scriptoria.llm import decontaminate, fertility, mixing
+from test_near_copies import brute, joined
 
 
 def test_stages(spark, sf):
@@ -20,7 +21,11 @@ def test_stages(spark, sf):
         if name == "quality_rules":
             assert ids == {r.doc_id for r in fertility.judge(docs.select("doc_id", "lang", "text")).where("kept").collect()}
         elif name == "near_dedup":
-            assert ids == {r.component_id for r in simhash.near_duplicates(before).collect()}
+            rows = sorted((r.doc_id, r.text or "") for r in before.collect())
+            first, texts = {}, [t for _, t in rows]
+            same = [(first.setdefault(t, k), k) for k, t in enumerate(texts)]
+            root = joined([*brute(texts), *same], len(rows))
+            assert ids == {rows[k][0] for k in range(len(rows)) if root[k] == k}
         elif name == "decontamination":
             dirty = {r.doc_id for r in decontaminate.matches(before, items).collect()}
             assert dirty and ids == was - dirty
