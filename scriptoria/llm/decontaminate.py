@@ -170,9 +170,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RAT
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without those that hold an item; rows that share a doc_id with one are judged by their own text."""
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("k"), F.struct(*docs.columns).alias("row"))
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
-    dirty = matches(keyed, benchmark, **options).select(F.col("doc_id").alias("_k")).distinct()
-    return docs.withColumn("_k", F.xxhash64("doc_id", "text")).join(dirty, "_k", "left_anti").select(docs.columns)
+    dirty = matches(keyed, benchmark, **options).select(F.col("doc_id").alias("k")).distinct()
+    return rows.join(dirty, "k", "left_anti").select("row.*")
 
 
 @query("op6_decontaminate")

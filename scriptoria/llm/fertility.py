@@ -160,10 +160,15 @@ def judge(docs: DataFrame, lang: str | None = "lang", folder: str = VOCABULARIES
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` that the rules keep."""
-    keyed = docs.select(F.xxhash64("doc_id", "lang", "text").alias("_k"), "lang", "text")
-    kept = judge(keyed, **options).where("kept").select("_k").distinct()
-    return docs.withColumn("_k", F.xxhash64("doc_id", "lang", "text")).join(kept, "_k", "left_semi").select(docs.columns)
+    """Rows of ``docs`` (doc_id, text and, where there is one, lang) that the rules keep, with their columns as they were.
+
+    Rows equal in id, language and text are judged as one; rows without an id by their text. An empty table stays empty.
+    """
+    given = [c for c in ("doc_id", "lang", "text") if c in docs.columns]
+    rows = docs.select(F.xxhash64(*given).alias("k"), F.struct(*docs.columns).alias("row"))
+    keyed = docs.select(F.xxhash64(*given).alias("k"), *given[1:])
+    kept = judge(keyed, **options).where("kept").select("k").distinct()
+    return rows.join(kept, "k", "left_semi").select("row.*")
 
 
 @query("op3_fertility")

@@ -43,3 +43,13 @@ def test_run(spark, sf):
     sizes = [sum(r.shard == s for r in rows) for s in range(corpus_pipeline.SHARDS)]
     assert rows and max(sizes) - min(sizes) <= 1
     assert len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_stages_on_odd_rows(spark, odd, none, sf):
+    named = odd.withColumnsRenamed({"shard": "_k", "rate": "k"})
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        for docs in (named, named.drop("lang"), none):
+            after = stage(spark, docs, sf)
+            rows = after.collect()
+            given = [tuple(r) for r in docs.collect()]
+            assert after.columns == docs.columns and all(tuple(r) in given for r in rows), name
