@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.compat import WS
 from ..functions.text import drop_ws
 from ..operators import quality as Q
+from ..operators.align import align_texts
 from .registry import Tables, query
 
 # Personal data and secrets stand in for leaked notes.
@@ -172,3 +173,56 @@ def compare_copies(t: Tables) -> DataFrame:
     a = same.join(t.documents.select(F.col("doc_id").alias("first_id"), F.col("text").alias("a")), "first_id").select(*keys, "a")
     b = same.join(t.documents.select(F.col("doc_id").alias("last_id"), F.col("text").alias("b")), "last_id").select(*keys, "b")
     return Q.compare_texts(a, b, keys, "a", "b", normalize=False).select(*keys, "ratio", "band", F.col("left_len").alias("n_chars"))
+
+
+_CUT = r"[.!?\n。！？；]+"
+
+
+def _sql_known_edits() -> str:
+    side = {"l": "side = 0", "r": "side = 1"}
+    bounds = ", ".join(f'coalesce(max(upto) FILTER ({own} AND m), 0) AS {s}f, coalesce(max(upto) FILTER ({own} AND NOT m), max(upto) FILTER ({own} AND m), 0) AS {s}t' for s, own in side.items())
+    around = lambda s: f"substring({s}w, greatest({s}f - 10, 0) + 1, {s}f - greatest({s}f - 10, 0)) || '【' || {s}c || '】' || substring({s}w, {s}t + 1, 10)"
+    return f"""
+    WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '{_CUT}'), lambda s: regexp_replace(s, '[{WS}]+', '', 'g')), lambda s: s <> '') AS l FROM documents),
+    u AS (SELECT doc_id, len(l) AS n, unnest(l) AS seg, unnest(range(len(l))) AS i FROM s),
+    k AS (SELECT doc_id, n, i, i || ':' || seg AS label, CASE WHEN n >= 40 AND i = 1 THEN 'move' WHEN i % 7 = 3 THEN 'change' WHEN i % 11 = 5 THEN 'drop' ELSE 'keep' END AS e FROM u),
+    units AS (SELECT doc_id, 0 AS side, i AS a, 0 AS b, label AS seg, e = 'keep' AS m FROM k
+        UNION ALL SELECT doc_id, 1, i, 0, label, true FROM k WHERE e = 'keep'
+        UNION ALL SELECT doc_id, 1, i, 0, '≠' || i || '≠', false FROM k WHERE e = 'change'
+        UNION ALL SELECT doc_id, 1, i, 1, '±' || i || '±', false FROM k WHERE e = 'keep' AND i % 13 = 6
+        UNION ALL SELECT doc_id, 1, 14, 2, label, false FROM k WHERE e = 'move'),
+    p AS (SELECT *, (sum(length(seg)) OVER w)::BIGINT AS upto, sum(m::INT) OVER w AS gap FROM units WINDOW w AS (PARTITION BY doc_id, side ORDER BY a, b)),
+    t AS (SELECT doc_id, string_agg(seg, '' ORDER BY a, b) FILTER (side = 0) AS lw, string_agg(seg, '' ORDER BY a, b) FILTER (side = 1) AS rw,
+        coalesce(sum(length(seg)) FILTER (side = 0 AND m), 0) AS same FROM units GROUP BY doc_id),
+    b AS (SELECT doc_id, gap, {bounds} FROM p GROUP BY doc_id, gap HAVING count(*) FILTER (NOT m) > 0),
+    d AS (SELECT b.*, lw, rw, substring(lw, lf + 1, lt - lf) AS lc, substring(rw, rf + 1, rt - rf) AS rc FROM b JOIN t USING (doc_id)),
+    x AS (SELECT doc_id, count(*) AS n_diffs, string_agg(concat_ws('/', CASE WHEN rc = '' THEN 'delete' WHEN lc = '' THEN 'insert' ELSE 'replace' END, lf, rf, {around("l")}, {around("r")}), '|' ORDER BY lf, rf) AS diffs
+        FROM d GROUP BY doc_id),
+    y AS (SELECT doc_id, coalesce(length(lw), 0) AS left_len, coalesce(length(rw), 0) AS right_len, coalesce(same, 0) AS same FROM documents LEFT JOIN t USING (doc_id))
+    SELECT y.doc_id, CASE WHEN left_len + right_len = 0 THEN 1.0 ELSE round(2 * same / (left_len + right_len), 6) END::DOUBLE AS ratio, left_len::BIGINT AS left_len, right_len::BIGINT AS right_len,
+        coalesce(n_diffs, 0)::BIGINT AS n_diffs, coalesce(diffs, '') AS diffs, (SELECT count(*) FROM k WHERE k.doc_id = y.doc_id AND e = 'move')::BIGINT AS n_moves
+    FROM y LEFT JOIN x ON x.doc_id = y.doc_id"""
+
+
+@query("diff_known_edits", _sql_known_edits())
+def diff_known_edits(t: Tables) -> DataFrame:
+    """Every document against a copy with changed, dropped, added and moved segments: each edit with its surroundings."""
+    cut = F.filter(F.transform(F.split("text", _CUT), drop_ws), lambda s: s != "")
+    segs = t.documents.select("doc_id", F.coalesce(cut, F.array().cast("array<string>")).alias("l"))
+    label = lambda s, i: F.concat(i.cast("string"), F.lit(":"), s)
+    named = lambda mark, i: F.concat(F.lit(mark), i.cast("string"), F.lit(mark))
+    none, moved, second = F.array().cast("array<string>"), F.size("l") >= 40, label(F.get("l", F.lit(1)), F.lit(1))
+
+    def edited(s, i):
+        kept = F.when(i % 13 == 6, F.array(label(s, i), named("±", i))).when(moved & (i == 14), F.array(label(s, i), second)).otherwise(F.array(label(s, i)))
+        return F.when(moved & (i == 1), none).when(i % 7 == 3, F.array(named("≠", i))).when(i % 11 == 5, none).otherwise(kept)
+
+    join = lambda a: F.array_join(a, "\n")
+    left = segs.select("doc_id", join(F.transform("l", label)).alias("a"))
+    right = segs.select("doc_id", join(F.flatten(F.transform("l", edited))).alias("b"))
+    found = align_texts(left, right, ["doc_id"], "a", "b", normalize=False)
+    told = F.transform("diffs", lambda d: F.concat_ws("/", d["op"], d["left_at"].cast("string"), d["right_at"].cast("string"), d["left_context"], d["right_context"]))
+    return found.select(
+        "doc_id", F.round("ratio", 6).alias("ratio"), "left_len", "right_len", F.size("diffs").cast("long").alias("n_diffs"), F.array_join(told, "|").alias("diffs"),
+        F.size("moves").cast("long").alias("n_moves"),
+    )
