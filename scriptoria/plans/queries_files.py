@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..sinks.tables import export_csv
-from ..sources import catalogs, documents
+from ..sources import catalogs, documents, lexicons
 from .registry import Tables, query
 
+PER_FILE = 500  # rows of a table in one written file
+
 
 @query("catalog_file", "SELECT c_mktsegment || c_custkey AS sutra_id, c_mktsegment AS canon, 'n' || c_nationkey AS category, c_name AS author FROM customer")
 def catalog_file(t: Tables) -> DataFrame:
@@ -32,13 +34,13 @@ def canons_file(t: Tables) -> DataFrame:
 
 @query("glyph_file", "SELECT 'CB' || p_partkey AS cb_id, p_name AS uni_char, p_brand AS norm_uni_char, CASE WHEN p_size > 25 THEN p_type END AS norm_big5_char, '[' || p_size || ']' AS composition FROM part")
 def glyph_file(t: Tables) -> DataFrame:
-    """Glyph maps in as many files as there are groups of parts."""
+    """Glyph maps in files of a bounded number of parts."""
     path = scratch_path(t.spark, "glyphs")
     fields = F.struct(
         F.col("p_name").alias("uni_char"), F.col("p_brand").alias("norm_uni_char"), F.when(F.col("p_size") > 25, F.col("p_type")).alias("norm_big5_char"),
         F.concat(F.lit("["), F.col("p_size").cast("string"), F.lit("]")).alias("composition"),
     )
-    group = F.pmod("p_partkey", F.lit(8))
+    group = F.floor(F.col("p_partkey") / PER_FILE)
     maps = t.part.groupBy(group.alias("g")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("CB"), "p_partkey"), fields)))).alias("value"))
     maps.write.partitionBy("g").text(path)
     return catalogs.read_gaiji(t.spark, path)
@@ -56,3 +58,43 @@ def csv_export(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "csv")
     export_csv(t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority"), path)
     return t.spark.read.option("header", True).schema("o_orderkey bigint, o_orderstatus string, o_orderpriority string").csv(path)
+
+
+@query(
+    "user_dict_files",
+    """
+    SELECT 'json' AS kind, p_name || ' ' || p_partkey AS term, unnest(CASE WHEN p_size > 25 THEN [p_type, p_size::VARCHAR] ELSE [p_brand] END) AS definition FROM part
+    UNION ALL SELECT 'json', s_name, 'of ' || s_nationkey FROM supplier
+    UNION ALL SELECT 'json', 'c' || c_custkey, '【' || c_mktsegment || ' / ' || c_nationkey || '】' || chr(10) || '❶ ' || c_name || chr(10) || '❷ ' || c_mktsegment || chr(10) || '　　📖 「見」' FROM customer WHERE c_custkey % 3 > 0
+    UNION ALL SELECT 'json', 'c' || c_custkey, 'plain ' || c_name FROM customer WHERE c_custkey % 3 = 0
+    UNION ALL SELECT 'csv', o_orderpriority || ' ' || o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus || ', "' || o_orderkey || '"' ELSE '' END FROM orders WHERE o_custkey % 5 > 0
+    """,
+)
+def user_dict_files(t: Tables) -> DataFrame:
+    """User dictionaries in objects, arrays, nested arrays and CSV files of several layouts, read back; a broken file beside them."""
+    path = scratch_path(t.spark, "dicts")
+    group = lambda key: F.floor(F.col(key) / PER_FILE).alias("g")
+
+    values = F.when(F.col("p_size") > 25, F.concat(F.lit('["'), "p_type", F.lit('",'), "p_size", F.lit("]"))).otherwise(F.concat(F.lit('"'), "p_brand", F.lit('"')))
+    entry = F.concat(F.lit('"'), "p_name", F.lit(" "), "p_partkey", F.lit('": '), values)
+    t.part.groupBy(group("p_partkey")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(entry), ", "), F.lit("}")).alias("value")).write.partitionBy("g").text(f"{path}/json/object")
+    word = F.struct(F.col("s_name").alias("word"), F.lit("unused").alias("title"), F.concat(F.lit(" of "), "s_nationkey").alias("meaning"))
+    t.supplier.groupBy(group("s_suppkey")).agg(F.to_json(F.collect_list(word)).alias("value")).write.partitionBy("g").text(f"{path}/json/array")
+    senses = F.array(F.struct(F.col("c_name").alias("def"), F.array().cast("array<string>").alias("quote")), F.struct(F.col("c_mktsegment").alias("def"), F.array(F.lit("「見」")).alias("quote")))
+    readings = F.when(F.col("c_custkey") % 3 > 0, F.array(F.struct(F.col("c_mktsegment").alias("bopomofo"), F.col("c_nationkey").cast("string").alias("pinyin"), senses.alias("definitions"))))
+    nested = F.struct(F.concat(F.lit("c"), "c_custkey").alias("title"), readings.alias("heteronyms"), F.concat(F.lit("plain "), "c_name").alias("content"))
+    t.customer.groupBy(group("c_custkey")).agg(F.to_json(F.collect_list(nested)).alias("value")).write.partitionBy("g").text(f"{path}/json/nested")
+    t.region.limit(1).select(F.lit("{no json").alias("value"), F.lit(0).alias("g")).write.partitionBy("g").text(f"{path}/json/broken")
+
+    orders = t.orders.withColumn("layout", F.col("o_custkey") % 5)
+    term = F.concat("o_orderpriority", F.lit(" "), "o_orderkey")
+    quoted = F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit('"'), "o_orderstatus", F.lit(', ""'), "o_orderkey", F.lit('"""'))).otherwise(F.lit(""))
+    line = F.when(F.col("layout") <= 1, F.concat_ws(",", term, quoted)).when(F.col("layout") == 2, F.concat_ws(",", F.lit("x"), quoted, F.lit("y"), term)).otherwise(F.concat_ws(",", F.lit("old"), term, F.lit("z"), quoted))
+    head = F.when(F.col("layout") == 0, "name,note").when(F.col("layout") == 1, " Term ,DEFINITION").when(F.col("layout") == 2, "id,meaning,extra,headword").otherwise("term,Word,id,def")
+    # layout 0 has no known column; a file's lines are one value, so that the header stays first
+    sheets = orders.select(F.floor(F.col("o_orderkey") / (PER_FILE * 4)).alias("g"), "layout", head.alias("head"), line.alias("line"))
+    sheets = sheets.groupBy("g", "layout", "head").agg(F.concat_ws("\n", F.col("head"), F.array_join(F.collect_list("line"), "\n")).alias("value"))
+    sheets.select("g", "layout", "value").write.partitionBy("g", "layout").text(f"{path}/csv")
+
+    found = lexicons.read_user_dicts(t.spark, f"{path}/json/*/*/", f"{path}/csv")
+    return found.select(F.split("dict_id", "\\.")[1].alias("kind"), "term", "definition")

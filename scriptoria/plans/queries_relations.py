@@ -9,6 +9,8 @@ from ..functions import predicates as P
 from ..operators import catalog as K
 from ..operators import joins as J
 from ..operators import relate as R
+from ..session import scratch_path
+from ..sources.documents import read_outline
 from .registry import Tables, query
 
 # Titles made of the part's name and a genre word for its type.
@@ -237,3 +239,67 @@ def leaf_entries(t: Tables) -> DataFrame:
 def optional_filters(t: Tables) -> DataFrame:
     cond = P.all_of(F.col("s_nationkey") > 3, None, P.match_text("s_name", F.lit("SUPPLIER#00000000")))
     return P.located(t.supplier.filter(cond), "s_acctbal").select("s_suppkey")
+
+
+# -- an outline of four levels, written and read back -----------------------------------------------
+
+_BOOK = chr(0x1F4D6)
+_SQL_OUTLINE = f"""
+c AS (SELECT c_custkey AS k, c_custkey // 500 AS g, c_nationkey % 3 AS a, CASE WHEN c_custkey % 4 > 0 THEN c_mktsegment ELSE '' END AS b, 'T' || lpad(c_custkey::VARCHAR, 6, '0') AS id FROM customer),
+r AS (SELECT *, row_number() OVER w AS nth, min(k) OVER (PARTITION BY g, a, b) AS f, first_value(id) OVER w AS first_id FROM c WINDOW w AS (PARTITION BY g, a, b ORDER BY k)),
+i AS (SELECT *, 'K' || CASE WHEN b = '' THEN k ELSE f END || CASE WHEN b = '' OR nth = 1 THEN '經' WHEN nth = 2 THEN '經疏' WHEN nth = 3 THEN '經疏記' ELSE '經疏鈔' END AS title FROM r),
+ln AS (
+    SELECT g, -1 AS a, '' AS b, 0 AS o, 0 AS k, '- {_BOOK} doc ' || g AS line, NULL AS id, NULL AS title FROM (SELECT DISTINCT g FROM c)
+    UNION ALL SELECT g, a, '', 0, 0, '  - **part ' || a || '**', NULL, NULL FROM (SELECT DISTINCT g, a FROM c)
+    UNION ALL SELECT g, a, b, 1, 0, '    - {_BOOK} ' || b, NULL, NULL FROM (SELECT DISTINCT g, a, b FROM c WHERE b <> '')
+    UNION ALL SELECT g, a, b, 2, k, '    - `' || id || '` ' || title, id, title FROM i
+    UNION ALL SELECT g, 9, '', 0, 0, '- `T0` stray', NULL, NULL FROM (SELECT DISTINCT g FROM c)),
+nl AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY a, b, o, k) - 1 AS no FROM ln)
+"""
+
+
+def _outline_items(t: Tables) -> DataFrame:
+    """Customers as works in the groups of outline files of 500 each: a book, bold parts, segments in them, works at two levels."""
+    seg = F.when(F.col("c_custkey") % 4 > 0, F.col("c_mktsegment")).otherwise(F.lit(""))
+    c = t.customer.select(
+        F.col("c_custkey").alias("k"), F.floor(F.col("c_custkey") / 500).alias("g"), (F.col("c_nationkey") % 3).alias("a"), seg.alias("b"),
+        F.concat(F.lit("T"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("id"),
+    )
+    item = F.struct("k", "id")
+    groups = c.groupBy("g", "a", "b").agg(F.array_sort(F.collect_list(item)).alias("works"))
+    name = lambda n: F.when(n == 0, "經").when(n == 1, "經疏").when(n == 2, "經疏記").otherwise("經疏鈔")
+    title = lambda w, n: F.when(F.col("b") == "", F.concat(F.lit("K"), w["k"], F.lit("經"))).otherwise(F.concat(F.lit("K"), F.col("works")[0]["k"], name(n)))
+    deep = F.when(F.col("b") == "", "    - `").otherwise("      - `")
+    lines = F.transform("works", lambda w, n: F.concat(deep, w["id"], F.lit("` "), title(w, n)))
+    head = F.when(F.col("b") == "", F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit(f"    - {_BOOK} "), "b")))
+    parts = groups.select("g", "a", "b", F.concat(head, lines).alias("lines")).groupBy("g", "a").agg(F.array_sort(F.collect_list(F.struct("b", "lines")))["lines"].alias("lines"))
+    parts = parts.select("g", F.struct("a", F.concat(F.array(F.concat(F.lit("  - **part "), "a", F.lit("**"))), F.flatten("lines")).alias("lines")).alias("p"))
+    whole = parts.groupBy("g").agg(F.array_sort(F.collect_list("p"))["lines"].alias("parts"))
+    text = F.concat(F.array(F.concat(F.lit(f"- {_BOOK} doc "), "g")), F.flatten("parts"), F.array(F.lit("- `T0` stray")))
+    path = scratch_path(t.spark, "outline")
+    whole.select("g", F.array_join(text, "\n").alias("value")).write.partitionBy("g").text(path)
+    files = t.spark.read.text(path, wholetext=True).select(F.concat(F.lit("doc "), F.col("g").cast("string")).alias("doc_path"), "value")
+    return read_outline(files, lines=50)
+
+
+@query(
+    "outline_file",
+    f"""WITH {_SQL_OUTLINE},
+    h AS (SELECT g, a, b, no, line FROM nl WHERE o = 1 OR a = -1)
+    SELECT 'doc ' || n.g AS doc_path, h.no AS group_no, trim(h.line) AS group_title, n.no AS line_no, n.id AS sutra_id, n.title
+    FROM nl n JOIN h ON h.g = n.g AND CASE WHEN n.b = '' THEN h.a = -1 ELSE h.a = n.a AND h.b = n.b END WHERE n.id IS NOT NULL""",
+)
+def outline_file(t: Tables) -> DataFrame:
+    return _outline_items(t)
+
+
+@query(
+    "outline_relations",
+    f"""WITH {_SQL_OUTLINE},
+    m AS (SELECT g, a, b, id, nth FROM i WHERE b <> '')
+    SELECT x.id AS sutra_id, y.id AS commentary_id, x.nth::INT AS rule FROM m x JOIN m y USING (g, a, b) WHERE x.nth <= 2 AND y.nth > x.nth""",
+)
+def outline_relations(t: Tables) -> DataFrame:
+    """From outline files to relations: commentaries of a text, then commentaries of its first commentary."""
+    members = _outline_items(t).select(F.concat_ws("#", "doc_path", "group_no").alias("group_id"), "sutra_id", "title")
+    return R.extract_relations(members).select("sutra_id", "commentary_id", "rule")

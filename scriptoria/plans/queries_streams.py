@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 from ..streaming.dedupe import first_seen
-from ..streaming.index import maintain_index, read_index
-from ..streaming.notes import note_log
+from ..streaming.index import apply_batch, compact_batches, compacted_upto, maintain_index, read_index
+from ..streaming.notes import note_log, notes_per_day, read_note_stream
 from .registry import Tables, query
 
 
@@ -74,3 +74,76 @@ def stream_note_log(t: Tables) -> DataFrame:
     return notes.groupBy("sutra_id", F.to_date("day").cast("string").alias("day"), "juan").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.length("quote")).alias("longest")
     )
+
+
+@query(
+    "stream_index_changes",
+    """
+    WITH f AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 10 = 0 THEN text WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN replace(text, 'a', 'bb') ELSE text END AS text FROM documents),
+    g AS (SELECT doc_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substring(lower(text), i, 3))) AS term FROM f WHERE length(text) >= 3)
+    SELECT doc_id, count(DISTINCT term) AS n_terms, count(*) AS n_tokens FROM g GROUP BY doc_id
+    """,
+)
+def stream_index_changes(t: Tables) -> DataFrame:
+    """Inserts, updates, deletes and returns over three batches, two changes of a document in one of them; the first two
+    batches are compacted before the third comes, then the second is replayed."""
+    d, path = t.documents, scratch_path(t.spark, "index")
+    change = lambda df, text, op, no: df.select("doc_id", text.cast("string").alias("text"), F.lit(op).alias("op"), F.lit(no).alias("change_no"))
+    none, deleted = F.lit(None), "delete"
+    steps = [
+        change(d.filter("doc_id % 4 = 0"), F.lit("an older text"), "upsert", 1).unionByName(change(d, F.col("text"), "upsert", 2)),
+        change(d.filter("doc_id % 5 = 0"), none, deleted, 3).unionByName(change(d.filter("doc_id % 5 > 0 and doc_id % 3 = 0"), F.replace(F.col("text"), F.lit("a"), F.lit("bb")), "upsert", 3)),
+        change(d.filter("doc_id % 7 = 0"), none, deleted, 4).unionByName(change(d.filter("doc_id % 7 > 0 and doc_id % 10 = 0"), F.col("text"), "upsert", 4)),
+    ]
+    for k, rows in enumerate(steps):
+        rows.write.mode("append").parquet(f"{path}/changes")
+        stream = t.spark.readStream.schema(rows.schema).parquet(f"{path}/changes")
+        maintain_index(stream, path, f"{path}/state").awaitTermination()
+        if k == 1:
+            compact_batches(t.spark, path, k)
+    apply_batch(steps[1], 1, path)  # a replay
+    if compacted_upto(t.spark, path) != 1:
+        raise RuntimeError("the compaction is not in use")
+    index = read_index(t.spark, path)
+    return index.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("tf").alias("n_tokens"))
+
+
+@query(
+    "stream_notes_per_day",
+    """
+    SELECT 'T' || lpad(conv_id::VARCHAR, 6, '0') AS sutra_id, (DATE '2024-01-01' + turn::INT)::VARCHAR AS day, count(DISTINCT turn) AS n FROM conversations GROUP BY conv_id, turn
+    """,
+)
+def stream_notes_per_day(t: Tables) -> DataFrame:
+    """Notes per work and day from log files that come in three runs of one checkpoint.
+
+    The second run also brings files of a day that is already closed (late, dropped) and files that were there before under
+    other names (each note counts once); the third only closes what is open.
+    """
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("turn").cast("int")).cast("string")
+    entry = F.concat(
+        F.lit("### \U0001f552 10:00 | T"), F.lpad(F.col("conv_id").cast("string"), 6, "0"), F.lit(" x · 卷"), "turn", F.lit("\n\n\U0001f4dd **感悟**："), "role", F.lit("\n\n---\n"),
+    )
+    notes = t.conversations.select("turn", day.alias("day"), F.floor(F.col("conv_id") / 100).alias("part"), entry.alias("entry"))
+    files = notes.groupBy("turn", "day", "part").agg(F.array_join(F.collect_list("entry"), "\n").alias("value"))
+    path, out = scratch_path(t.spark, "log"), scratch_path(t.spark, "per-day")
+
+    def arrive(some: DataFrame, name: str) -> None:
+        some.select(F.concat(F.lit(name), F.col("part").cast("string")).alias("part"), "day", "value").write.mode("append").partitionBy("day", "part").text(path)
+
+    def run() -> None:
+        rows = note_log(read_note_stream(t.spark, path, "*.txt")).select("sutra_id", "day", "juan")
+        counts = notes_per_day(rows, identity=["sutra_id", "day", "juan"])
+        counts.writeStream.outputMode("append").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+
+    arrive(files.filter("turn <= 5"), "a")
+    run()
+    arrive(files.filter("turn > 5"), "a")
+    arrive(files.filter("turn = 0"), "late")
+    arrive(files.filter("turn = 5"), "again")
+    run()
+    end = files.limit(1).withColumn("day", F.lit("2025-01-01"))
+    arrive(end, "end")
+    run()
+    got = t.spark.read.schema("day timestamp, sutra_id string, n long").parquet(out)
+    return got.select("sutra_id", F.to_date("day").cast("string").alias("day"), "n")

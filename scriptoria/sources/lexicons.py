@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.compat import null_if_empty, strip, text_or_empty
+from ..session import broadcast_if_small
 
 # Field names that hold head-words and definitions, most likely first.
 TERM_FIELDS = ["term", "詞條", "word", "headword", "key", "title", "entry"]
@@ -14,10 +15,8 @@ CSV_TERM_FIELDS = ["term", "詞條", "word", "headword", "key"]
 CSV_DEFINITION_FIELDS = ["definition", "釋義", "解釋", "meaning", "value", "def"]
 
 SENSE_DDL = "struct<def:string,quote:array<string>,example:array<string>>"
-LEXICON_DDL = (
-    "title string, radical string, stroke_count int, "
-    f"heteronyms array<struct<bopomofo:string,pinyin:string,definitions:array<{SENSE_DDL}>>>"
-)
+HETERONYMS_DDL = f"array<struct<bopomofo:string,pinyin:string,definitions:array<{SENSE_DDL}>>>"
+LEXICON_DDL = f"title string, radical string, stroke_count int, heteronyms {HETERONYMS_DDL}"
 
 
 def _dict_name() -> Column:
@@ -45,53 +44,70 @@ def read_nested_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEXICON_DDL).json(path, multiLine=True)
 
 
+def _variant_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, dict_id, v): each file as one VARIANT; null where the file is no JSON."""
+    raw = spark.read.text(path, wholetext=True)
+    return raw.select(
+        F.col("_metadata.file_path").alias("file"), F.concat(F.lit("user.json."), _dict_name()).alias("dict_id"), F.try_parse_json("value").alias("v")
+    )
+
+
+def broken_user_json(spark: SparkSession, path: str) -> DataFrame:
+    """Files that hold neither an object nor an array, which give no rows."""
+    kind = F.schema_of_variant("v")
+    return _variant_files(spark, path).filter(~F.coalesce(kind.rlike("^(OBJECT|ARRAY)<"), F.lit(False))).select("file", "dict_id")
+
+
+def _first_field(item: Column, names: list[str]) -> Column:
+    return strip(F.coalesce(*[F.try_variant_get(item, f'$["{n}"]', "string") for n in names], F.lit("")))
+
+
 def read_user_json(spark: SparkSession, path: str) -> DataFrame:
-    """User dictionaries as ``(dict_id, term, pos, definition)``; the layout is guessed per file.
+    """User dictionaries as ``(dict_id, term, at, pos, definition)``; the layout is told by each file's own VARIANT.
 
-    An object maps terms to one or several definitions. An array holds objects whose first known term
-    and definition fields are used; nested senses give one definition per reading.
+    An object maps terms to one or several definitions (``at`` is the order of its keys by name). An array holds objects
+    whose first known term and definition fields are used; nested senses give one definition per reading, and where they
+    give none the plain fields count. Numbers and truth values are given as JSON text, nulls are left out.
     """
     from ..operators.lexicon import reading_texts
 
-    raw = spark.read.text(path, wholetext=True).select(
-        F.concat(F.lit("user.json."), _dict_name()).alias("dict_id"), F.trim("value").alias("value")
-    )
-    objects = raw.filter(F.startswith("value", F.lit("{"))).select(
-        "dict_id", F.posexplode(F.from_json("value", "map<string,string>")).alias("at", "term", "_v")
-    )
-    as_list = F.from_json("_v", "array<string>")
-    defs = F.when(F.startswith("_v", F.lit("[")) & as_list.isNotNull(), as_list).otherwise(F.array("_v"))
-    from_objects = objects.select(
-        "dict_id", strip("term").alias("term"), "at", F.posexplode(defs).alias("pos", "definition")
+    files = _variant_files(spark, path)
+    kind = F.schema_of_variant("v")
+    objects = files.filter(F.startswith(kind, F.lit("OBJECT<"))).select("dict_id", F.posexplode(F.col("v").cast("map<string,variant>")).alias("at", "term", "_v"))
+    values = F.when(F.startswith(F.schema_of_variant("_v"), F.lit("ARRAY<")), F.try_variant_get("_v", "$", "array<variant>")).otherwise(F.array("_v"))
+    from_objects = objects.select("dict_id", strip("term").alias("term"), "at", F.posexplode(values).alias("pos", "_d")).select(
+        "dict_id", "term", "at", "pos", F.when(~F.is_variant_null("_d"), F.coalesce(F.try_variant_get("_d", "$", "string"), F.to_json("_d"))).alias("definition")
     )
 
-    items = raw.filter(F.startswith("value", F.lit("["))).select(
-        "dict_id", F.posexplode(F.from_json("value", "array<string>")).alias("at", "_i")
-    )
-    fields = F.from_json("_i", "map<string,string>")
-    first_term = strip(F.coalesce(*[fields[f] for f in TERM_FIELDS], F.lit("")))
-    first_def = strip(F.coalesce(*[fields[f] for f in DEFINITION_FIELDS], F.lit("")))
-    nested = F.when(
-        fields["heteronyms"].isNotNull(), reading_texts(F.from_json("_i", LEXICON_DDL)["heteronyms"])
-    )
+    items = files.filter(F.startswith(kind, F.lit("ARRAY<"))).select("dict_id", F.posexplode(F.col("v").cast("array<variant>")).alias("at", "_i"))
+    first_def = _first_field(F.col("_i"), DEFINITION_FIELDS)
+    nested = reading_texts(F.try_variant_get("_i", "$.heteronyms", HETERONYMS_DDL))
     picked = F.when(F.size(nested) > 0, nested).when(first_def != "", F.array(first_def))
-    from_arrays = items.select(
-        "dict_id", first_term.alias("term"), "at", F.posexplode(picked).alias("pos", "definition")
-    )
-    return from_objects.unionByName(from_arrays).filter(null_if_empty("term").isNotNull())
-
-
-def read_user_csv(spark: SparkSession, path: str) -> DataFrame:
-    """User dictionary with a header; the last matching header of each kind is used."""
-    raw = spark.read.option("header", True).option("multiLine", True).csv(path)
-    lower = {c: c.lower().strip() for c in raw.columns}
-    term = [c for c in raw.columns if lower[c] in CSV_TERM_FIELDS]
-    definition = [c for c in raw.columns if lower[c] in CSV_DEFINITION_FIELDS]
-    name = F.concat(F.lit("user.csv."), _dict_name()).alias("dict_id")
-    if not term or not definition:
-        return raw.select(name, F.lit("").alias("term"), F.lit("").alias("definition")).limit(0)
-    return raw.select(
-        name,
-        strip(text_or_empty(F.col(f"`{term[-1]}`"))).alias("term"),
-        strip(text_or_empty(F.col(f"`{definition[-1]}`"))).alias("definition"),
-    ).filter(F.col("term") != "")
+    from_arrays = items.select("dict_id", _first_field(F.col("_i"), TERM_FIELDS).alias("term"), "at", F.posexplode(picked).alias("pos", "definition"))
+    return from_objects.unionByName(from_arrays).filter(null_if_empty("term").isNotNull() & F.col("definition").isNotNull())
+
+
+def read_user_csv(spark: SparkSession, path: str, width: int = 256) -> DataFrame:
+    """User dictionaries with a header each, as ``(dict_id, term, definition)``; the layout is guessed per file.
+
+    The first row of a file names its columns; of each kind the last known name is used. A file without both gives no rows.
+    ``width`` is the number of columns that are looked at.
+    """
+    columns = [f"c{k}" for k in range(width)]
+    raw = spark.read.schema(", ".join(f"{c} string" for c in columns)).option("multiLine", True).option("header", False).option("escape", "\"").csv(path)
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), _dict_name().alias("name"), F.array(*columns).alias("cells"), F.monotonically_increasing_id().alias("id"))
+    heads = rows.groupBy("file").agg(F.min_by("cells", "id").alias("head"), F.min("id").alias("id"))
+
+    def last(names: list[str]) -> Column:
+        known = F.transform("head", lambda h, k: F.when(F.lower(strip(h)).isin(names), k + 1))
+        return F.array_max(known)
+
+    layout = heads.select("file", F.col("id").alias("head_id"), last(CSV_TERM_FIELDS).alias("t"), last(CSV_DEFINITION_FIELDS).alias("d")).filter("t is not null and d is not null")
+    body = rows.join(broadcast_if_small(layout), "file").filter("id <> head_id")
+    cell = lambda k: strip(text_or_empty(F.element_at("cells", F.col(k))))
+    return body.select(F.concat(F.lit("user.csv."), "name").alias("dict_id"), cell("t").alias("term"), cell("d").alias("definition")).filter(F.col("term") != "")
+
+
+def read_user_dicts(spark: SparkSession, json_path: str, csv_path: str) -> DataFrame:
+    """All user dictionaries as ``(dict_id, term, definition)``."""
+    return read_user_json(spark, json_path).select("dict_id", "term", "definition").unionByName(read_user_csv(spark, csv_path))

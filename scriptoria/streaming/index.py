@@ -3,6 +3,7 @@
 The index is a log: each micro-batch adds the postings of its documents and one version row per
 document under its batch number. A reader keeps the postings of each document's latest version, so
 updates and deletes never rewrite old files, and a replayed batch overwrites only its own folder.
+Batches can be compacted inside the same folder while the stream goes on.
 """
 
 from __future__ import annotations
@@ -40,14 +41,58 @@ def maintain_index(changes: DataFrame, path: str, checkpoint: str, doc: str = "d
     )
 
 
+def compacted_upto(spark: SparkSession, path: str) -> int | None:
+    """Last batch that a finished compaction covers."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/compacted")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return None
+    done = []
+    for status in fs.listStatus(folder):  # one folder a compaction
+        marker = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "versions/_SUCCESS")  # written last
+        if fs.exists(marker):
+            done.append(int(status.getPath().getName().split("=")[1]))
+    return max(done, default=None)
+
+
+def _logged(spark: SparkSession, path: str, kind: str, upto: int | None) -> DataFrame:
+    """Rows of the log, where a compaction stands for the batches it covers."""
+    rows = spark.read.parquet(f"{path}/{kind}")
+    rows = rows.withColumn("batch_id", F.col("batch_id").cast("long"))
+    if upto is None:
+        return rows
+    return rows.filter(F.col("batch_id") > upto).unionByName(spark.read.parquet(f"{path}/compacted/upto={upto}/{kind}"))
+
+
+def _live(spark: SparkSession, path: str, doc: str, last: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(postings, versions) of the documents that are there after batch ``last`` (all batches if None)."""
+    upto = compacted_upto(spark, path)
+    versions, postings = (_logged(spark, path, kind, upto) for kind in ("versions", "postings"))
+    if last is not None:
+        versions = versions.filter(F.col("batch_id") <= last)
+    current = versions.groupBy(doc).agg(F.max("batch_id").alias("batch_id"), F.max_by("deleted", "batch_id").alias("deleted"))
+    live = current.filter(~F.col("deleted"))
+    return postings.join(live.select(doc, "batch_id"), [doc, "batch_id"], "left_semi"), live
+
+
 def read_index(spark: SparkSession, path: str, doc: str = "doc_id") -> DataFrame:
     """Current postings: those of the latest, not deleted version of each document."""
-    versions = spark.read.parquet(f"{path}/versions")
-    current = versions.groupBy(doc).agg(
-        F.max("batch_id").alias("batch_id"), F.max_by("deleted", "batch_id").alias("deleted")
-    )
-    live = current.filter(~F.col("deleted")).select(doc, "batch_id")
-    return spark.read.parquet(f"{path}/postings").join(live, [doc, "batch_id"], "left_semi").drop("batch_id")
+    return _live(spark, path, doc)[0].drop("batch_id")
+
+
+def compact_batches(spark: SparkSession, path: str, last: int, doc: str = "doc_id") -> None:
+    """Fold the batches up to ``last`` into one sorted part of the same index, while later batches may be written.
+
+    Readers use it once its last file is there; until then, and after a failure, they read the batches. A batch that is
+    replayed later does not matter, as readers no longer look at it. Deleted documents leave no row.
+    """
+    done = compacted_upto(spark, path)
+    if done is not None and done >= last:
+        return
+    postings, live = _live(spark, path, doc, last)
+    target = f"{path}/compacted/upto={last}"
+    postings.repartitionByRange("term", doc).sortWithinPartitions("term", doc).write.mode("overwrite").parquet(f"{target}/postings")
+    live.write.mode("overwrite").parquet(f"{target}/versions")
 
 
 def compact_index(spark: SparkSession, path: str, target: str, doc: str = "doc_id") -> None:

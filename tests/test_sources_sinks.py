@@ -1,4 +1,6 @@
 import json
+import random
+import re
 
 import pytest
 from helpers import rows
@@ -146,6 +148,27 @@ def test_dictionaries(spark, tmp_path):
     assert rows(lexicons.read_user_csv(spark, p), "dict_id", "term", "definition") == [("user.csv.c", "b", "m")]
 
 
+def test_user_dictionary_layouts(spark, tmp_path):
+    u = tmp_path / "u"
+    put(u / "a.json", json.dumps([
+        {"entry": 5, "value": True}, {"term": None, "key": "k", "meaning": None, "content": "c"}, {"term": "", "word": "w", "def": "x"}, {"word": "e", "heteronyms": [], "def": "f"}, "s", {"def": "no term"},
+    ]))
+    put(u / "o.json", json.dumps({"n": 7, "x": None, "l": ["p", 2, None], "m": {"q": 1}}))
+    put(u / "bad.json", "[1,")
+    put(u / "text.json", '"only a string"')
+    assert rows(lexicons.read_user_json(spark, str(u)), "dict_id", "term", "definition") == [
+        ("user.json.a", "5", "true"), ("user.json.a", "e", "f"), ("user.json.a", "k", "c"),
+        ("user.json.o", "l", "2"), ("user.json.o", "l", "p"), ("user.json.o", "m", '{"q":1}'), ("user.json.o", "n", "7"),
+    ]
+    assert rows(lexicons.broken_user_json(spark, str(u)), "dict_id") == [("user.json.bad",), ("user.json.text",)]
+    v = tmp_path / "v"
+    put(v / "one.csv", 'word,id,Term ,meaning,def\nw,1,t,m,"d, ""e""\nf"\n')
+    put(v / "two.csv", "value,key\nonly\nx,y\n")
+    put(v / "none.csv", "a,b\n1,2\n")
+    put(v / "empty.csv", "")
+    assert rows(lexicons.read_user_csv(spark, str(v)), "dict_id", "term", "definition") == [("user.csv.one", "t", 'd, "e"\nf'), ("user.csv.two", "y", "x")]
+
+
 LOG = (
     "### \U0001f552 10:05 | T0235 金剛經 · 卷1\n\n> q1\n> q2\n\n\U0001f4dd **感悟**：好\n\n---\n"
     "### \U0001f552 11:00 | T0001 長經 · 卷2\n\n\U0001f4dd **感悟**：二\n\n---\n\n---\n"
@@ -219,3 +242,37 @@ def test_quality(spark, tmp_path):
     drift = Q.schema_drift(spark.createDataFrame([("a",), ("b",)], "tag string"), spark.createDataFrame([("b",), ("c",)], "tag string"))
     assert rows(drift) == [("a", "documented"), ("c", "scanned")]
     assert t.agg(F.count("*")).first()[0] == 3
+
+
+def stack_outline(text, marker=chr(0x1F4D6)):
+    """(line number, heading's line, id) by one stack over the whole file."""
+    out, stack = [], []
+    for no, line in enumerate(text.split("\n")):
+        if not line.strip():
+            continue
+        wide = line.replace("\t", "    ")
+        indent = len(wide) - len(wide.lstrip())
+        while stack and stack[-1][0] >= indent:
+            stack.pop()
+        if marker in line:
+            stack.append((indent, no))
+        elif re.match(r"^\s*-\s+\*\*(.+?)\*\*\s*$", line):
+            if stack:
+                stack.append((indent, stack[-1][1]))
+        elif (m := re.search(r"`([A-Za-z0-9]+)`\s+(.+)", line)) and stack:
+            out.append((no, stack[-1][1], m.group(1)))
+    return out
+
+
+def test_long_outlines_in_ranges(spark):
+    rnd, book, texts = random.Random(11), chr(0x1F4D6), {}
+    for d in range(12):
+        lines = []
+        for k in range(120):
+            lead = rnd.choice(["", " ", "  ", "\t", "      ", "\t  "])
+            lines.append(lead + rnd.choice([f"- {book} g{k}", "- **b**", f"- `T{k}` t", f"- `T{k}` t", "- text", ""]))
+        texts[f"d{d}"] = "\n".join(lines)
+    df = spark.createDataFrame(list(texts.items()), "doc_path string, value string")
+    for size in (3, 17, 10_000):
+        got = documents.read_outline(df, lines=size)
+        assert rows(got, "doc_path", "line_no", "group_no", "sutra_id") == sorted(((d, *x) for d, t in texts.items() for x in stack_outline(t)), key=repr), size

@@ -4,7 +4,7 @@ from test_sources_sinks import LOG, put
 
 from scriptoria.operators.search import build_trigram_index
 from scriptoria.streaming.dedupe import first_seen
-from scriptoria.streaming.index import compact_index, maintain_index, read_index
+from scriptoria.streaming.index import apply_batch, compact_batches, compact_index, compacted_upto, maintain_index, read_index
 from scriptoria.streaming.notes import note_log, notes_per_day, read_note_stream
 
 DDL = "doc_id int, text string, op string, change_no int"
@@ -46,3 +46,24 @@ def test_note_stream(spark, tmp_path):
     assert rows(spark.table("notes").select(F.to_date("day").cast("string"), "sutra_id", "n")) == [
         ("2024-01-02", "T0001", 1), ("2024-01-02", "T0235", 1), ("2024-03-02", "T0001", 1), ("2024-03-02", "T0235", 1),
     ]
+
+
+def test_compaction_while_changes_go_on(spark, tmp_path):
+    index = str(tmp_path / "index")
+    batch = lambda *r: spark.createDataFrame(list(r), DDL)
+    first, second = batch((1, "abcd", "upsert", 1), (2, "bcde", "upsert", 2)), batch((2, None, "delete", 3), (3, "wxyz", "upsert", 4), (1, "abxx", "upsert", 5), (1, "final", "upsert", 6))
+    apply_batch(first, 0, index)
+    apply_batch(second, 1, index)
+    assert compacted_upto(spark, index) is None
+    before = rows(read_index(spark, index), "term", "doc_id", "tf")
+    compact_batches(spark, index, 1)
+    assert compacted_upto(spark, index) == 1 and rows(read_index(spark, index), "term", "doc_id", "tf") == before
+    apply_batch(batch((2, "again", "upsert", 7), (3, None, "delete", 8)), 2, index)
+    apply_batch(first, 0, index)  # replays of folded batches change nothing
+    apply_batch(batch((9, "never", "upsert", 1)), 3, str(tmp_path / "other"))
+    want, _ = build_trigram_index(spark.createDataFrame([(1, "final"), (2, "again")], "doc_id int, text string"), "doc_id", "text")
+    assert rows(read_index(spark, index), "term", "doc_id", "tf") == rows(want, "term", "doc_id", "tf")
+    compact_batches(spark, index, 2)
+    assert compacted_upto(spark, index) == 2 and rows(read_index(spark, index), "term", "doc_id", "tf") == rows(want, "term", "doc_id", "tf")
+    compact_batches(spark, index, 1)  # already covered
+    assert compacted_upto(spark, index) == 2
