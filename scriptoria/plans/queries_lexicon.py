@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..operators import lexicon as L
+from ..operators import rewrite as W
 from .registry import Tables, query
 
 _UP = [(chr(c), chr(c - 32)) for c in range(ord("a"), ord("z") + 1)]
@@ -197,3 +198,22 @@ def see_also(t: Tables) -> DataFrame:
     body = F.when(F.col("s_nationkey") < 5, F.concat(ref(F.col("s_name")), ref(n))).when(F.col("s_nationkey") < 15, F.concat(F.lit("body "), ref(n))).otherwise(F.col("s_name"))
     out = P.extract_see_also(t.supplier.withColumn("definition", body))
     return out.select("s_suppkey", "definition", F.size("see_also").alias("n_refs"), P.alt_terms("see_also")[0].alias("alt"))
+
+
+_SQL_PHRASES = "p AS (SELECT DISTINCT substring(w, 1, 2 + len(w) % 4) AS src FROM (SELECT string_split(text, ' ')[1] AS w FROM documents) WHERE regexp_full_match(w, '[A-Za-z]{5,20}'))"
+
+
+@query(
+    "rewrite_phrases",
+    f"""
+    WITH {_SQL_PHRASES}, r AS (SELECT string_agg(src, '|' ORDER BY len(src) DESC, src) AS pattern FROM p)
+    SELECT doc_id, length(new) AS n_chars, md5(new) AS digest FROM (SELECT doc_id, regexp_replace(text, pattern, '<\\0>', 'g') AS new FROM documents, r)
+    """,
+)
+def rewrite_phrases(t: Tables) -> DataFrame:
+    """Texts rewritten by a table of overlapping phrases: beginnings of two to five letters of first words."""
+    word = F.split("text", " ")[0]
+    words = t.documents.select(word.alias("w")).filter(F.col("w").rlike("^[A-Za-z]{5,20}$"))
+    phrases = words.select(F.substring("w", F.lit(1), 2 + F.length("w") % 4).alias("src")).distinct()
+    found = W.rewrite_phrases(t.documents.select("doc_id", "text"), "text", phrases.withColumn("dst", F.concat(F.lit("<"), "src", F.lit(">"))))
+    return found.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
