@@ -12,9 +12,10 @@ name is unique are done. Two things keep it affordable:
 
 Rounds: (1) names of half length at minimisers; a bit table of bounded size of those seen twice is sent to all tasks.
 (2) names of the whole neighbourhood of a minimiser (all windows that it stands for); the earliest document of each
-name owns it, and in every other document all these windows are repeats. (3) names of full length at every window of
-the owners whose minimiser has several neighbourhoods; the earliest owner of a name keeps the window. The text is read
-once more to cut. Names compared in rounds 2 and 3 have 128 bits.
+name owns it, and in every other document all these windows are repeats. A second bit table tells which minimisers may
+have several neighbourhoods. (3) names of full length at every window of the owners of these; the earliest owner of a
+name keeps the window. The text is read once more to cut. Names compared in rounds 2 and 3 have 128 bits, and entries are
+dealt by both halves, so a passage that all documents share is spread by what surrounds it.
 
 Contract: a null text is empty; documents are ordered by doc_id, rows that share one or have none by a hash of the text
 (null keys first); extra columns are ignored; every input row comes back once.
@@ -27,6 +28,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,7 @@ from .common import U64, Texts, deal, gather, mix, numbered, query, record, scat
 
 TABLE_BITS = 28  # size of the bit table of names seen twice: 32 MB at any input size; a full table only filters less
 SLOT_BITS = 32
+CHUNK = 1 << 18  # bytes named at a time: the arrays of a run of texts stay in the processor's cache
 
 
 class Names:
@@ -42,15 +45,13 @@ class Names:
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, length: int):
         self.data, self.length, self.half = data, length, length // 2
-        sizes = np.diff(bounds)
-        n = len(data) - length + 1
-        ok = np.zeros(max(n, 0) + 1, np.int32)
-        whole = sizes >= length
-        np.add.at(ok, bounds[:-1][whole], 1)
-        np.add.at(ok, np.minimum(bounds[1:][whole] - length + 1, max(n, 0)), -1)
-        self.windows = np.flatnonzero(np.cumsum(ok)[:-1])  # starts of windows within one text
-        self.name, done = data.astype(U64) + U64(1), 1
-        while done < self.half and len(self.windows):
+        whole = np.diff(bounds) >= length
+        self.begin, self.stop = bounds[:-1][whole], bounds[1:][whole] - length + 1  # windows within one text
+        if self.half >= 8 and len(data) >= 8:  # strings of eight bytes are their own names
+            self.name, done = np.array(np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,))), 8
+        else:
+            self.name, done = data.astype(U64) + U64(1), 1
+        while done < self.half and len(self.begin):
             step = min(done, self.half - done)
             self.name = self.double(self.name, step)
             done += step
@@ -58,12 +59,13 @@ class Names:
     @staticmethod
     def double(name: np.ndarray, step: int) -> np.ndarray:
         """Names of strings longer by ``step`` from the pairs (p, p + step)."""
-        a, b = name[: len(name) - step], name[step:]
-        a = a * U64(0x9E3779B97F4A7C15)
-        a ^= a >> U64(29)
-        a += b
+        a = name[: len(name) - step] * U64(0x9E3779B97F4A7C15)
+        high = a >> U64(29)
+        a ^= high
+        a += name[step:]
         a *= U64(0xBF58476D1CE4E5B9)
-        a ^= a >> U64(32)
+        np.right_shift(a, U64(32), out=high)
+        a ^= high
         return a
 
     def full(self) -> np.ndarray:
@@ -71,19 +73,22 @@ class Names:
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Minimisers and the first and last window each stands for."""
-        if not len(self.windows):
+        if not len(self.begin):
             return (np.zeros(0, np.int64),) * 3
-        least = (mix(self.name) & U64(0xFFFFFFFF00000000)) | np.arange(len(self.name), dtype=U64)
+        least = self.name & U64(0xFFFFFFFF00000000)
+        least |= np.arange(len(least), dtype=U64)
         span, wide = 1, self.length - self.half + 1
-        while span * 2 <= wide:
-            least = np.minimum(least[:-span], least[span:])
-            span *= 2
-        if wide > span:
-            rest = wide - span
-            least = np.minimum(least[:-rest], least[rest:])
-        at = (least[self.windows] & U64(0xFFFFFFFF)).astype(np.int64)
-        new = np.flatnonzero(starts(at) | np.append(True, np.diff(self.windows) != 1))
-        return at[new], self.windows[new], self.windows[np.append(new[1:], len(at)) - 1]
+        while span < wide:
+            step = min(span, wide - span)
+            np.minimum(least[:-step], least[step:], out=least[:-step])
+            least = least[:-step]
+            span += step
+        cut = np.unique(np.concatenate((np.flatnonzero(least[1:] != least[:-1]) + 1, self.begin, self.stop)))
+        first, last = cut[:-1], cut[1:] - 1
+        row = np.searchsorted(self.begin, first, side="right") - 1
+        inside = (row >= 0) & (first < self.stop[row])
+        first, last = first[inside], last[inside]
+        return (least[first] & U64(0xFFFFFFFF)).astype(np.int64), first, last
 
     def around(self, anchor: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Names of the neighbourhoods [first, last + length), with the place of the anchor in them."""
@@ -104,30 +109,31 @@ def _in(bits: np.ndarray, name: np.ndarray) -> np.ndarray:
 RANGES = 256  # of slots; a task of round 1 works on one range at a time
 
 
+def _slot_rows(parts):
+    slot = np.sort(np.concatenate(parts))
+    new = starts(slot)
+    again = np.append(~new[1:], False)[new] if len(slot) else new
+    slot = slot[new]
+    rng = (slot >> U64(SLOT_BITS - 8)).astype(np.int64)
+    return scatter(rng, slot=slot.astype(np.uint32), again=again.astype(np.uint8))
+
+
 def _round1(length: int):
     """Slots of the names in this task, once each; those met twice come in a second array."""
 
-    def flush(parts):
-        slot = np.sort(np.concatenate(parts))
-        new = starts(slot)
-        again = np.append(~new[1:], False)[new] if len(slot) else new
-        slot = slot[new]
-        rng = (slot >> U64(SLOT_BITS - 8)).astype(np.int64)
-        return scatter(rng, slot=slot.astype(np.uint32), again=again.astype(np.uint8))
-
     def run(batches):
         parts, held = [], 0
         for batch in batches:
             texts = Texts(batch.column("text"))
-            for i, j in texts.chunks():
+            for i, j in texts.chunks(CHUNK):
                 names = Names(*texts.joined(i, j), length)
                 parts.append(_slots(names.name[names.anchors()[0]]))
                 held += len(parts[-1])
                 if held > 8 << 20:
-                    yield flush(parts)
+                    yield _slot_rows(parts)
                     parts, held = [], 0
         if held:
-            yield flush(parts)
+            yield _slot_rows(parts)
 
     return run
 
@@ -160,13 +166,14 @@ def _round2(length: int, bits, buckets: int):
     def flush(parts):
         name, around, doc, pos = (np.concatenate(x) for x in zip(*parts))
         keep = np.sort(_first_of(doc, name, around))
-        return scatter(mix(name[keep]) % U64(buckets), name=name[keep], around=around[keep], doc=doc[keep], pos=pos[keep])
+        name, around = name[keep], around[keep]  # the name alone would bring all documents at the edges of one passage together
+        return scatter(mix(name ^ mix(around)) % U64(buckets), name=name, around=around, doc=doc[keep], pos=pos[keep])
 
     def run(batches):
         parts, held = [], 0
         for batch in batches:
             texts, ords = Texts(batch.column("text")), batch.column("ord").to_numpy(zero_copy_only=False)
-            for i, j in texts.chunks():
+            for i, j in texts.chunks(CHUNK):
                 data, bounds = texts.joined(i, j)
                 names = Names(data, bounds, length)
                 anchor, first, last = names.anchors()
@@ -185,16 +192,33 @@ def _round2(length: int, bits, buckets: int):
 
 
 def _owners(buckets: int):
-    """Earliest document of each neighbourhood: its anchors, told apart by whether the anchor's name has several."""
+    """Earliest document of each neighbourhood, with the name of its anchor there."""
 
     def run(batches):
         got = gather(batches, name=U64, around=U64, doc=np.int64, pos=np.int32)
         keep = _first_of_pos(got["doc"], got["pos"], got["name"], got["around"])
-        name, doc, pos = got["name"][keep], got["doc"][keep], got["pos"][keep]
-        new = starts(name)
-        size = np.diff(np.append(np.flatnonzero(new), len(name)))
-        several = (np.repeat(size, size) > 1).astype(np.int64)
-        yield from _marked(doc, pos.astype(np.int64) * 2 + several, buckets)
+        out = scatter(mix(got["doc"][keep].view(U64)) % U64(buckets), doc=got["doc"][keep], name=got["name"][keep], pos=got["pos"][keep])
+        if out is not None:
+            yield out
+
+    return run
+
+
+def _owner_names(batches):
+    """Slots of the names of owned anchors, as in round 1: those met twice have several neighbourhoods."""
+    for batch in batches:
+        got = gather(iter([batch]), name=U64)
+        if len(got["name"]):
+            yield _slot_rows([_slots(got["name"])])
+
+
+def _owned(buckets: int, several):
+    """Marks of owned anchors: the place, and whether the anchor's name may have several neighbourhoods."""
+
+    def run(batches):
+        for batch in batches:
+            got = gather(iter([batch]), doc=np.int64, name=U64, pos=np.int32)
+            yield from _marked(got["doc"], got["pos"].astype(np.int64) * 2 + _in(several.value, got["name"]), buckets)
 
     return run
 
@@ -226,6 +250,32 @@ def _per_doc(batches):
         yield pa.RecordBatch.from_arrays([pa.array(doc[c[:-1]]), blobs], ["ord", "marks"])
 
 
+def _pack(batches):
+    """Texts in compressed form, as they go through the two joins with their marks."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        texts = Texts(batch.column("text"))
+        packed = pa.array([pack(texts.text(i)) for i in range(texts.n)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ord"), packed], ["doc_id", "ord", "packed"])
+
+
+def _unpacked(step):
+    """``step`` over batches whose compressed texts are texts again."""
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def plain():
+            for batch in batches:
+                texts = pa.array([unpack(x) for x in batch.column("packed").to_pylist()], pa.large_binary()).cast(pa.large_string())
+                at = batch.schema.get_field_index("packed")
+                yield batch.set_column(at, "text", texts)
+
+        yield from step(plain())
+
+    return run
+
+
 class Parts:
     """What one text repeats for certain, and the windows that round 3 decides."""
 
@@ -256,7 +306,7 @@ def _longs(blobs: list, at: np.ndarray) -> np.ndarray:
 def _chunks(batch, length):
     """Runs of texts with their names, and the anchors that each text owns."""
     texts, own = Texts(batch.column("text")), batch.column("own").to_pylist()
-    for i, j in texts.chunks(1 << 20):
+    for i, j in texts.chunks(CHUNK):
         data, bounds = texts.joined(i, j)
         yield i, j, data, bounds, Names(data, bounds, length), _longs(own[i:j], bounds[:-1] * 2)
 
@@ -334,26 +384,36 @@ def _cut(length: int, bits, fields: str, with_text: bool):
     return run
 
 
+def _seen_twice(slots: DataFrame):
+    """The bit table of slots met twice, broadcast; its size is fixed."""
+    spark = slots.sparkSession
+    tab = np.zeros(1 << TABLE_BITS - 3, np.uint8)
+    part = len(tab) // RANGES
+    for row in deal(slots, spark).mapInArrow(_twice, "rng int, bits binary").toLocalIterator():  # RANGES rows of fixed size
+        tab[row.rng * part : (row.rng + 1) * part] = np.frombuffer(row.bits, np.uint8)
+    return spark.sparkContext.broadcast(tab)
+
+
+SLOTS = "bucket int, slot binary, again binary"
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text: also the remaining bytes (kept)."""
     spark = docs.sparkSession
     buckets = tasks(spark)
     docs = numbered(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    slots = docs.select("text").mapInArrow(_round1(length), "bucket int, slot binary, again binary")
-    tab = np.zeros(1 << TABLE_BITS - 3, np.uint8)
-    part = len(tab) // RANGES
-    for row in deal(slots, spark).mapInArrow(_twice, "rng int, bits binary").toLocalIterator():  # RANGES rows of fixed size
-        tab[row.rng * part : (row.rng + 1) * part] = np.frombuffer(row.bits, np.uint8)
-    bits = spark.sparkContext.broadcast(tab)
+    bits = _seen_twice(docs.select("text").mapInArrow(_round1(length), SLOTS))
     areas = docs.select("ord", "text").mapInArrow(_round2(length, bits, buckets), "bucket int, name binary, around binary, doc binary, pos binary")
-    owners = deal(areas, spark).mapInArrow(_owners(buckets), MARKED)
-    owned = materialize(deal(owners, spark).mapInArrow(_per_doc, "ord long, marks binary").withColumnRenamed("marks", "own"), "owners")
-    both = docs.join(owned, "ord", "left")
-    wide = docs.join(owned, "ord").select("ord", "text", "own").mapInArrow(_round3(length, bits, buckets), "bucket int, name binary, full binary, doc binary, pos binary")
+    owners = materialize(deal(areas, spark).mapInArrow(_owners(buckets), "bucket int, doc binary, name binary, pos binary"), "owners")
+    several = _seen_twice(owners.select("name").mapInArrow(_owner_names, SLOTS))
+    marks = owners.mapInArrow(_owned(buckets, several), MARKED)
+    owned = materialize(deal(marks, spark).mapInArrow(_per_doc, "ord long, marks binary").withColumnRenamed("marks", "own"), "owned")
+    packed = docs.select("doc_id", "ord", "text").mapInArrow(_pack, "doc_id long, ord long, packed binary")
+    wide = packed.join(owned, "ord").select("ord", "packed", "own").mapInArrow(_unpacked(_round3(length, bits, buckets)), "bucket int, name binary, full binary, doc binary, pos binary")
     left = deal(wide, spark).mapInArrow(_kept(buckets), MARKED)
     kept = materialize(deal(left, spark).mapInArrow(_per_doc, "ord long, marks binary").withColumnRenamed("marks", "kept"), "kept")
-    last = both.join(kept, "ord", "left").select("doc_id", "text", "own", "kept")
-    return last.mapInArrow(_cut(length, bits, "doc_id", with_text), f"doc_id long, {CUT}" + ", kept binary" * with_text)
+    last = packed.join(owned, "ord", "left").join(kept, "ord", "left").select("doc_id", "packed", "own", "kept")
+    return last.mapInArrow(_unpacked(_cut(length, bits, "doc_id", with_text)), f"doc_id long, {CUT}" + ", kept binary" * with_text)
 
 
 @query("op4_suffix_dedup")
