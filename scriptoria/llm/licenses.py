@@ -148,9 +148,10 @@ def phrase_places(words: list[bytes], phrases) -> list[tuple[int, str]]:
     out = []
     for phrase, label in phrases:
         wanted = b" " + phrase.encode() + b" "
-        at = line.find(wanted)
+        at, last, word = line.find(wanted), 0, 0
         while at >= 0:
-            out.append((line.count(b" ", 0, at), label))
+            word, last = word + line.count(b" ", last, at), at  # counted on from the place before
+            out.append((word, label))
             at = line.find(wanted, at + 1)
     return out
 
