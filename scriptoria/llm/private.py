@@ -38,6 +38,11 @@ PATTERNS = {
     "card": re.compile(r"[0-9]([ -]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][ ().0-9-]+[0-9]"),
 }
+#: The patterns that could start anywhere in a run, held to its first character.
+RUNS = {
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])" + PATTERNS["email"].pattern),
+    "ip": re.compile(r"(?<![0-9])" + PATTERNS["ip"].pattern),
+}
 WORD = re.compile(r"[^\W\d_]{3,}")
 TOKEN = re.compile(r"\S+")
 NEAR = 6  # words on each side of an entity
@@ -63,13 +68,28 @@ def valid(kind: str, match: str) -> bool:
     return kind == "email" or 9 <= len(digits) <= 15
 
 
+def leftmost(kind: str, pattern: re.Pattern, text: str):
+    """Leftmost non-overlapping matches in linear time.
+
+    Within a run of first characters an e-mail or ip address that can start at all can start at the run's first one, or
+    where the match before ended, so only these places are tried.
+    """
+    if kind not in RUNS:
+        yield from pattern.finditer(text)
+        return
+    at = 0
+    while m := pattern.match(text, at) or RUNS[kind].search(text, at):
+        yield m
+        at = m.end()
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) in order of start, then kind."""
     out = []
     for k, (kind, pattern) in enumerate(PATTERNS.items()):
         if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
             continue
-        out.extend((m.start(), k, m.end()) for m in pattern.finditer(text) if valid(kind, m[0]))
+        out.extend((m.start(), k, m.end()) for m in leftmost(kind, pattern, text) if valid(kind, m[0]))
     return sorted(out)
 
 
