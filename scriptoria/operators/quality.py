@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.compat import as_col
 from ..functions.text import drop_ws, normalize_for_compare
@@ -218,6 +221,36 @@ def validate_schema(spark: SparkSession, spec: dict[str, set[str]], tables: dict
     return spark.createDataFrame(rows, "table_name string, status string, missing_columns string")
 
 
+def layout_drift(layouts: DataFrame, expected: StructType, root: str) -> DataFrame:
+    """Where stored files differ from the expected columns, per folder below ``root``.
+
+    ``layouts`` comes from ``read_layouts``. A problem is ``missing`` (an expected column that a file lacks), ``extra``,
+    ``type`` (another type than expected) or ``unreadable``; n_files and n_rows count the files that have it. Folders
+    without a problem have no rows; the partition columns stand in the folder names, so they are not expected.
+    """
+    wanted = F.array(*[F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type")) for f in expected])
+    names = F.transform(wanted, lambda c: c["column"])
+    found = F.map_from_entries("columns")
+
+    def problem(kind, column, want, have):
+        return F.struct(F.lit(kind).alias("problem"), column.alias("column"), want.alias("expected"), have.alias("found"))
+
+    none = F.lit(None).cast("string")
+    lacking = F.transform(F.filter(wanted, lambda c: ~F.map_contains_key(found, c["column"])), lambda c: problem("missing", c["column"], c["type"], none))
+    changed = F.transform(
+        F.filter(wanted, lambda c: F.coalesce(F.element_at(found, c["column"]) != c["type"], F.lit(False))),
+        lambda c: problem("type", c["column"], c["type"], F.element_at(found, c["column"])),
+    )
+    extra = F.transform(F.filter("columns", lambda c: ~F.array_contains(names, c["column"])), lambda c: problem("extra", c["column"], none, c["type"]))
+    broken = F.array(problem("unreadable", none, none, F.col("error")))
+    every = F.when(F.col("error").isNotNull(), broken).otherwise(F.concat(lacking, changed, extra))
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    start = re.sub("^file:/+", "/", root.rstrip("/"))
+    folder = F.substring(F.regexp_replace(plain, "/[^/]*$", ""), F.lit(len(start) + 2), F.length(plain))
+    rows = layouts.select(folder.alias("folder"), "n_rows", F.inline(every))
+    return rows.groupBy("folder", "problem", "column", "expected", "found").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_rows").alias("n_rows"))
+
+
 def overall_health(checks: DataFrame) -> DataFrame:
     bad = F.count_if(F.col("status") != "ok")
     return checks.agg(bad.alias("failed"), F.when(bad > 0, "degraded").otherwise("ok").alias("overall"))

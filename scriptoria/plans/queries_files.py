@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from ..sinks.tables import export_csv
-from ..sources import catalogs, documents, lexicons
+from ..operators.quality import layout_drift
+from ..sinks.tables import export_csv, write_files
+from ..sources import catalogs, corpus, documents, layouts, lexicons
 from .registry import Tables, query
 
 PER_FILE = 500  # rows of a table in one written file
@@ -98,3 +99,55 @@ def user_dict_files(t: Tables) -> DataFrame:
 
     found = lexicons.read_user_dicts(t.spark, f"{path}/json/*/*/", f"{path}/csv")
     return found.select(F.split("dict_id", "\\.")[1].alias("kind"), "term", "definition")
+
+
+@query(
+    "corpus_files",
+    """
+    WITH d AS (
+      SELECT upper(lang) AS canon, lpad(substr(source, 4), 2, '0') AS volume, lpad(doc_id::VARCHAR, 7, '0') AS work_no, '<TEI>' || text || '</TEI>' AS content
+      FROM documents
+    ), r AS (SELECT canon, volume, work_no, strlen(content) AS n_bytes, md5(content) AS digest FROM d)
+    SELECT 'all' AS scan, * FROM r
+    UNION ALL SELECT 'canon', * FROM r WHERE canon = 'EN'
+    UNION ALL SELECT 'volume', * FROM r WHERE canon = 'DE' AND volume = '07'
+    UNION ALL SELECT 'work', * FROM r WHERE canon = 'EN' AND ltrim(work_no, '0') = '11'
+    """,
+)
+def corpus_files(t: Tables) -> DataFrame:
+    """Documents as one file per work, read back whole, by canon, by volume and by work."""
+    root = scratch_path(t.spark, "files")
+    canon, volume = F.upper("lang"), F.lpad(F.substring("source", 4, 10), 2, "0")
+    book = F.concat(canon, volume)
+    path = F.concat_ws("/", canon, book, F.concat(book, F.lit("n"), F.lpad(F.col("doc_id").cast("string"), 7, "0"), F.lit(".xml")))
+    write_files(t.documents.select(path.alias("path"), F.concat(F.lit("<TEI>"), "text", F.lit("</TEI>")).alias("content")), root)
+    scans = {"all": {}, "canon": {"canon": "EN"}, "volume": {"canon": "DE", "volume": "07"}, "work": {"canon": "EN", "work": "11"}}
+    out = None
+    for name, pruned in scans.items():
+        found = corpus.scan_corpus(t.spark, root, **pruned)
+        rows = found.select(F.lit(name).alias("scan"), "canon", "volume", "work_no", "n_bytes", F.md5("content").alias("digest"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(
+    "layout_drift",
+    """
+    WITH f AS (SELECT count(*) AS n_rows FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 1),
+    p AS (SELECT count(*) AS n_rows FROM orders WHERE o_orderstatus = 'P')
+    SELECT 'o_orderstatus=F' AS folder, 'missing' AS problem, 'o_orderpriority' AS "column", 'string' AS expected, NULL::VARCHAR AS found, n_rows FROM f
+    UNION ALL SELECT 'o_orderstatus=F', 'type', 'o_totalprice', 'double', 'string', n_rows FROM f
+    UNION ALL SELECT 'o_orderstatus=F', 'extra', 'o_clerk', NULL, 'string', n_rows FROM f
+    UNION ALL SELECT 'o_orderstatus=P', 'missing', 'o_custkey', 'bigint', NULL, n_rows FROM p
+    """,
+)
+def layout_drift_query(t: Tables) -> DataFrame:
+    """Stored orders in three layouts, two of them in one folder, against the expected columns."""
+    path = scratch_path(t.spark, "layouts")
+    rows = t.orders.drop("o_orderstatus")
+    part = lambda status: t.orders.where(F.col("o_orderstatus") == status).drop("o_orderstatus")
+    old = part("F").where("o_orderkey % 2 = 1")
+    old = old.drop("o_orderpriority").withColumn("o_totalprice", F.col("o_totalprice").cast("string")).withColumn("o_clerk", F.lit("x"))
+    for status, layout in (("O", part("O")), ("F", part("F").where("o_orderkey % 2 = 0")), ("F", old), ("P", part("P").drop("o_custkey"))):
+        layout.write.mode("append").parquet(f"{path}/o_orderstatus={status}")
+    return layout_drift(layouts.read_layouts(t.spark, path), rows.schema, path).drop("n_files")

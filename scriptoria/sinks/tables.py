@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from ..sources.corpus import open_store
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -49,6 +52,33 @@ def read_table(spark, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}")
 
 
+def write_files(files: DataFrame, root: str) -> int:
+    """Write each row of ``files`` (path below ``root``, content) as a file of its own; returns the number of files.
+
+    Tasks write under a name of their own and move the file when it is complete, so a task that runs again, or twice,
+    leaves the same files. A null content is an empty file; rows of one path overwrite each other.
+    """
+
+    def write(batches):
+        store, base = open_store(root)
+        made: set[str] = set()
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                target = f"{base}/{path}"
+                folder = target.rsplit("/", 1)[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                draft = f"{folder}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as out:
+                    out.write(content or b"")
+                store.move(draft, target)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    written = files.select("path", F.col("content").cast("binary")).mapInArrow(write, "n bigint")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV with header; the byte-order mark of spreadsheet exports is not written."""
     df.write.mode("overwrite").option("header", True).csv(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,13 @@ def scan_corpus(
     return files
 
 
+def open_store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the name of the path in it."""
+    if path.startswith("file:"):
+        path = "/" + path[len("file:") :].lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
 def scan_assets(spark: SparkSession, root: str, pattern: str = "*.png") -> DataFrame:
     """Binary assets with size and the first eight bytes in hex.
 

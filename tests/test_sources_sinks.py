@@ -276,3 +276,43 @@ def test_long_outlines_in_ranges(spark):
     for size in (3, 17, 10_000):
         got = documents.read_outline(df, lines=size)
         assert rows(got, "doc_path", "line_no", "group_no", "sutra_id") == sorted(((d, *x) for d, t in texts.items() for x in stack_outline(t)), key=repr), size
+
+
+def test_written_files_are_scanned_by_folder(spark):
+    root = shared_dir(spark) + "/written"
+    names = ["A/A01/A01n0001.xml", "A/A02/A02n0002.xml", "B/B01/B01n0001.xml"]
+    files = spark.createDataFrame([(n, f"<TEI>{n}é</TEI>") for n in names] + [("B/B01/B01n0002.xml", None)], "path string, content string")
+    assert T.write_files(files, root) == 4
+    assert T.write_files(files.limit(0), root) == 0
+    assert T.write_files(files, root) == 4  # a second run leaves the same files
+    found = corpus.scan_corpus(spark, root)
+    assert sorted((r.canon, r.volume, r.work_no, bytes(r.content).decode()) for r in found.collect()) == [
+        (n[0], n[3:5], n[-8:-4], f"<TEI>{n}é</TEI>") for n in names
+    ]
+    pruned = corpus.scan_corpus(spark, root, "A", "02")
+    assert [f.rsplit("/", 1)[1] for f in pruned.inputFiles()] == ["A02n0002.xml"]  # other folders are not even listed
+
+
+def test_layout_drift(spark):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    from scriptoria.sources.layouts import read_layouts
+
+    root = shared_dir(spark) + "/layouts"
+    wide = spark.range(3).selectExpr("id", "'x' AS text", "named_struct('a', 1, 'b', array(1.5D)) AS extra")
+    wide.select("id", "text").coalesce(1).write.parquet(f"{root}/p=1")
+    wide.coalesce(1).write.parquet(f"{root}/p=2")
+    spark.range(2).selectExpr("cast(id AS int) id").coalesce(1).write.mode("append").parquet(f"{root}/p=2")
+    spark.range(1).selectExpr("'no footer' AS value").coalesce(1).write.text(f"{root}/text")
+    bad = spark.read.text(f"{root}/text").select(F.lit("p=3/bad.parquet").alias("path"), F.col("value").alias("content"))
+    T.write_files(bad, root)
+    expected = StructType([StructField("id", LongType()), StructField("text", StringType())])
+    found = Q.layout_drift(read_layouts(spark, root), expected, root)
+    got = sorted((r.folder, r.problem, r["column"] or "", r.expected, r.found if r.problem != "unreadable" else None, r.n_files, r.n_rows) for r in found.collect())
+    assert got == [
+        ("p=2", "extra", "extra", None, "struct<a:int,b:array<double>>", 1, 3),
+        ("p=2", "missing", "text", "string", None, 1, 2),
+        ("p=2", "type", "id", "bigint", "int", 1, 2),
+        ("p=3", "unreadable", "", None, None, 1, 0),
+    ]
+    assert Q.layout_drift(read_layouts(spark, f"{root}/p=1"), expected, root).count() == 0
