@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..functions.text import escape_html
+from ..operators import extract as X
 from ..operators.quality import layout_drift
 from ..sinks.tables import export_csv, write_files
 from ..sources import catalogs, corpus, documents, layouts, lexicons
+from .corpus import parse_corpus
 from .registry import Tables, query
 
 PER_FILE = 500  # rows of a table in one written file
@@ -151,3 +154,38 @@ def layout_drift_query(t: Tables) -> DataFrame:
     for status, layout in (("O", part("O")), ("F", part("F").where("o_orderkey % 2 = 0")), ("F", old), ("P", part("P").drop("o_custkey"))):
         layout.write.mode("append").parquet(f"{path}/o_orderstatus={status}")
     return layout_drift(layouts.read_layouts(t.spark, path), rows.schema, path).drop("n_files")
+
+
+@query(
+    "terms_and_marks",
+    """
+    WITH p AS (SELECT *, 'p' || p_partkey AS doc_path, 'GA' || lpad(p_size::VARCHAR, 2, '0') AS book FROM part),
+    v AS (SELECT doc_path, unnest([p_name || ', ', '  ' || p_type || '. ', ' . ']) AS s FROM p)
+    SELECT 'term' AS kind, doc_path, p_size::VARCHAR AS name, p_name AS zh, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE '' END AS siddham,
+      CASE WHEN p_size % 2 = 0 THEN 'SA-SIDD: ' || p_brand || ' ｜ ' ELSE '' END || 'PI: ' || p_type || ' ｜ ?: ' || p_size AS other, NULL::BIGINT AS n FROM p
+    UNION ALL SELECT 'ref', doc_path, 'T' || lpad(p_size::VARCHAR, 2, '0') || 'n' || p_partkey, NULL, NULL, NULL, NULL FROM p WHERE p_size % 3 = 0
+    UNION ALL SELECT 'page', doc_path, '0007a', NULL, NULL, 'GAv' || lpad(p_size::VARCHAR, 2, '0') || 'p0007', NULL FROM p
+    UNION ALL SELECT 'verse', doc_path, trim(s), NULL, NULL, NULL, length(regexp_replace(s, '[\\s,.;:!?]', '', 'g')) FROM v
+      WHERE length(regexp_replace(s, '[\\s,.;:!?]', '', 'g')) > 0
+    """,
+)
+def terms_and_marks(t: Tables) -> DataFrame:
+    """Parallel terms, cross references, page references and verse lines of marked-up parts, one file a part."""
+    name, kind, brand = escape_html("p_name"), escape_html("p_type"), escape_html("p_brand")
+    number = F.lpad(F.col("p_size").cast("string"), 2, "0")
+    sidd = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit('<t xml:lang="sa-Sidd">'), brand, F.lit("</t>"))).otherwise("")
+    target = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("../T/T"), number, F.lit("n"), "p_partkey", F.lit(".xml#x"))).otherwise("http://nowhere/")
+    xml = F.concat(
+        F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body><pb n="0007a" xml:id="GA'), number, F.lit('.0001.0007a"/><pb n="0007b" xml:id="GA'), number,
+        F.lit('.0001.0007b"/><p><tt n="'), "p_size", F.lit('"><t xml:lang="zh-Hant">'), name, F.lit("</t>"), sidd, F.lit('<t xml:lang="pi">'), kind, F.lit("</t><t>"), "p_size",
+        F.lit('</t></tt><ref target="'), target, F.lit('"/></p><t>loose</t><l>loose</l><lg><l>'), name, F.lit(", </l><l>  "), kind, F.lit(". </l><l> . </l></lg></body></text></TEI>"),
+    )
+    pos = parse_corpus(t.part.select(F.concat(F.lit("p"), "p_partkey").alias("doc_path"), xml.alias("content")))
+    none = F.lit(None).cast("string")
+
+    def rows(kind, df, name, zh=none, siddham=none, other=none, n=none):
+        return df.select(F.lit(kind).alias("kind"), "doc_path", F.col(name).alias("name"), zh.alias("zh"), siddham.alias("siddham"), other.alias("other"), n.cast("bigint").alias("n"))
+
+    terms = rows("term", X.extract_parallel_terms(pos), "n", F.col("zh_text"), F.col("siddham_text"), F.col("foreign"))
+    refs, pages = rows("ref", X.extract_refs(pos), "ref_target"), rows("page", X.extract_page_refs(pos), "page_id", other=F.col("image_ref"))
+    return terms.unionByName(refs).unionByName(pages).unionByName(rows("verse", X.extract_verse_lines(pos), "line", n=F.col("n_chars")))
