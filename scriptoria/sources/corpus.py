@@ -12,13 +12,23 @@ from ..functions.text import volume_from_path
 FILE_PATTERN = r"([A-Z]+)(\d+)n([A-Za-z]*\d+[A-Za-z]?)(?:_\d+)?\.xml$"
 
 
+BINARY_FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
+
+def _matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path with wildcards leads anywhere."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return found is not None and len(found) > 0
+
+
 def scan_corpus(
     spark: SparkSession, root: str, canon: str | None = None, volume: str | None = None, work: str | None = None
 ) -> DataFrame:
     """One row per XML file with ids taken from its name.
 
     Canon and volume become path globs, so other folders are never listed; ``work`` matches the
-    number in the file name with or without zero padding.
+    number in the file name with or without zero padding. A canon or volume without a folder has no rows.
     """
     root = root.rstrip("/")
     if canon:
@@ -28,7 +38,7 @@ def scan_corpus(
         path = root
         reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").option("recursiveFileLookup", True)
     name = F.element_at(F.split("path", "/"), -1)
-    files = reader.load(path).select(
+    files = (reader.load(path) if not canon or _matches(spark, path) else spark.createDataFrame([], BINARY_FILES)).select(
         F.col("path").alias("doc_path"),
         "content",
         F.col("length").alias("n_bytes"),

@@ -13,7 +13,7 @@ from scriptoria.operators.catalog import notes_for
 from scriptoria.operators.tree import nav_quality
 from scriptoria.plans.corpus import build_tables, parse_corpus
 from scriptoria.sinks import render as R
-from scriptoria.session import shared_dir
+from scriptoria.session import scratch_path, shared_dir
 from scriptoria.sinks import tables as T
 from scriptoria.sources import catalogs, corpus, documents, lexicons, navigation
 from scriptoria.sources.markup import flatten_markup
@@ -279,7 +279,7 @@ def test_long_outlines_in_ranges(spark):
 
 
 def test_written_files_are_scanned_by_folder(spark):
-    root = shared_dir(spark) + "/written"
+    root = scratch_path(spark, "written")
     names = ["A/A01/A01n0001.xml", "A/A02/A02n0002.xml", "B/B01/B01n0001.xml"]
     files = spark.createDataFrame([(n, f"<TEI>{n}é</TEI>") for n in names] + [("B/B01/B01n0002.xml", None)], "path string, content string")
     assert T.write_files(files, root) == 4
@@ -290,6 +290,7 @@ def test_written_files_are_scanned_by_folder(spark):
         (n[0], n[3:5], n[-8:-4], f"<TEI>{n}é</TEI>") for n in names
     ]
     pruned = corpus.scan_corpus(spark, root, "A", "02")
+    assert corpus.scan_corpus(spark, root, "A", "09").count() == corpus.scan_corpus(spark, root, "C").count() == 0
     assert [f.rsplit("/", 1)[1] for f in pruned.inputFiles()] == ["A02n0002.xml"]  # other folders are not even listed
 
 
@@ -298,7 +299,7 @@ def test_layout_drift(spark):
 
     from scriptoria.sources.layouts import read_layouts
 
-    root = shared_dir(spark) + "/layouts"
+    root = scratch_path(spark, "layouts")
     wide = spark.range(3).selectExpr("id", "'x' AS text", "named_struct('a', 1, 'b', array(1.5D)) AS extra")
     wide.select("id", "text").coalesce(1).write.parquet(f"{root}/p=1")
     wide.coalesce(1).write.parquet(f"{root}/p=2")
