@@ -48,6 +48,7 @@ def load_all() -> None:
         queries_lexicon,
         queries_quality,
         queries_relations,
+        queries_rendering,
         queries_search,
         queries_streams,
         queries_verse,

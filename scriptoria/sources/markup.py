@@ -38,7 +38,8 @@ HTML_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link",
 # A new element of these kinds closes an open one of the same kind, up to the nearest container.
 HTML_IMPLIED_END = {"p", "li", "tr", "td", "th", "dt", "dd", "option"}
 HTML_CONTAINERS = {"div", "article", "section", "ul", "ol", "table", "nav", "body", "blockquote"}
-REGIONS = {"teiHeader": "header", "head": "header", "body": "body", "back": "back"}
+TEI_REGIONS = {"teiHeader": "header", "body": "body", "back": "back"}  # a head is a heading here
+HTML_REGIONS = {"head": "header", "body": "body"}
 IDEOGRAPHIC_SPACE = chr(0x3000)
 
 _ARROW = pa.schema(
@@ -64,8 +65,8 @@ _ARROW = pa.schema(
 class _Events:
     """Collects the events of one document; the same for both dialects."""
 
-    def __init__(self, path: str, skip: set[str]):
-        self.path, self.skip = path, skip
+    def __init__(self, path: str, skip: set[str], regions: dict[str, str]):
+        self.path, self.skip, self.region_of = path, skip, regions
         self.rows: list[tuple] = []
         self.ids: list[int] = []
         self.tags: list[str] = []
@@ -101,7 +102,7 @@ class _Events:
         node, parent = self.next_id, self.ids[-1] if self.ids else None
         self.next_id += 1
         skip = node if tag in self.skip else self.skips[-1]
-        self.regions.append(REGIONS.get(tag, self.regions[-1]))
+        self.regions.append(self.region_of.get(tag, self.regions[-1]))
         self._emit("start", tag, ns, node, parent, skip, attrs, None)
         self.ids.append(node)
         self.tags.append(tag)
@@ -174,7 +175,7 @@ class _HtmlTarget(HTMLParser):
 
 
 def _parse(path: str, content, dialect: str) -> list[tuple]:
-    events = _Events(path, TEI_SKIP if dialect == "tei" else HTML_SKIP)
+    events = _Events(path, *((TEI_SKIP, TEI_REGIONS) if dialect == "tei" else (HTML_SKIP, HTML_REGIONS)))
     try:
         if dialect == "tei":
             parser = ET.XMLParser(target=_TeiTarget(events))
