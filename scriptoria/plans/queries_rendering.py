@@ -129,7 +129,7 @@ def rendered_pages(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "pages")
     pos = parse_corpus(marked_documents(t))
     write_files(work_pages(render_flavor(pos), X.extract_metadata(pos)), root)
-    files = t.spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    files = t.spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
     name = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"/([^/]+/[^/]+/[^/]+/\d+\.md)$", 1)
     return files.select(name.alias("path"), F.col("value").alias("content"))
 
