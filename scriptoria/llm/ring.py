@@ -8,7 +8,9 @@ the overflow moves away from its place on the ring (the ``rows`` law).
 
 Rows are only counted by cell (a piece of an arc of the ring); the placing works on runs of ranks in an arc, whose number
 is bounded by the ring and not by the rows. A row finds its run from its arc and rank, and the run gives shard and slot.
-Ranks are taken within cells; rows of one key spread over ``SALT`` cells, so a key that many rows share is no hot group.
+Ranks are taken within cells over entries, the distinct pairs of key and text, with their numbers of rows, so they depend
+on nothing but key and text: the same rows in other partitions get the same shards and slots. Texts of one key spread over
+``SALT`` cells, and the rows of one entry are numbered in ``SALT`` parts, so neither is a hot group.
 
 Contract: a null text has size 16 and the checksum of an empty text; a null key has a place on the ring as any value;
 repeated rows are placed each (which of them gets which slot is not told apart); an empty table gives no rows; extra
@@ -20,7 +22,7 @@ from __future__ import annotations
 from bisect import bisect_left
 
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -79,7 +81,9 @@ def shard_rows(docs: DataFrame, shards: int = 40, vnodes: int = VNODES, key: str
         placed.withColumn("_ring_prefix", F.shiftright("_ring_at", 64 - PREFIX_BITS) + (1 << (PREFIX_BITS - 1)))
         .join(cells, "_ring_prefix")
         .withColumn("_ring_arc", (F.col("_ring_before") + F.size(F.filter("_ring_points", lambda p: p < F.col("_ring_at")))) % len(points))
-        .withColumn("_ring_part", F.pmod(F.xxhash64(key, "text_crc32", F.monotonically_increasing_id()), F.lit(SALT)))
+        .withColumn("_ring_id", F.xxhash64(F.lit("id"), key))
+        .withColumn("_ring_part", F.pmod(F.xxhash64(key, "text_crc32"), F.lit(SALT)))
+        .withColumn("_ring_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALT)))  # fixed by the cut below
         .drop("_ring_before", "_ring_points")
     )
     placed = materialize(placed, "placed")
@@ -93,9 +97,13 @@ def shard_rows(docs: DataFrame, shards: int = 40, vnodes: int = VNODES, key: str
     n = sum(counts)
     runs = place(counts, [s for _, s in points], [n // shards + (s < n % shards) for s in range(shards)])
     offsets = spark.createDataFrame(before, "_ring_arc int, _ring_prefix long, _ring_part long, _ring_before long")
+    entry = ["_ring_at", "_ring_id", "text_crc32", "_ring_salt"]
+    earlier = Window.partitionBy(*cell).orderBy(*entry).rowsBetween(Window.unboundedPreceding, -1)
+    entries = placed.groupBy(*cell, *entry).count().withColumn("_ring_start", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
+    entries = entries.join(F.broadcast(offsets), cell).select(*entry, (F.col("_ring_start") + F.col("_ring_before")).alias("_ring_start"))
     spans = spark.createDataFrame(runs, "_ring_arc int, _ring_lo long, _ring_hi long, shard int, _ring_slot long")
-    order = f"row_number() over (partition by _ring_arc, _ring_prefix, _ring_part order by _ring_at, `{key}`, text_crc32) - 1"
-    ranked = placed.withColumn("_ring_n", F.expr(order)).join(F.broadcast(offsets), cell).withColumn("_ring_rank", F.col("_ring_n") + F.col("_ring_before"))
+    number = F.row_number().over(Window.partitionBy(*entry).orderBy("size")) - 1
+    ranked = placed.withColumn("_ring_n", number).join(entries, entry).withColumn("_ring_rank", F.col("_ring_n") + F.col("_ring_start"))
     found = ranked.join(F.broadcast(spans), "_ring_arc").where("_ring_rank >= _ring_lo and _ring_rank < _ring_hi")
     found = found.withColumn("slot", F.col("_ring_slot") + F.col("_ring_rank") - F.col("_ring_lo"))
     return found.select(*kept, "size", "text_crc32", "shard", "slot")

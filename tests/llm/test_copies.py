@@ -152,6 +152,18 @@ def test_ring_places_as_one_by_one(small, spark):
     assert got == filled
 
 
+def test_ring_does_not_depend_on_partitions(small, spark):
+    """Also where a third of all rows are equal, have one key, or have none."""
+    hot = small.select("doc_id", "text").unionByName(spark.range(400).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same").alias("text")))
+    hot = hot.unionByName(spark.range(300).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text")))
+
+    def placed(docs):
+        return sorted(map(repr, ring.shard_rows(docs, 7).select("doc_id", "text_crc32", "shard", "slot").collect()))
+
+    first = placed(hot.repartition(7))
+    assert first == placed(hot.repartition(2)) == placed(hot.orderBy(F.desc("text")).coalesce(1))
+
+
 def test_growing_moves_few_rows(small):
     before = {r.doc_id: r.shard for r in ring.shard_rows(small, 10).collect()}
     after = {r.doc_id: r.shard for r in ring.shard_rows(small, 11).collect()}
