@@ -1,11 +1,13 @@
 """Full-text and title search for batches of queries.
 
 Whatever the size of the batch, texts meet queries by equi-joins: long texts by windows on their first characters,
-titles and names by their substrings, stored indexes by the rarest trigrams of a query.
+titles and names by the first characters of each place, stored indexes by the rarest trigrams of a query.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,42 +16,55 @@ from ..functions.predicates import fold_ascii, match_text
 from ..functions.text import escape_keep_mark, to_script
 from ..session import broadcast_if_small, fits_broadcast, materialize
 from .firstwins import top_k
-from .joins import occurrences, substrings
+from .joins import occurrences
 
 K1, B, MIN_IDF = 1.2, 0.75, 1e-6
 
 
+ANCHOR = 3  # characters of a needle that a place of a short text is looked up by
+
+
 def _pairs(df: DataFrame, queries: DataFrame, probes, keep=("query",)) -> DataFrame:
     """Rows of ``df`` (short texts) once per query that one of the probes finds.
 
-    A probe is (text, needle, mode): every substring (``contains``) or prefix (``prefix``) of the text is looked up by
-    equality among the needles, so the join is an equi-join of any batch size and yields true pairs only. A query that
-    several probes find counts at the first.
+    A probe is (text, needles, mode). Every place of a text (``contains``; the first one for ``prefix``) is looked up by
+    equality under its first characters, as many as the needles have and three at most, and the rest of the needle is
+    compared where they meet. The needles are written once and measured: a small batch is broadcast, so that the places of
+    the texts, many times the texts themselves, never leave their task; a larger one is joined by a shuffle. A query that
+    several needles find counts at the first.
     """
-    needles = F.array(*[F.struct(F.lit(i).alias("probe"), F.coalesce(n, F.lit("")).alias("key")) for i, (_, n, _) in enumerate(probes)])
-    q = queries.select(*keep, F.explode(needles).alias("_k")).select(*keep, "_k.probe", "_k.key")
-    longest = q.agg(F.coalesce(F.max(F.length("key")), F.lit(0)))
-
-    def keys(text, mode):
-        c = F.coalesce(text, F.lit(""))
-        if mode == "contains":
-            found = substrings(c, 1, F.col("_longest"))
-        else:
-            size = F.least(F.length(c), F.col("_longest"))
-            found = F.when(size > 0, F.transform(F.sequence(F.lit(1), size), lambda n: F.left(c, n))).otherwise(F.array().cast("array<string>"))
-        return F.concat(F.array(F.lit("")), found)  # the empty query is in every text
-
-    def numbered(found, i):
-        return F.transform(found, lambda k: F.struct(F.lit(i).alias("probe"), k.alias("key")))
-
-    every = F.flatten(F.array(*[numbered(keys(t, m), i) for i, (t, _, m) in enumerate(probes)]))
-    rows = df.withColumn("_longest", longest.scalar()).withColumn("_k", F.explode(every)).select(*df.columns, "_k.probe", "_k.key")
-    hit = rows.join(q, ["probe", "key"])
+    flat = [(i, text, n, mode) for i, (text, needles, mode) in enumerate(probes) for n in needles]
+    needles = F.array(*[
+        F.struct(F.lit(i).alias("probe"), F.lit(k).alias("nth"), F.coalesce(n, F.lit("")).alias("key")) for k, (i, _, n, _) in enumerate(flat)
+    ])
+    q = queries.select(*keep, F.explode(needles).alias("_k")).select(*keep, "_k.*").withColumn("anchor", F.left("key", F.lit(ANCHOR)))
+    q = materialize(q, "needles")
+    # At most four sizes of anchors a probe; a text of which no needle is looked for forms no places.
+    sizes = sorted(tuple(r) for r in q.select("probe", F.length("anchor")).distinct().collect())
+    if not sizes:
+        return df.crossJoin(q.select(*keep)).filter(F.lit(False))
+
+    def places(probe, size):
+        c, mode = F.coalesce(probes[probe][0], F.lit("")), probes[probe][2]
+        at = lambda i: F.struct(F.lit(probe).alias("probe"), i.cast("int").alias("at"), F.substring(c, i, F.lit(size)).alias("anchor"))
+        last = F.lit(1) if mode == "prefix" or size == 0 else F.length(c) - size + 1  # the empty query is in every text
+        return F.when(F.length(c) >= size, F.transform(F.sequence(F.lit(1), last), at))
+
+    every = F.flatten(F.filter(F.array(*[places(*s) for s in sizes]), lambda p: p.isNotNull()))
+    rows = df.withColumn("_k", F.explode(every)).select(*df.columns, "_k.*")
+    hit = rows.join(F.broadcast(q) if fits_broadcast(q) else q.hint("merge"), ["probe", "anchor"])
+
+    def found(i, text, mode):
+        t = F.coalesce(text, F.lit(""))
+        return (F.col("probe") == i) & (F.startswith(t, F.col("key")) if mode == "prefix" else F.position(F.col("key"), t) == F.col("at"))
+
+    # A place counts only if it is the needle's first in the text.
+    hit = hit.filter(reduce(lambda a, b: a | b, [found(i, text, mode) for i, (text, _, mode) in enumerate(probes)]))
     test = {"contains": F.contains, "prefix": F.startswith}
     earlier = F.lit(False)
-    for i, (t, n, m) in enumerate(probes[:-1]):
-        earlier = earlier | ((F.col("probe") > i) & F.coalesce(test[m](t, n), F.lit(False)))
-    return hit.filter(~earlier).drop("probe", "key")
+    for k, (_, t, n, m) in enumerate(flat[:-1]):
+        earlier = earlier | ((F.col("nth") > k) & F.coalesce(test[m](t, n), F.lit(False)))
+    return hit.filter(~earlier).drop("probe", "nth", "at", "key", "anchor")
 
 
 # -- index -----------------------------------------------------------------------------------------
@@ -231,7 +246,7 @@ def search_titles(queries: DataFrame, catalog: DataFrame, k: int = 20, pairs=())
     """Works whose id starts with a query or whose title holds it in either script, best ``k`` per query."""
     q = queries.select("query").distinct().withColumn("query_sc", to_script("query", list(pairs)))
     fold = fold_ascii
-    probes = [(fold("sutra_id"), fold("query"), "prefix"), (fold("title_sc"), fold("query_sc"), "contains"), (fold("title"), fold("query"), "contains")]
+    probes = [(fold("sutra_id"), [fold("query")], "prefix"), (fold("title_sc"), [fold("query_sc")], "contains"), (fold("title"), [fold("query")], "contains")]
     hit = _pairs(catalog, q, probes, ("query", "query_sc"))
     rank = (
         F.when(match_text("sutra_id", F.col("query"), "prefix"), 0)
@@ -246,7 +261,7 @@ def scan_titles(queries: DataFrame, catalog: DataFrame, k: int = 50, pairs=(), p
     """Degraded title search without an index: first ``k`` matches in catalogue order."""
     q = queries.select("query").distinct().withColumn("query_sc", to_script("query", list(pairs)))
     cat = catalog if "title_sc" in catalog.columns else catalog.withColumn("title_sc", to_script("title", list(pairs)))
-    probes = [(F.upper("sutra_id"), F.upper("query"), "prefix"), (F.lower("title"), F.lower("query"), "contains"), (F.col("title_sc"), F.col("query_sc"), "contains")]
+    probes = [(F.upper("sutra_id"), [F.upper("query")], "prefix"), (F.lower("title"), [F.lower("query")], "contains"), (F.col("title_sc"), [F.col("query_sc")], "contains")]
     hit = _pairs(cat, q, probes, ("query", "query_sc")).drop("query_sc")
     return top_k(hit, ["query"], [pos], k, "rank")
 
@@ -260,7 +275,7 @@ def search_works(
         "query", F.upper(trimmed).alias("u"), F.lower(to_script(trimmed, list(to_tc))).alias("tc"),
         F.lower(to_script(trimmed, list(to_sc))).alias("sc"),
     )
-    probes = [(F.upper("sutra_id"), F.col("u"), "contains"), (F.lower("title"), F.col("tc"), "contains"), (F.lower("title"), F.col("sc"), "contains")]
+    probes = [(F.upper("sutra_id"), [F.col("u")], "contains"), (F.lower("title"), [F.col("tc"), F.col("sc")], "contains")]
     hit = _pairs(catalog, q, probes, ("query", "u", "tc", "sc"))
     return top_k(hit, ["query"], [pos], k, "rank").select("query", "rank", "sutra_id", "title", "total_juan")
 
@@ -274,7 +289,7 @@ def search_persons(queries: DataFrame, persons: DataFrame, k: int = 20, pairs=()
     def either(x, test):
         return test(x["query"]) | test(x["query_t"])
 
-    probes = [(fold_ascii(f"_{c}"), fold_ascii(n), "contains") for c in cols for n in ("query", "query_t")]
+    probes = [(fold_ascii(f"_{c}"), [fold_ascii(n) for n in ("query", "query_t")], "contains") for c in cols]
     hit = _pairs(p, q, probes, ("query", "query_t"))
     row = {"query": F.col("query"), "query_t": F.col("query_t")}
     rank = (

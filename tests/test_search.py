@@ -95,3 +95,16 @@ def test_persons(spark):
     )
     got = S.search_persons(queries(spark, "玄奘"), p)
     assert [r.person_id for r in got.orderBy("rank").collect()] == ["1", "2", "4", "3"]
+
+
+def test_places_of_texts_meet_a_small_batch_where_they_are(spark):
+    """The texts' places, many times the texts, are never the broadcast side; every length of query and a repeat count once."""
+    titles = ["abcabcab", "xxabc", "b", "", None, "zzzzzz", "ABCabc"]
+    cat = spark.createDataFrame([(f"T{i}", t, t, i, i) for i, t in enumerate(titles)], "sutra_id string, title string, title_sc string, total_juan int, pos int")
+    qs = ["a", "ab", "abc", "abca", "zz", "t1", "", "q"]
+    found = S.search_works(spark.createDataFrame([(q,) for q in qs], "query string"), cat)
+    want = {(q, f"T{i}") for q in qs for i, t in enumerate(titles) if q.upper() in f"T{i}" or q in (t or "").lower()}
+    got = [(r.query, r.sutra_id) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+    joins = [x for x in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x and "anchor" in x]
+    assert joins and all("BroadcastHashJoin" in x and "BuildRight" in x for x in joins)
