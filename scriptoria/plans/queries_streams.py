@@ -13,9 +13,9 @@ from .registry import Tables, query
 
 
 def stream(t: Tables, name: str) -> DataFrame:
-    """A table as a file stream."""
-    schema = getattr(t, name).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.sf_dir)
+    """A table as a file stream; the pattern finds it as one file and as a folder of files."""
+    schema = t.spark.read.parquet(f"{t.sf_dir}/{name}.parquet").schema
+    return t.spark.readStream.schema(schema).parquet(f"{t.sf_dir}/{name}.parque[t]")
 
 
 def drain(df: DataFrame, label: str) -> DataFrame:

@@ -6,6 +6,10 @@ from scriptoria.operators.search import build_trigram_index
 from scriptoria.streaming.dedupe import first_seen
 from scriptoria.streaming.index import apply_batch, compact_batches, compact_index, compacted_upto, maintain_index, read_index
 from scriptoria.streaming.notes import note_log, notes_per_day, read_note_stream
+from scriptoria.plans import registry
+
+registry.load_all()
+QUERIES = registry.QUERIES
 
 DDL = "doc_id int, text string, op string, change_no int"
 
@@ -67,3 +71,9 @@ def test_compaction_while_changes_go_on(spark, tmp_path):
     assert compacted_upto(spark, index) == 2 and rows(read_index(spark, index), "term", "doc_id", "tf") == rows(want, "term", "doc_id", "tf")
     compact_batches(spark, index, 1)  # already covered
     assert compacted_upto(spark, index) == 2
+
+
+def test_table_streams_of_one_file_and_of_a_folder(spark, sf, tmp_path):
+    one = rows(QUERIES["stream_note_log"](spark, sf), "sutra_id", "day", "juan", "n", "longest")
+    spark.read.parquet(f"{sf}/conversations.parquet").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert one and rows(QUERIES["stream_note_log"](spark, str(tmp_path)), "sutra_id", "day", "juan", "n", "longest") == one
