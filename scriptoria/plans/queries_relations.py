@@ -21,8 +21,9 @@ _SQL_TITLES = f"ti AS (SELECT p_partkey, 'T' || lpad(p_partkey::VARCHAR, 4, '0')
 
 def titles(t: Tables) -> DataFrame:
     genre = F.create_map(*[F.lit(x) for kv in _GENRES.items() for x in kv])[F.col("p_type")]
+    number = F.col("p_partkey").cast("string")
     return t.part.select(
-        "p_partkey", F.concat(F.lit("T"), F.lpad(F.col("p_partkey").cast("string"), 4, "0")).alias("sutra_id"),
+        "p_partkey", F.concat(F.lit("T"), F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit("0"))).alias("sutra_id"),
         F.concat_ws(" ", "p_name", genre).alias("title"), "p_type", "p_brand",
     )
 

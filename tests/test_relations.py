@@ -7,6 +7,10 @@ from scriptoria.operators import firstwins as W
 from scriptoria.operators import joins as J
 from scriptoria.operators import relate as R
 from scriptoria.operators import tree as T
+from scriptoria.plans import registry
+
+registry.load_all()
+QUERIES = registry.QUERIES
 
 
 def members(spark, *m):
@@ -190,3 +194,10 @@ def test_volumes(spark):
     index = spark.createDataFrame([("T0001", 2, "a.xml"), ("T0220", 201, "gone.xml")], "sutra_id string, juan int, file_ref string")
     files = spark.createDataFrame([("T0001", 2, "b.xml"), ("T0001", 9, "a.xml"), ("T0220", 201, "c.xml"), ("T0002", 1, "d.xml")], "sutra_id string, juan int, path string")
     assert rows(T.resolve_volume(keys, index, files), "sutra_id", "path") == [("T0001", "a.xml"), ("T0002a", "d.xml"), ("T0220b", "c.xml"), ("T9", None)]
+
+
+def test_numbers_of_works_are_not_cut(spark, tmp_path):
+    part = [(k, "small gizmo", "LARGE") for k in (841, 1420, 10015, 15050, 169301, 2732001)]
+    spark.createDataFrame([(*p, "B") for p in part], "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.p_partkey: r.commentary for r in QUERIES["classify_title"](spark, str(tmp_path)).collect()}
+    assert got == {841: False, 1420: False, 10015: True, 15050: True, 169301: True, 2732001: True}
