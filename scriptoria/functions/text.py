@@ -134,6 +134,14 @@ def unescape_entities(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else html.unescape(t))
 
 
+def only_references(col: Column | str, names) -> Column:
+    """Markup in which only the named references, closed by a semicolon, are left to decode; other ampersands are text.
+
+    Decoders of HTML also take references without a semicolon (``&amp<``) and the whole table of names.
+    """
+    return F.regexp_replace(as_col(col), f"&(?!(?:{'|'.join(names)});)", "&amp;")
+
+
 def strip_tags(col: Column | str) -> Column:
     return F.regexp_replace(as_col(col), "<[^>]+>", "")
 

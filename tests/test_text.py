@@ -90,3 +90,10 @@ def test_dictionary_filters(spark):
     tree = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "id int, parent int")
     assert rows(P.leaf_entries(tree), "id") == [(2,), (3,)]
     assert one(spark, P.alt_terms(F.array(F.lit("a"), F.lit("b"))), P.alt_terms(F.array(F.lit("a")))) == (["b"], None)
+
+
+def test_only_named_references_are_decoded(spark):
+    html = "<h1>a&amp;b&amp</h1>&lt;&eacute;&#39;&copy &copy;"
+    df = spark.createDataFrame([(html,)], "html string")
+    got = df.select(T.strip_markup(T.only_references("html", ["amp", "lt", "copy"])), T.strip_markup("html")).first()
+    assert tuple(got) == ("a&b&amp<&eacute;&#39;&copy ©", "a&b&<é'© ©")
