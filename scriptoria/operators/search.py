@@ -155,7 +155,7 @@ def snippet(text: Column | str, query: Column | str, width: int = 30) -> Column:
     start = F.greatest(F.lit(1), at - F.floor((F.lit(width) - F.length(q)) / 2).cast("int"))
     win = F.substring(t, start, F.greatest(F.lit(width), F.length(q)))
     size = F.greatest(F.lit(width), F.length(q))
-    marked = F.regexp_replace(win, F.concat(F.lit("(?i)"), quote_regex(q)), F.lit("<mark>$0</mark>"))
+    marked = F.regexp_replace(win, F.concat(F.lit("(?iu)"), quote_regex(q)), F.lit("<mark>$0</mark>"))
     return F.concat(
         F.when(start > 1, F.lit("…")).otherwise(F.lit("")),
         marked,

@@ -108,3 +108,9 @@ def test_places_of_texts_meet_a_small_batch_where_they_are(spark):
     assert set(got) == want and len(got) == len(want)
     joins = [x for x in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x and "anchor" in x]
     assert joins and all("BroadcastHashJoin" in x and "BuildRight" in x for x in joins)
+
+
+def test_marks_fold_the_case_of_every_letter(spark):
+    docs = spark.createDataFrame([(1, "x ÉENAÏ y"), (2, "x éenaï y")], "doc_id int, text string")
+    found = S.search_fulltext(docs, queries(spark, "éenaï"))
+    assert sorted(r.snippet for r in found.collect()) == ["x <mark>ÉENAÏ</mark> y", "x <mark>éenaï</mark> y"]
