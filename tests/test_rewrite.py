@@ -25,3 +25,10 @@ def test_equals_one_pass_of_a_regular_expression(spark, monkeypatch, broadcast):
         got = W.rewrite_phrases(df, "text", phrases, window=window)
         assert got.columns == ["k", "text"] and rows(got) == sorted(want, key=repr)
     assert rows(W.rewrite_phrases(df, "text", phrases.limit(0), out="new").select("k", "new")) == sorted(enumerate(texts), key=repr)
+
+
+def test_a_small_table_rewrites_without_a_shuffle(spark):
+    df = spark.createDataFrame([(1, "aab b"), (2, None)], "k long, text string")
+    found = W.rewrite_phrases(df, "text", spark.createDataFrame([("aa", "x"), ("aa", "w"), ("b", None)], "src string, dst string"))
+    assert rows(found) == [(1, "w "), (2, None)]
+    assert "Exchange" not in found._jdf.queryExecution().sparkPlan().toString()
