@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.compat import null_if_empty, strip, text_or_empty
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, materialize
 
 # Field names that hold head-words and definitions, most likely first.
 TERM_FIELDS = ["term", "詞條", "word", "headword", "key", "title", "entry"]
@@ -73,7 +78,10 @@ def read_user_json(spark: SparkSession, path: str) -> DataFrame:
 
     files = _variant_files(spark, path)
     kind = F.schema_of_variant("v")
-    objects = files.filter(F.startswith(kind, F.lit("OBJECT<"))).select("dict_id", F.posexplode(F.col("v").cast("map<string,variant>")).alias("at", "term", "_v"))
+    # A part of a VARIANT carries all keys of its file, here the terms: parts leave the file as JSON texts of their own.
+    texts = F.transform_values(F.col("v").cast("map<string,variant>"), lambda _, x: F.to_json(x))
+    objects = files.filter(F.startswith(kind, F.lit("OBJECT<"))).select("dict_id", F.posexplode(texts).alias("at", "term", "_t"))
+    objects = objects.select("dict_id", "at", "term", F.parse_json("_t").alias("_v"))
     values = F.when(F.startswith(F.schema_of_variant("_v"), F.lit("ARRAY<")), F.try_variant_get("_v", "$", "array<variant>")).otherwise(F.array("_v"))
     from_objects = objects.select("dict_id", strip("term").alias("term"), "at", F.posexplode(values).alias("pos", "_d")).select(
         "dict_id", "term", "at", "pos", F.when(~F.is_variant_null("_d"), F.coalesce(F.try_variant_get("_d", "$", "string"), F.to_json("_d"))).alias("definition")
@@ -87,23 +95,30 @@ def read_user_json(spark: SparkSession, path: str) -> DataFrame:
     return from_objects.unionByName(from_arrays).filter(null_if_empty("term").isNotNull() & F.col("definition").isNotNull())
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def first_record(texts: pd.Series) -> pd.Series:
+    """Cells of the first row of a CSV text that is not blank."""
+    return texts.map(lambda t: next(filter(None, csv.reader(io.StringIO(t, newline=""))), None))
+
+
 def read_user_csv(spark: SparkSession, path: str, width: int = 256) -> DataFrame:
     """User dictionaries with a header each, as ``(dict_id, term, definition)``; the layout is guessed per file.
 
     The first row of a file names its columns; of each kind the last known name is used. A file without both gives no rows.
     ``width`` is the number of columns that are looked at.
     """
-    columns = [f"c{k}" for k in range(width)]
-    raw = spark.read.schema(", ".join(f"{c} string" for c in columns)).option("multiLine", True).option("header", False).option("escape", "\"").csv(path)
-    rows = raw.select(F.col("_metadata.file_path").alias("file"), _dict_name().alias("name"), F.array(*columns).alias("cells"), F.monotonically_increasing_id().alias("id"))
-    heads = rows.groupBy("file").agg(F.min_by("cells", "id").alias("head"), F.min("id").alias("id"))
+    file = F.col("_metadata.file_path").alias("file")
+    heads = spark.read.text(path, wholetext=True).select(file, F.slice(first_record("value"), 1, width).alias("head"))
 
     def last(names: list[str]) -> Column:
         known = F.transform("head", lambda h, k: F.when(F.lower(strip(h)).isin(names), k + 1))
         return F.array_max(known)
 
-    layout = heads.select("file", F.col("id").alias("head_id"), last(CSV_TERM_FIELDS).alias("t"), last(CSV_DEFINITION_FIELDS).alias("d")).filter("t is not null and d is not null")
-    body = rows.join(broadcast_if_small(layout), "file").filter("id <> head_id")
+    layout = materialize(heads.select("file", last(CSV_TERM_FIELDS).alias("t"), last(CSV_DEFINITION_FIELDS).alias("d")).filter("t is not null and d is not null"), "layout")
+    used = layout.agg(F.max(F.greatest("t", "d"))).first()[0] or 1  # columns beyond are not parsed into cells
+    raw = spark.read.schema(", ".join(f"c{k} string" for k in range(used))).option("multiLine", True).option("header", True).option("escape", "\"").csv(path)
+    rows = raw.select(file, _dict_name().alias("name"), F.array(*[f"c{k}" for k in range(used)]).alias("cells"))
+    body = rows.join(broadcast_if_small(layout), "file")
     cell = lambda k: strip(text_or_empty(F.element_at("cells", F.col(k))))
     return body.select(F.concat(F.lit("user.csv."), "name").alias("dict_id"), cell("t").alias("term"), cell("d").alias("definition")).filter(F.col("term") != "")
 

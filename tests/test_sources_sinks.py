@@ -317,3 +317,17 @@ def test_layout_drift(spark):
         ("p=3", "unreadable", "", None, None, 1, 0),
     ]
     assert Q.layout_drift(read_layouts(spark, f"{root}/p=1"), expected, root).count() == 0
+
+
+def test_sheets_are_read_as_wide_as_their_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\n"x\ny",word,meaning,more\n1,t,"m\n2",3\n5,u,v\n')
+    (tmp_path / "b.csv").write_text("no,columns\n1,2\n")
+    found = lexicons.read_user_csv(spark, str(tmp_path))
+    assert rows(found, "dict_id", "term", "definition") == [("user.csv.a", "t", "m\n2"), ("user.csv.a", "u", "v")]
+    assert "c3" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_values_of_an_object_leave_their_file_alone(spark, tmp_path):
+    (tmp_path / "o.json").write_text('{"a": "1", "b": ["x", 2, null], "c": {"k": "v"}, "d": null, "e": "[\\"s\\"]"}')
+    got = rows(lexicons.read_user_json(spark, str(tmp_path)), "term", "definition")
+    assert got == sorted([("a", "1"), ("b", "x"), ("b", "2"), ("c", '{"k":"v"}'), ("e", '["s"]')], key=repr)
