@@ -252,7 +252,7 @@ def _per_doc(batches):
 
 def _pack(batches):
     """Texts in compressed form, as they go through the two joins with their marks."""
-    pack = zstandard.ZstdCompressor(level=1).compress
+    pack = zstandard.ZstdCompressor(level=5).compress
     for batch in batches:
         texts = Texts(batch.column("text"))
         packed = pa.array([pack(texts.text(i)) for i in range(texts.n)], pa.binary())
