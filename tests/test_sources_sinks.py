@@ -324,7 +324,7 @@ def test_sheets_are_read_as_wide_as_their_columns(spark, tmp_path):
     (tmp_path / "b.csv").write_text("no,columns\n1,2\n")
     found = lexicons.read_user_csv(spark, str(tmp_path))
     assert rows(found, "dict_id", "term", "definition") == [("user.csv.a", "t", "m\n2"), ("user.csv.a", "u", "v")]
-    assert "c3" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert not re.search(r"\bc3#", found._jdf.queryExecution().sparkPlan().toString())
 
 
 def test_values_of_an_object_leave_their_file_alone(spark, tmp_path):
