@@ -10,15 +10,21 @@ is left is checked by the exact Jaccard similarity of both sets of shingles.
 Crowded places (over ``DIRECT`` members) are not compared pair by pair: members join the first leader within the distance,
 and two leaders' groups are only searched for a link while nothing else connects them.
 
+Fingerprints tell most links, not all. An exact pass finds the rest: with shingles in one order for all texts, two sets of
+the least similarity share a shingle among the first ``n - ceil(least * n) + 1`` of each. Texts of different components that
+share such a shingle, and whose lengths and places allow the similarity, are compared by their sets. The order puts crowded
+shingles last; a table of counts per hash slot, of fixed size, tells them, and no result depends on it.
+
 Contract: a null or empty text has no shingles and equals other such texts; a text of fewer words than a shingle is one
 shingle; rows with null or repeated ids are compared as any other (see ``numbered`` for their order); an empty table gives
-no rows; extra columns are kept, whatever their names.
+no rows; extra columns are kept, whatever their names. Sets of shingles are sets of their 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +43,10 @@ BITS = 8 * SEGMENT
 DEVIATIONS = 1.75  # how far beyond the expected distance a pair of the least similarity is still looked at
 TURNS = (0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # a hash gives its further words by scrambling with these
 
-FP = pa.schema([("ord", pa.int64()), *((f"f{k}", pa.int64()) for k in range(WORDS))])
+SLOTS = 20  # bits of a hash that name its slot in the table of counts
+PART = 10  # bits of a slot within a row of this table
+
+FP = pa.schema([("ord", pa.int64()), *((f"f{k}", pa.int64()) for k in range(WORDS)), ("shingles", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
 LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("bits", pa.int32())])
 
 
@@ -62,17 +71,50 @@ def _majorities(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _shingles(texts: Texts, i: int, j: int, size: int) -> list[np.ndarray]:
+    return [np.unique(np.array(shingle_hashes(texts.text(k), size), U64)) for k in range(i, j)]
+
+
 def _fingerprints(size: int):
+    """Fingerprint of each text and digest of its set; then the task's counts of texts per slot of a hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SLOTS, np.int64)
         for batch in batches:
             texts, ids = Texts(batch.column("text")), batch.column("ord")
             for i, j in texts.chunks(1 << 20):
-                fp = _majorities([np.unique(np.array(shingle_hashes(texts.text(k), size), U64)) for k in range(i, j)]).view(np.int64)
-                yield record(FP, ord=ids.slice(i, j - i), **{f"f{w}": np.ascontiguousarray(fp[:, w]) for w in range(WORDS)})
+                sets, none = _shingles(texts, i, j, size), pa.nulls(j - i)
+                fp = _majorities(sets).view(np.int64)
+                counts += np.bincount((np.concatenate(sets) >> U64(64 - SLOTS)).astype(np.int64), minlength=1 << SLOTS)
+                words = {f"f{w}": np.ascontiguousarray(fp[:, w]) for w in range(WORDS)}
+                yield record(FP, ord=ids.slice(i, j - i), **words, shingles=[md5(s.tobytes()).digest() for s in sets], part=none.cast(pa.int32()), counts=none.cast(pa.binary()))
+        rows = counts.reshape(-1, 1 << PART)
+        some = np.flatnonzero(rows.any(axis=1))
+        if len(some):
+            empty = {f.name: pa.nulls(len(some), f.type) for f in FP}
+            yield record(FP, **empty | {"part": some.astype(np.int32), "counts": [r.tobytes() for r in rows[some]]})
 
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the rows of counts by part."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
+            total[part] = total.get(part, 0) + np.frombuffer(counts, np.int64)
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["part", "counts"])
+
+
+def _levels(counts: DataFrame) -> np.ndarray:
+    """How crowded each slot is, in steps of two (2 ** SLOTS bytes whatever the input)."""
+    sums = np.zeros((1 << SLOTS - PART, 1 << PART), np.int64)
+    for row in counts.repartition(tasks(counts.sparkSession), "part").mapInArrow(_added, "part int, counts binary").collect():
+        sums[row.part] = np.frombuffer(row.counts, np.int64)
+    return np.ceil(np.log2(np.maximum(1, sums.ravel() / (sums.mean() + 4)))).astype(np.uint8)
+
+
 def _segment(fp: np.ndarray, s: int) -> np.ndarray:
     b = np.ascontiguousarray(fp).view(np.uint8).reshape(len(fp), 8 * WORDS)[:, SEGMENT * s : SEGMENT * (s + 1)].astype(np.int64)
     return b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16
@@ -196,7 +238,7 @@ def _meet(top: int, distance: int, direct: int):
 
 
 def candidates(nodes: DataFrame, distance: int, direct: int = DIRECT) -> DataFrame:
-    """Links (a, b, bits) of each bucket's forest between ``nodes`` (id, f0, f1, f2 all distinct)."""
+    """Links (a, b, bits) of each bucket's forest between ``nodes`` (id, f0, f1, f2; ids are distinct)."""
     spark = nodes.sparkSession
     top = min(16, max(4, math.ceil(math.log2(max(1, 4 * tasks(spark) / SEGMENTS)))))  # about four buckets a task; no matter for the result
     sent = nodes.mapInArrow(_send(top), "bucket int, id binary, fp binary, flip binary")
@@ -204,6 +246,92 @@ def candidates(nodes: DataFrame, distance: int, direct: int = DIRECT) -> DataFra
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "bits").distinct()
 
 
+def least_shared(n, similarity: float):
+    """Least number of common elements of two sets that have ``n`` elements in their union (or a bound for one of ``n``)."""
+    return np.ceil(similarity * n - 1e-9).astype(np.int64)
+
+
+def _prefixes(size: int, similarity: float, levels, buckets: int):
+    """The first shingles of each text, as many as one must be shared, to the buckets of their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = levels.value
+        for batch in batches:
+            texts, ids, roots = Texts(batch.column("text")), batch.column("id").to_numpy(), batch.column("root").to_numpy()
+            for i, j in texts.chunks(4 << 20):
+                sets = [s[np.argsort(level[s >> U64(64 - SLOTS)], kind="stable")] for s in _shingles(texts, i, j, size)]
+                n = np.array([len(s) for s in sets])
+                first = np.where(n > 0, n - least_shared(n, similarity) + 1, 0)
+                hashes, of = np.concatenate([s[:k] for s, k in zip(sets, first)]), np.repeat(np.arange(j - i), first)
+                place = np.arange(len(of)) - np.repeat(np.cumsum(first) - first, first)
+                out = scatter((hashes & U64(buckets - 1)).astype(np.int64), hash=hashes, id=ids[i:j][of], root=roots[i:j][of], n=n[of].astype(np.int32), place=place.astype(np.int32))
+                if out is not None:
+                    yield out
+
+    return run
+
+
+def _share(similarity: float, direct: int):
+    """Pairs (a, b) of different roots that share a first shingle and may have the similarity, by lengths and places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = gather(batches, hash=U64, id=np.int64, root=np.int64, n=np.int32, place=np.int32)
+        order = np.lexsort((got["n"], got["hash"]))
+        key = got["hash"][order]
+        new = starts(key)
+        length = np.diff(np.append(np.flatnonzero(new), len(key)))
+        size = np.repeat(length, length)
+        order, key, size, new = (x[size > 1] for x in (order, key, size, new))
+        ids, root, n, place = (got[c][order] for c in ("id", "root", "n", "place"))
+        found: list[np.ndarray] = []
+        held = 0
+
+        def allowed(a, b):
+            """a stands before b in its group, so it is not the longer one."""
+            shared = 1 + np.minimum(n[a] - place[a], n[b] - place[b]) - 1
+            ok = (root[a] != root[b]) & (n[a] >= similarity * n[b] - 1e-9)
+            return ok & (shared * (1 + similarity) >= similarity * (n[a].astype(np.int64) + n[b]) - 1e-6)
+
+        def pairs() -> pa.RecordBatch:
+            both = np.unique(np.concatenate(found), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+        few = np.flatnonzero(size <= direct)
+        k = key[few]
+        for step in range(1, direct):
+            same = np.flatnonzero(k[step:] == k[:-step])
+            if not len(same):
+                break
+            a, b = few[same], few[same + step]
+            ok = allowed(a, b)
+            found.append(np.sort(np.stack([ids[a[ok]], ids[b[ok]]], axis=1), axis=1))
+            held += int(ok.sum())
+        for at in np.flatnonzero(new & (size > direct)):
+            end = at + size[at]
+            for a in range(at, end):
+                b = np.arange(a + 1, end)
+                b = b[allowed(a, b)]
+                found.append(np.sort(np.stack([np.full(len(b), ids[a]), ids[b]], axis=1), axis=1))
+                held += len(b)
+                if held > 1 << 20:
+                    yield pairs()
+                    found.clear()
+                    held = 0
+        if held:
+            yield pairs()
+
+    return run
+
+
+def exact_candidates(members: DataFrame, levels: np.ndarray, size: int, similarity: float, direct: int = DIRECT) -> DataFrame:
+    """Every pair (a, b) of ``members`` (id, root, text) of different roots that may reach the similarity."""
+    spark = members.sparkSession
+    buckets = 1 << max(4, math.ceil(math.log2(4 * tasks(spark))))  # no matter for the result
+    table = spark.sparkContext.broadcast(levels)
+    sent = members.mapInArrow(_prefixes(size, similarity, table, buckets), "bucket int, hash binary, id binary, root binary, n binary, place binary")
+    return deal(sent, spark).mapInArrow(_share(similarity, direct), "a long, b long").distinct()
+
+
 def _sets(size: int):
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
 
@@ -211,7 +339,7 @@ def _sets(size: int):
         for batch in batches:
             texts, ids = Texts(batch.column("text")), batch.column("ord")
             for i, j in texts.chunks(1 << 20):
-                yield record(schema, id=ids.slice(i, j - i), shingles=[np.unique(np.array(shingle_hashes(texts.text(k), size), U64)).tobytes() for k in range(i, j)])
+                yield record(schema, id=ids.slice(i, j - i), shingles=[s.tobytes() for s in _shingles(texts, i, j, size)])
 
     return run
 
@@ -231,17 +359,34 @@ def _similar(least: float):
     return run
 
 
+def _verified(texts: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Those of the ``pairs`` (a, b) whose sets of shingles have the similarity."""
+    linked = pairs.select(F.col("a").alias("ord")).unionByName(pairs.select(F.col("b").alias("ord"))).distinct()
+    sets = materialize(texts.join(linked, "ord", "left_semi").mapInArrow(_sets(size), "id long, shingles binary"), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("two")), "b")
+    return materialize(both.mapInArrow(_similar(similarity), "a long, b long"), "links")
+
+
 def groups(rows: DataFrame, size: int = 5, similarity: float = 0.8, direct: int = DIRECT) -> tuple[DataFrame, DataFrame]:
-    """For ``rows`` (ord, text): the links (a, b) that were verified, and (ord, id) with the first row of its equal texts."""
-    fps = materialize(rows.select("ord", F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints(size), ", ".join(f"{n} long" for n in FP.names)), "fp")
-    words = FP.names[1:]
-    nodes = materialize(fps.groupBy(*words).agg(F.min("ord").alias("id")), "nodes")
-    found = materialize(candidates(nodes, distance_of(similarity), direct).select("a", "b").distinct(), "near")
-    linked = found.select(F.col("a").alias("ord")).unionByName(found.select(F.col("b").alias("ord"))).distinct()
-    sets = materialize(rows.select("ord", F.col("text").cast("string").alias("text")).join(linked, "ord", "left_semi").mapInArrow(_sets(size), "id long, shingles binary"), "sets")
-    both = found.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("two")), "b")
-    links = materialize(both.mapInArrow(_similar(similarity), "a long, b long"), "links")
-    return links, fps.join(nodes, words).select("ord", "id")
+    """For ``rows`` (ord, text): the links (a, b) that were verified, and (ord, id) with the first row of its equal sets.
+
+    Rows are connected by these links and equal sets exactly if they are by all pairs of the similarity.
+    """
+    texts = rows.select("ord", F.col("text").cast("string").alias("text"))
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    told = materialize(texts.mapInArrow(_fingerprints(size), ", ".join(f"{f.name} {kinds[f.type]}" for f in FP)), "fp")
+    fps = told.where("part is null").drop("part", "counts")
+    words = [f"f{k}" for k in range(WORDS)]
+    nodes = materialize(fps.groupBy("shingles").agg(F.min("ord").alias("id"), *[F.first(w).alias(w) for w in words]), "nodes")
+    found = materialize(candidates(nodes.drop("shingles"), distance_of(similarity), direct).select("a", "b").distinct(), "near")
+    near = _verified(texts, found, size, similarity)
+
+    roots = components(near).select(F.col("node").alias("id"), "root")
+    members = nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    levels = _levels(told.where("part is not null").select("part", "counts"))
+    rest = exact_candidates(texts.withColumnRenamed("ord", "id").join(members, "id"), levels, size, similarity, direct)
+    links = near.unionByName(_verified(texts, materialize(rest, "rest"), size, similarity))
+    return links, fps.join(nodes.select("shingles", "id"), "shingles").select("ord", "id")
 
 
 def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -88,3 +88,28 @@ def test_odd_rows(spark, odd, none):
     assert Counter(bool(shingles(r.text)) for r in rows)[False] == 1  # empty and null texts are copies of each other
     assert sum("quick brown fox" in (r.text or "") for r in rows) == len(set(joined(brute([r.text for r in given]) | {
         (a, b) for a, x in enumerate(given) for b, y in enumerate(given) if a < b and x.text == y.text}, len(given))) & {k for k, r in enumerate(given) if "quick brown fox" in (r.text or "")})
+
+
+@pytest.mark.parametrize("direct", [64, 4])
+def test_no_pair_at_the_threshold_is_left_out(spark, direct):
+    """Pairs at just 0.8, of which fingerprints miss some, in a corpus with a line that most texts share."""
+    rng = random.Random(8)
+    common = " ".join(f"c{k}" for k in range(12))
+    texts = []
+    for n in range(300):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(rng.randint(24, 90))]
+        whole = len(words) - 4
+        cut = 0  # the longest text without its end that still has the similarity
+        while whole - cut - 1 >= 0.8 * whole:
+            cut += 1
+        middle = list(words)
+        middle[len(words) // 2] = "x"
+        texts += [" ".join(words), " ".join(words[: len(words) - cut]), " ".join(middle)]
+        if n % 2:
+            texts += [" ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randint(1, 60))) + " " + common, common]
+    df = spark.createDataFrame(list(enumerate(texts)), "ord long, text string").repartition(6)
+    links, nodes = near_copies.groups(df, direct=direct)
+    pairs, found = brute(texts), {(r.a, r.b) for r in links.collect()}
+    assert all(len(shingles(texts[a]) & shingles(texts[b])) >= 0.8 * len(shingles(texts[a]) | shingles(texts[b])) for a, b in found)
+    same = [(r.id, r.ord) for r in nodes.collect()]
+    assert pairs and joined([*found, *same], len(texts)) == joined([*pairs, *same], len(texts))
