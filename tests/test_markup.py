@@ -171,3 +171,22 @@ def test_partition_invariance(spark):
     for name in ("catalog", "content", "notes", "toc"):
         assert rows(one[name].drop("doc_path", "seq")) == rows(many[name].drop("doc_path", "seq"))
     assert one["content"].select(F.count_distinct("sutra_id")).first()[0] == 6
+
+
+def test_positions_of_the_parse_equal_the_windows(spark):
+    """The task that parses a file tells line, volume and back matter as windows over its events would, without a shuffle."""
+    mark = '<milestone unit="juan" n="{}"/>'
+    xml = [
+        TEI.format(id="T08n0251"), "<TEI>broken", "<TEI><text><body><lb/><p>a</p><lb n='2'/><p>b</p></body><back><lb n='9'/><p>c</p></back></text></TEI>",
+        "<TEI><text><body><p>a</p>" + "".join(mark.format(n) + f"<p>{n}</p>" for n in (" 3 ", "+4", "x", "1.5", "99999999999", "-2", "")) + "</body></text></TEI>",
+        "<TEI><text><body><p>a</p>" + mark.format(7) + "<p>b</p>" + mark.format("q") + "<p>c</p></body></text></TEI>",
+        "<TEI><text><body><p>a</p><milestone unit='juan'/><p>b</p><milestone unit='x' n='5'/><milestone unit='juan' n='2'/><p>c</p></body></text></TEI>",
+        "<TEI><text><front>" + mark.format(8) + "<lb n='0'/></front><body><p>a</p></body></text></TEI>", "",
+    ]
+    d = docs(spark, *[(f"f{k}", x) for k, x in enumerate(xml)])
+    cols = ["doc_path", "seq", "line_id", "has_back", "juan"]
+    for initial in (1, 4):
+        placed = flatten_markup(d, initial=initial, flush_rows=7)
+        want = X.positioned(flatten_markup(d), initial)
+        assert rows(placed.select(cols)) == rows(want.select(cols)) and set(placed.columns) == set(want.columns)
+    assert "Exchange" not in placed._jdf.queryExecution().executedPlan().toString()
