@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.compat import let
 from ..functions.text import escape_html
 from ..operators import catalog as K
 from ..operators import census
@@ -28,12 +29,13 @@ def tei_documents(t: Tables) -> DataFrame:
     mark, other lines are paragraphs whose first word carries an apparatus entry; a long line is
     followed by a note pair.
     """
-    d = t.documents
-    clean = F.regexp_replace("text", r"[\x00-\x08\x0B-\x1F]", " ")
+    lines = F.split(F.regexp_replace("text", r"[\x00-\x08\x0B-\x1F]", " "), "\n")
+    d = t.documents.withColumn("_lines", lines)
 
     def line(s, i):
-        esc = escape_html(s)
-        word = F.substring_index(esc, " ", 1)
+        return let(escape_html(s), lambda esc: let(F.substring_index(esc, " ", 1), lambda word: marked(s, esc, word, i)))
+
+    def marked(s, esc, word, i):
         rest = F.substring(esc, F.length(word) + 1, F.length(esc))
         app = F.concat(
             F.lit('<app n="'), i + 1, F.lit('" from="#l'), i + 1, F.lit('"><lem>'), word, F.lit('</lem><rdg wit="A">'), F.lit("~"), word,
@@ -50,13 +52,13 @@ def tei_documents(t: Tables) -> DataFrame:
             .otherwise(F.concat(note, F.lit("<p>"), app, rest, F.lit("</p>"))),
         )
 
-    body = F.array_join(F.transform(F.split(clean, "\n"), line), "")
+    body = F.array_join(F.transform("_lines", line), "")
     number = F.lpad(F.col("doc_id").cast("string"), 7, "0")
     head = F.concat(
         F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0" xml:id="'), F.upper("lang"),
         F.lpad(F.regexp_extract("source", r"(\d+)", 1), 2, "0"), F.lit("n"), number,
         F.lit('"><teiHeader><titleStmt><title level="m" xml:lang="zh-Hant">'), "source", F.lit(" "), "lang",
-        F.lit("</title><author> by "), "source", F.lit(" </author></titleStmt><extent>"), F.size(F.split(clean, "\n")),
+        F.lit("</title><author> by "), "source", F.lit(" </author></titleStmt><extent>"), F.size("_lines"),
         F.lit(" lines</extent></teiHeader><text><body>"),
     )
     return d.select(number.alias("doc_path"), F.concat(head, body, F.lit("</body></text></TEI>")).alias("content"))
