@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.compat import as_col, quote_regex, strip, text_windows
+from ..functions.grams import count_trigrams
 from ..functions.predicates import fold_ascii, match_text
 from ..functions.text import escape_keep_mark, to_script
 from ..session import broadcast_if_small, fits_broadcast, materialize
@@ -74,17 +75,16 @@ def trigrams(col: Column | str) -> Column:
     return text_windows(col, 3, 3)
 
 
-def build_trigram_index(content: DataFrame, doc: str, text: str) -> tuple[DataFrame, DataFrame]:
+def build_trigram_index(content: DataFrame, doc: str, text: str, unique: bool = False) -> tuple[DataFrame, DataFrame]:
     """``postings(term, doc, tf)`` and ``doc_stats(doc, n_tokens)``.
 
-    Counting happens per (term, doc), so a frequent term is spread over all tasks by its documents.
+    The rows of a document meet in one task, which counts its trigrams, so texts are shuffled and trigrams are not; with
+    ``unique`` (a document is known to have one row) nothing is shuffled.
     """
     base = content.select(doc, F.lower(text).alias("_t"))
-    postings = base.select(doc, F.explode(trigrams("_t")).alias("term")).groupBy("term", doc).agg(
-        F.count(F.lit(1)).alias("tf")
-    )
+    together = base if unique else base.repartition(doc).sortWithinPartitions(doc)
     stats = base.select(doc, F.greatest(F.length("_t") - 2, F.lit(0)).cast("bigint").alias("n_tokens"))
-    return postings, stats
+    return count_trigrams(together, doc, "_t"), stats
 
 
 def write_index(postings: DataFrame, path: str, doc: str, buckets: int = 64) -> None:

@@ -114,3 +114,17 @@ def test_marks_fold_the_case_of_every_letter(spark):
     docs = spark.createDataFrame([(1, "x ÉENAÏ y"), (2, "x éenaï y")], "doc_id int, text string")
     found = S.search_fulltext(docs, queries(spark, "éenaï"))
     assert sorted(r.snippet for r in found.collect()) == ["x <mark>ÉENAÏ</mark> y", "x <mark>éenaï</mark> y"]
+
+
+def test_rows_of_a_document_meet_and_its_trigrams_are_not_shuffled(spark):
+    texts = [(1, "Abab𝄞𝄞𝄞"), (None, "aaaa"), (2, None), (1, "abab"), (3, "ab"), (None, "\0aaa\0"), (4, "x" * 9)]
+    want = {}
+    for d, t in texts:
+        for i in range(len(t or "") - 2):
+            key = (t[i : i + 3].lower(), d)
+            want[key] = want.get(key, 0) + 1
+    docs = spark.createDataFrame(texts, "doc_id int, text string").repartition(3)
+    postings, _ = S.build_trigram_index(docs, "doc_id", "text")
+    assert rows(postings, "term", "doc_id", "tf") == sorted(((*k, n) for k, n in want.items()), key=repr)
+    plan = postings._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan  # no row a place, and none is grouped by its trigram
