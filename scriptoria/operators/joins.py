@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.compat import as_col, text_windows
-from ..session import broadcast_if_small
+from ..functions.grams import find_needles
+from ..session import fits_broadcast
 from .firstwins import top_k
 
 
@@ -40,12 +41,16 @@ def contained_pairs(
 def occurrences(texts: DataFrame, names: DataFrame, text_id, text: str, name: str, prefix: int = 3) -> DataFrame:
     """Occurrences of names (at least ``prefix`` characters) in long texts: one row per hit.
 
-    Each text is cut in place into overlapping windows as long as the longest name; a window joins the
-    names that start with its first characters. The name side is small and measured, so the windows
-    never cross the network; a larger name table falls back to a shuffled join that AQE can split.
+    The name side is measured. A small one goes to the tasks (through the driver), which look up the places of their texts
+    in it, so only hits leave a task. For a larger one each text is cut in place into overlapping windows as long as the
+    longest name, and a window meets the names that start with its first characters in a shuffled join that AQE can split.
     """
     ids = [text_id] if isinstance(text_id, str) else list(text_id)
-    n = names.filter(F.length(name) >= prefix).withColumn("_key", F.left(F.col(name), F.lit(prefix)))
+    n = names.filter(F.length(name) >= prefix)
+    if fits_broadcast(n):
+        needles = [r[0] for r in n.select(F.col(name).cast("string")).distinct().collect()]
+        return find_needles(texts, ids, text, needles, name, prefix).join(F.broadcast(n), name).select(*ids, "pos", *n.columns)
+    n = n.withColumn("_key", F.left(F.col(name), F.lit(prefix)))
     longest = n.agg(F.coalesce(F.max(F.length(name)), F.lit(0)))  # scalar subquery
     windows = (
         texts.select(*ids, F.col(text).alias("_t"))
@@ -57,7 +62,7 @@ def occurrences(texts: DataFrame, names: DataFrame, text_id, text: str, name: st
     )
     return (
         windows.withColumn("_key", F.left("_win", F.lit(prefix)))
-        .join(broadcast_if_small(n), "_key")
+        .join(n, "_key")
         .filter(F.startswith("_win", F.col(name)))
         .drop("_key", "_win")
         .withColumnRenamed("_pos", "pos")
@@ -76,17 +81,15 @@ def contains_join(texts: DataFrame, names: DataFrame, text_id, text: str, name:
     overlaps = F.exists(
         F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.left(c, i) == F.right(c, i)
     )
-    plain = hits.filter(~overlaps).groupBy(*ids, name).agg(F.count(F.lit(1)).alias("n"))
     folded = F.aggregate(
-        F.array_sort(F.collect_list("pos")),
+        F.array_sort(F.collect_list(F.when(overlaps, F.col("pos")))),
         F.struct(F.lit(-1).alias("end"), F.lit(0).cast("bigint").alias("n")),
         lambda acc, p: F.when(
             p >= acc["end"], F.struct((p + F.length(c)).alias("end"), (acc["n"] + 1).alias("n"))
         ).otherwise(acc),
         lambda acc: acc["n"],
     )
-    knotty = hits.filter(overlaps).groupBy(*ids, name).agg(folded.alias("n"))
-    return plain.unionByName(knotty)
+    return hits.groupBy(*ids, name).agg(F.when(overlaps, folded).otherwise(F.count(F.lit(1))).alias("n"))
 
 
 def assign_interval(

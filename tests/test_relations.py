@@ -107,6 +107,21 @@ def test_contains_join_counts_like_python(spark):
     assert rows(J.contains_join(t, n, "i", "t", "name"), "i", "name", "n") == sorted(want, key=repr)
 
 
+def test_names_are_looked_up_where_a_text_is(spark, monkeypatch):
+    texts = [(1, "x", "annanna 𝄞bel𝄞bel"), (2, "y", None), (3, "z", "bel"), (3, "z", "bella belly"), (None, "z", "bella")]
+    names = ["anna", "nna", "bel", "bella", "𝄞bel", "be", "", None, "bella"]
+    t = spark.createDataFrame(texts, "i int, k string, t string")
+    n = spark.createDataFrame([(x, j) for j, x in enumerate(names)], "name string, j int")
+    found = J.occurrences(t, n, ["i", "k"], "t", "name")
+    want = [(i, k, p, x, j) for i, k, s in texts if s for j, x in enumerate(names) if x and len(x) > 2 for p in range(len(s)) if s.startswith(x, p)]
+    assert rows(found) == sorted(want, key=repr)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()  # no row a place
+    counts = rows(J.contains_join(t, n, ["i", "k"], "t", "name"))
+    assert rows(J.occurrences(t, n.limit(0), ["i", "k"], "t", "name")) == []
+    monkeypatch.setattr(J, "fits_broadcast", lambda df: False)
+    assert rows(J.occurrences(t, n, ["i", "k"], "t", "name")) == rows(found) and rows(J.contains_join(t, n, ["i", "k"], "t", "name")) == counts
+
+
 def test_bounded_groups_splits_large_groups(spark):
     df = spark.range(100).select(F.lit("k").alias("k"), F.col("id").alias("m"))
     got = W.bounded_groups(df, ["k"], F.struct("m"), "m", "items", 30).collect()
