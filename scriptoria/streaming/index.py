@@ -12,22 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.search import build_trigram_index
+from ..session import fits_broadcast
 
 
 def latest_changes(changes: DataFrame, doc: str, order: str) -> DataFrame:
-    """Last change of each document in a batch (partial aggregation before the shuffle)."""
-    cols = [c for c in changes.columns if c != doc]
-    last = changes.groupBy(doc).agg(F.max_by(F.struct(*cols), order).alias("_c"))
+    """Last change of each document in a batch (partial aggregation before the shuffle); equal numbers go by the other columns."""
+    cols = [c for c in changes.columns if c not in (doc, order)]
+    last = changes.groupBy(doc).agg(F.max(F.struct(order, *cols)).alias("_c"))
     return last.select(doc, "_c.*")
 
 
 def apply_batch(batch: DataFrame, batch_id: int, path: str, doc: str = "doc_id", text: str = "text", order: str = "change_no") -> None:
     """Write one batch of changes with columns (doc, text, op, change_no); ``op`` is upsert or delete."""
-    last = latest_changes(batch, doc, order)
-    last.select(doc, (F.col("op") == "delete").alias("deleted")).write.mode("overwrite").parquet(
+    batch = batch.select(doc, order, "op", text)
+    latest_changes(batch.drop(text), doc, order).select(doc, (F.col("op") == "delete").alias("deleted")).write.mode("overwrite").parquet(
         f"{path}/versions/batch_id={batch_id}"
     )
-    postings, _ = build_trigram_index(last.filter(F.col("op") != "delete"), doc, text)
+    last = latest_changes(batch, doc, order)
+    postings, _ = build_trigram_index(last.filter(F.col("op") != "delete"), doc, text, unique=True)
     postings.write.mode("overwrite").parquet(f"{path}/postings/batch_id={batch_id}")
 
 
@@ -72,7 +74,9 @@ def _live(spark: SparkSession, path: str, doc: str, last: int | None = None) ->
         versions = versions.filter(F.col("batch_id") <= last)
     current = versions.groupBy(doc).agg(F.max("batch_id").alias("batch_id"), F.max_by("deleted", "batch_id").alias("deleted"))
     live = current.filter(~F.col("deleted"))
-    return postings.join(live.select(doc, "batch_id"), [doc, "batch_id"], "left_semi"), live
+    kept = live.select(doc, "batch_id")  # at most one row a document, so the postings, many more, need not be sorted
+    kept = F.broadcast(kept) if fits_broadcast(kept) else kept.hint("shuffle_hash")
+    return postings.join(kept, [doc, "batch_id"], "left_semi"), live
 
 
 def read_index(spark: SparkSession, path: str, doc: str = "doc_id") -> DataFrame:

@@ -31,6 +31,14 @@ def test_index_follows_changes(spark, tmp_path):
     assert rows(read_index(spark, str(tmp_path / "new")), "term", "doc_id") == rows(want, "term", "doc_id")
 
 
+def test_changes_of_one_number_leave_versions_and_postings_alike(spark, tmp_path):
+    changes = [(i, t, op, 1) for i in range(40) for t, op in ((None, "delete"), (f"text {i}", "upsert"), ("a", "delete"))]
+    for k in range(2):
+        index = str(tmp_path / f"index{k}")
+        apply_batch(spark.createDataFrame(changes[::-1] if k else changes, DDL).repartition(5), 0, index)
+        assert {r.doc_id for r in read_index(spark, index).collect()} == set(range(40))
+
+
 def test_first_seen(spark, tmp_path):
     src = str(tmp_path / "src")
     spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "k string, n int").write.json(src)
