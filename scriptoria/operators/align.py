@@ -46,14 +46,14 @@ def rising_pairs(pairs: pd.Series) -> pd.Series:
     return pd.Series([[p[i] for i in rising([x["pr"] for x in p])] for p in pairs])
 
 
-def _units(pairs: DataFrame, pattern: str, norm) -> DataFrame:
+def _units(pairs: DataFrame) -> DataFrame:
+    """(pid, side, pos, n, h) of the segments that are not empty; their texts stay with the pairs."""
+
     def side(name: str, number: int) -> DataFrame:
-        cut = pairs.select("pid", F.posexplode(F.split(F.coalesce(F.col(name), F.lit("")), pattern)).alias("pos", "_raw"))
-        return cut.select("pid", F.lit(number).alias("side"), F.col("pos").cast("long"), norm("_raw").alias("seg")).filter(F.col("seg") != "")
+        cut = pairs.select("pid", F.posexplode(name).alias("pos", "_seg")).filter(F.col("_seg") != "")
+        return cut.select("pid", F.lit(number).alias("side"), F.col("pos").cast("long"), F.length("_seg").alias("n"), F.xxhash64("_seg", F.length("_seg")).alias("h"))
 
-    before = Window.partitionBy("pid", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = side("_l", 0).unionByName(side("_r", 1)).withColumn("n", F.length("seg"))
-    return rows.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("h", F.xxhash64("seg", "n"))
+    return side("_l", 0).unionByName(side("_r", 1))
 
 
 def _same_run(left: Column, right: Column) -> Column:
@@ -63,9 +63,12 @@ def _same_run(left: Column, right: Column) -> Column:
 
 
 def _new_matches(work: DataFrame) -> DataFrame:
-    """(pid, pl, pr) found in this round; ``work`` has (pid, side, pos, h, matched)."""
+    """(pid, pl, pr) found in this round; ``work`` has (pid, side, pos, h, matched).
+
+    The pairs are dealt once, which serves the window and all groupings here.
+    """
     order = Window.partitionBy("pid", "side").orderBy("pos")
-    free = work.withColumn("gap", F.sum(F.col("matched").cast("long")).over(order)).filter(~F.col("matched"))
+    free = work.repartition("pid").withColumn("gap", F.sum(F.col("matched").cast("long")).over(order)).filter(~F.col("matched"))
     left = F.col("side") == 0
     single = free.groupBy("pid", "gap", "h").agg(
         F.count_if(left).alias("nl"), F.count_if(~left).alias("nr"), F.min(F.when(left, F.col("pos"))).alias("pl"), F.min(F.when(~left, F.col("pos"))).alias("pr"),
@@ -97,21 +100,21 @@ def align_texts(left: DataFrame, right: DataFrame, keys, left_text: str, right_t
     """
     keys = list(keys)
     norm = normalize_for_compare if normalize else drop_ws
-    pairs = left.select(*keys, F.col(left_text).alias("_l")).join(right.select(*keys, F.col(right_text).alias("_r")), keys)
+    cut = lambda c: F.transform(F.split(F.coalesce(F.col(c), F.lit("")), pattern), norm)
+    pairs = left.select(*keys, cut(left_text).alias("_l")).join(right.select(*keys, cut(right_text).alias("_r")), keys)
     pairs = materialize(pairs.withColumn("pid", F.monotonically_increasing_id()), "pairs")
-    units = materialize(_units(pairs, pattern, norm), "units")
-    work = units.select("pid", "side", "pos", "h", F.lit(False).alias("matched"))
+    work = materialize(_units(pairs).withColumn("matched", F.lit(False)), "units")
     while True:
         found = materialize(_new_matches(work), "matches")
         if not found.limit(1).count():
             break
         hits = found.select("pid", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("pl").alias("pos")), F.struct(F.lit(1).alias("side"), F.col("pr").alias("pos")))).alias("u"))
         hits = hits.select("pid", "u.*", F.lit(True).alias("hit"))
-        work = materialize(work.join(hits, ["pid", "side", "pos"], "left").select("pid", "side", "pos", "h", (F.col("matched") | F.coalesce("hit", F.lit(False))).alias("matched")), "aligned")
+        work = materialize(work.join(hits, ["pid", "side", "pos"], "left").select("pid", "side", "pos", "n", "h", (F.col("matched") | F.coalesce("hit", F.lit(False))).alias("matched")), "aligned")
 
     order = Window.partitionBy("pid", "side").orderBy("pos")
-    placed = units.join(work.select("pid", "side", "pos", "matched"), ["pid", "side", "pos"])
-    placed = materialize(placed.withColumn("gap", F.sum(F.col("matched").cast("long")).over(order)).withColumn("end", F.col("start") + F.col("n")), "gaps")
+    placed = work.repartition("pid").withColumn("gap", F.sum(F.col("matched").cast("long")).over(order)).withColumn("end", F.sum("n").over(order))
+    placed = placed.withColumn("start", F.col("end") - F.col("n"))
     is_left, free = F.col("side") == 0, ~F.col("matched")
     blocks = placed.groupBy("pid", "gap").agg(
         *[F.coalesce(F.max(F.when(own & F.col("matched"), F.col("end"))), F.lit(0)).alias(f"{s}_from") for s, own in (("l", is_left), ("r", ~is_left))],
@@ -119,20 +122,21 @@ def align_texts(left: DataFrame, right: DataFrame, keys, left_text: str, right_t
     ).filter("l_to is not null or r_to is not null")
     blocks = blocks.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("l_from", "r_from", F.coalesce("l_to", "l_from").alias("l_to"), F.coalesce("r_to", "r_from").alias("r_to")))).alias("blocks"))
 
-    texts = placed.groupBy("pid").agg(
-        *[F.array_join(F.array_sort(F.collect_list(F.when(own, F.struct("pos", "seg"))))["seg"], "").alias(f"{s}_text") for s, own in (("l", is_left), ("r", ~is_left))],
-        F.coalesce(F.sum(F.when(is_left & F.col("matched"), F.col("n"))), F.lit(0)).alias("equal"),
-    )
+    equal = placed.filter(is_left & F.col("matched")).groupBy("pid").agg(F.sum("n").alias("equal"))
 
     nth = Window.partitionBy("pid", "side", "h").orderBy("pos")
     left_over = placed.filter(free).withColumn("nth", F.row_number().over(nth))
     moved = left_over.groupBy("pid", "h", "nth").agg(
-        F.max(F.when(is_left, F.col("start"))).alias("left_at"), F.max(F.when(~is_left, F.col("start"))).alias("right_at"), F.max("seg").alias("text")
+        F.max(F.when(is_left, F.col("start"))).alias("left_at"), F.max(F.when(~is_left, F.col("start"))).alias("right_at"), F.max("n").alias("n")
     ).filter("left_at is not null and right_at is not null")
-    moved = moved.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("left_at", "right_at", "text"))).alias("moves"))
-
-    whole = texts.join(blocks, "pid", "left").join(moved, "pid", "left")
-    out = pairs.select(*keys, "pid").join(_with_diffs(whole, context), "pid", "left")
+    moved = moved.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("left_at", "right_at", "n"))).alias("moves"))
+
+    light = blocks.join(moved, "pid", "full_outer").join(equal, "pid", "full_outer")
+    whole = pairs.select(*keys, "pid", *[F.array_join(f"_{s}", "").alias(f"{s}_text") for s in "lr"]).join(light, "pid", "left")
+    moves = F.transform("moves", lambda m: F.struct(m["left_at"].alias("left_at"), m["right_at"].alias("right_at"), F.substring("l_text", m["left_at"].cast("int") + 1, m["n"]).alias("text")))
+    whole = whole.withColumn("moves", moves).withColumn("equal", F.coalesce("equal", F.lit(0).cast("long")))
+    out = _with_diffs(whole, context, keys)
+    out = out.withColumns({c: F.coalesce(F.col(c), F.array().cast(out.schema[c].dataType)) for c in ("diffs", "moves")})
     total = F.col("left_len") + F.col("right_len")
     none = {c: F.lit(0).cast("long") for c in ("left_len", "right_len", "equal")}
     out = out.select(*keys, *[F.coalesce(c, z).alias(c) for c, z in none.items()], *[F.coalesce(F.col(c), F.array().cast(out.schema[c].dataType)).alias(c) for c in ("diffs", "moves")])
@@ -143,7 +147,7 @@ def align_texts(left: DataFrame, right: DataFrame, keys, left_text: str, right_t
     return out.select(*keys, "ratio", "left_len", "right_len", band.alias("band"), "diffs", "moves")
 
 
-def _with_diffs(whole: DataFrame, context: int) -> DataFrame:
+def _with_diffs(whole: DataFrame, context: int, keys: list[str]) -> DataFrame:
     """Differences of each pair, cut down to differing characters, with context."""
     l_text, r_text = F.col("l_text"), F.col("r_text")
 
@@ -176,4 +180,4 @@ def _with_diffs(whole: DataFrame, context: int) -> DataFrame:
         op(x).alias("op"), x["left_at"].alias("left_at"), x["right_at"].alias("right_at"), x["left_chars"].alias("left_chars"), x["right_chars"].alias("right_chars"),
         around(l_text, x["left_at"], x["left_chars"]).alias("left_context"), around(r_text, x["right_at"], x["right_chars"]).alias("right_context"),
     ))
-    return whole.select("pid", diffs.alias("diffs"), "moves", F.length("l_text").cast("long").alias("left_len"), F.length("r_text").cast("long").alias("right_len"), (F.col("equal") + F.col("same")).cast("long").alias("equal"))
+    return whole.select(*keys, diffs.alias("diffs"), "moves", F.length("l_text").cast("long").alias("left_len"), F.length("r_text").cast("long").alias("right_len"), (F.col("equal") + F.col("same")).cast("long").alias("equal"))

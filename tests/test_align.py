@@ -89,3 +89,18 @@ def test_chain():
         chain = A.rising(x)
         best = max((bin(m).count("1") for m in range(1 << len(x)) if (s := [v for i, v in enumerate(x) if m >> i & 1]) == sorted(s)), default=0)
         assert len(chain) == best and [x[i] for i in chain] == sorted(x[i] for i in chain)
+
+
+def test_texts_stay_out_of_the_rounds(spark, monkeypatch):
+    """What is written for the rounds does not grow with the length of the segments."""
+    written = {}
+    keep = A.materialize
+    monkeypatch.setattr(A, "materialize", lambda df, label="cut": written.setdefault(label, []).append(df.schema) or keep(df, label))
+    long = ["x" * 500 + str(i) for i in range(30)]
+    l = spark.createDataFrame([(1, "。".join(long)), (2, ""), (3, None)], "k int, t string")
+    r = spark.createDataFrame([(1, "。".join(long[1:15] + ["new"] + long[16:] + long[:1])), (2, "a"), (3, "")], "k int, t string")
+    got = {g.k: g for g in A.align_texts(l, r, ["k"], "t", "t", normalize=False).collect()}
+    assert [(d.op, len(d.left_chars), len(d.right_chars)) for d in got[1].diffs] == [("delete", 501, 0), ("replace", 502, 3), ("insert", 0, 501)]
+    assert [(m.left_at, m.text) for m in got[1].moves] == [(0, long[0])]
+    assert (got[2].ratio, got[2].left_len, got[2].right_len, len(got[2].diffs)) == (0.0, 0, 1, 1) and got[3].ratio == 1.0 and got[3].diffs == [] == got[3].moves
+    assert all(f.dataType.typeName() != "string" for label, schemas in written.items() if label != "pairs" for s in schemas for f in s)
