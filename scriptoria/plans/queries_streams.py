@@ -128,22 +128,23 @@ def stream_notes_per_day(t: Tables) -> DataFrame:
     files = notes.groupBy("turn", "day", "part").agg(F.array_join(F.collect_list("entry"), "\n").alias("value"))
     path, out = scratch_path(t.spark, "log"), scratch_path(t.spark, "per-day")
 
-    def arrive(some: DataFrame, name: str) -> None:
-        some.select(F.concat(F.lit(name), F.col("part").cast("string")).alias("part"), "day", "value").write.mode("append").partitionBy("day", "part").text(path)
+    def arrive(some: DataFrame) -> None:
+        """New files below the folder of their day, with up to a hundred of the logs each."""
+        some.select("day", "value").write.mode("append").option("maxRecordsPerFile", 100).partitionBy("day").text(path)
 
     def run() -> None:
         rows = note_log(read_note_stream(t.spark, path, "*.txt")).select("sutra_id", "day", "juan")
         counts = notes_per_day(rows, identity=["sutra_id", "day", "juan"])
         counts.writeStream.outputMode("append").option("checkpointLocation", f"{out}-state").trigger(availableNow=True).format("parquet").start(out).awaitTermination()
 
-    arrive(files.filter("turn <= 5"), "a")
+    arrive(files.filter("turn <= 5"))
     run()
-    arrive(files.filter("turn > 5"), "a")
-    arrive(files.filter("turn = 0"), "late")
-    arrive(files.filter("turn = 5"), "again")
+    arrive(files.filter("turn > 5"))
+    arrive(files.filter("turn = 0"))
+    arrive(files.filter("turn = 5"))
     run()
     end = files.limit(1).withColumn("day", F.lit("2025-01-01"))
-    arrive(end, "end")
+    arrive(end)
     run()
     got = t.spark.read.schema("day timestamp, sutra_id string, n long").parquet(out)
     return got.select("sutra_id", F.to_date("day").cast("string").alias("day"), "n")

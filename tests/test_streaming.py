@@ -85,3 +85,13 @@ def test_table_streams_of_one_file_and_of_a_folder(spark, sf, tmp_path):
     one = rows(QUERIES["stream_note_log"](spark, sf), "sutra_id", "day", "juan", "n", "longest")
     spark.read.parquet(f"{sf}/conversations.parquet").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
     assert one and rows(QUERIES["stream_note_log"](spark, str(tmp_path)), "sutra_id", "day", "juan", "n", "longest") == one
+
+
+def test_logs_of_a_day_share_a_folder(spark, sf, monkeypatch, tmp_path):
+    from scriptoria.plans import queries_streams as Q
+
+    monkeypatch.setattr(Q, "scratch_path", lambda spark, label: str(tmp_path / label))
+    got = QUERIES["stream_notes_per_day"](spark, sf)
+    assert got.count() == spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn").distinct().count()
+    folders = {f.parent.relative_to(tmp_path / "log").as_posix() for f in (tmp_path / "log").rglob("*.txt")}
+    assert folders and all(f.startswith("day=") and "/" not in f for f in folders)
