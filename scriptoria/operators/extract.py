@@ -168,12 +168,16 @@ def extract_text(pos: DataFrame) -> DataFrame:
     return body_text(pos).groupBy("doc_path", "juan").agg(ordered_text().alias("plain_text"))
 
 
-def split_volumes(pos: DataFrame) -> DataFrame:
-    """As :func:`extract_text`, but every marked volume has a row even when it holds no text."""
+def volume_pieces(pos: DataFrame) -> DataFrame:
+    """Running-text events of the body, and an empty one for each marked volume."""
     marked = starts(pos, "milestone").filter((F.col("region") == "body") & (attr("unit") == "juan"))
     empty = marked.select("doc_path", "juan", F.lit(0).cast("bigint").alias("seq"), F.lit("").alias("text"))
-    pieces = body_text(pos).select("doc_path", "juan", "seq", "text").unionByName(empty)
-    return pieces.groupBy("doc_path", "juan").agg(ordered_text().alias("plain_text"))
+    return body_text(pos).select("doc_path", "juan", "seq", "text").unionByName(empty)
+
+
+def split_volumes(pos: DataFrame) -> DataFrame:
+    """As :func:`extract_text`, but every marked volume has a row even when it holds no text."""
+    return volume_pieces(pos).groupBy("doc_path", "juan").agg(ordered_text().alias("plain_text"))
 
 
 def extract_notes(pos: DataFrame) -> DataFrame:

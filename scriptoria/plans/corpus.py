@@ -9,15 +9,15 @@ from ..functions.text import to_script
 from ..operators import extract as X
 from ..operators.firstwins import keep_first, keep_last
 from ..session import materialize
-from ..sources.markup import fill_glyphs, flatten_markup, parse_errors
+from ..sources.markup import fill_glyphs, flat_events, ordered_text, parse_errors, unfolded
 
 
 def parse_corpus(files: DataFrame, glyphs: DataFrame | None = None) -> DataFrame:
-    """Event table of the files with glyphs filled in and positions added, written once for all extractors.
+    """Event table of the files with glyphs filled in and positions added, written once by kind for all extractors.
 
     ``files`` has doc_path and content. A file is parsed by one task, which also tells the positions, so nothing is shuffled.
     """
-    return materialize(fill_glyphs(flatten_markup(files, initial=1), glyphs), "elements")
+    return unfolded(materialize(fill_glyphs(flat_events(files, initial=1), glyphs), "elements", by="kind"))
 
 
 def build_tables(
@@ -27,20 +27,23 @@ def build_tables(
 
     The first file of a work names it in the catalogue; the last file of a (work, volume) gives its
     content. With ``file_juan`` (doc_path, juan) each file is one volume, as in one-file-per-volume
-    corpora.
+    corpora. ``sizes`` has the characters of each row of ``content``, told without forming its text.
     """
     meta = X.extract_metadata(pos)
     catalog = keep_first(meta, ["sutra_id"], ["doc_path"]).withColumn("title_sc", to_script("title", list(to_sc)))
     if categories is not None:
         catalog = catalog.join(categories.select("canon", F.col("title_zh").alias("category")), "canon", "left")
-    ids = meta.select("doc_path", "sutra_id", "canon")
+    ids = X.doc_works(pos).select("doc_path", "sutra_id", "canon")
 
     if file_juan is not None:
         pos = pos.drop("juan").join(file_juan.select("doc_path", "juan"), "doc_path")
-        text = X.extract_text(pos)
+        pieces = X.body_text(pos)
     else:
-        text = X.split_volumes(pos)
+        pieces = X.volume_pieces(pos)
+    text = pieces.groupBy("doc_path", "juan").agg(ordered_text().alias("plain_text"))
     content = keep_last(text.join(ids, "doc_path"), ["sutra_id", "juan"], ["doc_path"])
+    sizes = pieces.groupBy("doc_path", "juan").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("n_chars"))
+    sizes = keep_last(sizes.join(ids, "doc_path"), ["sutra_id", "juan"], ["doc_path"])
     content = content.withColumn("plain_text_sc", to_script("plain_text", list(to_sc)))
 
     def keyed(df: DataFrame) -> DataFrame:
@@ -49,6 +52,7 @@ def build_tables(
     return {
         "catalog": catalog.drop("xml_id"),
         "content": content,
+        "sizes": sizes,
         "notes": keyed(X.extract_notes(pos)),
         "apparatus": keyed(X.extract_apparatus(pos)),
         "toc": keyed(X.extract_toc(pos)),

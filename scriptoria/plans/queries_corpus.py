@@ -302,9 +302,10 @@ def header_fields(t: Tables) -> DataFrame:
     f"WITH {_SQL_LINES} SELECT doc_id, i AS seq, i::VARCHAR AS n, CASE WHEN is_head THEN 'mulu' WHEN length(s) > 400 THEN 'note' ELSE 'p' END AS next_tag FROM marked",
 )
 def line_numbers(t: Tables) -> DataFrame:
-    body = starts(parsed(t)).filter(F.col("region") == "body")
-    sib = next_sibling(body, ["doc_path", "parent_id"], ["seq"], ["tag"]).filter("tag = 'lb'")
-    out = number_rows(sib.select("doc_path", F.col("seq").alias("at"), attr("n").alias("n"), "next_tag"), ["doc_path"], ["at"], "seq")
+    body = starts(parsed(t)).filter(F.col("region") == "body").select("doc_path", "parent_id", F.col("seq").alias("at"), "tag", attr("n").alias("n"))
+    body = body.repartition("doc_path")  # one shuffle of the columns that count for both windows; a key is one file
+    sib = next_sibling(body, ["doc_path", "parent_id"], ["at"], ["tag"]).filter("tag = 'lb'")
+    out = number_rows(sib, ["doc_path"], ["at"], "seq")
     return out.select(F.col("doc_path").cast("bigint").alias("doc_id"), "seq", "n", "next_tag")
 
 

@@ -58,12 +58,25 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/scriptoria-{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, label: str = "cut", by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    With ``by``, a column of few values and no nulls, each value has a folder, so a reader of one value reads only its rows.
+    A task keeps a file open per value and does not sort.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if by is None:
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "16")
+    try:
+        df.write.mode("overwrite").partitionBy(by).parquet(path)
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:

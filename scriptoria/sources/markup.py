@@ -2,7 +2,8 @@
 
 Mixed content needs document order, which the XML data source does not keep, so each file is
 tokenised once inside a task (standard-library parsers, Arrow batches out). Everything after this
-stage is DataFrame code.
+stage is DataFrame code. The task writes the ids and tags of the open elements as one text each, made once per
+element and not once per event; ``unfolded`` makes arrays of them where a query reads them.
 
 A text event belongs to the node ``x`` of its ``ancestors`` if no skipped element was opened between
 them: ``nearest_skip IS NULL OR nearest_skip <= x`` (ids are handed out in document order, so a
@@ -13,8 +14,12 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+from functools import reduce
 from html.parser import HTMLParser
+from itertools import chain
+from operator import or_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,9 +29,9 @@ from ..functions.text import resolve_glyph
 
 ELEMENTS_DDL = (
     "doc_path string, seq bigint, kind string, tag string, ns string, depth int, node_id bigint, "
-    "parent_id bigint, ancestors array<bigint>, ancestor_tags array<string>, nearest_skip bigint, "
+    "parent_id bigint, id_path string, tag_path string, nearest_skip bigint, "
     "region string, attrs map<string,string>, text string"
-)
+)  # of the table as it is written; ``unfolded`` adds the arrays
 POSITIONS_DDL = "line_id string, has_back boolean, juan int"
 
 # Elements whose content is no running text (notes, variants, anchors, rejected
@@ -54,8 +59,8 @@ _ARROW = pa.schema(
         ("depth", pa.int32()),
         ("node_id", pa.int64()),
         ("parent_id", pa.int64()),
-        ("ancestors", pa.list_(pa.int64())),
-        ("ancestor_tags", pa.list_(pa.string())),
+        ("id_path", pa.string()),  # ids of the ancestors with blanks between them
+        ("tag_path", pa.string()),  # their tags with slashes between them
         ("nearest_skip", pa.int64()),
         ("region", pa.string()),
         ("attrs", pa.map_(pa.string(), pa.string())),
@@ -63,62 +68,99 @@ _ARROW = pa.schema(
     ]
 )
 _PLACED = pa.schema([*_ARROW, ("line_id", pa.string()), ("has_back", pa.bool_()), ("juan", pa.int32())])
+WIDTH = len(_ARROW) + 1
 _INTEGER = re.compile("[+-]?[0-9]+")
 _BLANK = "".join(map(chr, range(0x21))) + "\x7f"  # what a cast to a number leaves out at both ends
 
 
 class _Events:
-    """Collects the events of one document; the same for both dialects."""
+    """Collects the events of one document; the same for both dialects.
+
+    ``cells`` has ``WIDTH`` entries an event, the columns of ``_ARROW`` (attributes as names and values in turn) and the
+    line mark. An open element is (id, tag, ids and tags down to it, skip, region).
+    """
 
     def __init__(self, path: str, skip: set[str], regions: dict[str, str]):
         self.path, self.skip, self.region_of = path, skip, regions
-        self.rows: list[tuple] = []
-        self.ids: list[int] = []
+        self.cells: list = []  # one list and no row objects, which the garbage collector would visit again and again
+        self.n = 0
         self.tags: list[str] = []
-        self.skips: list[int | None] = [None]
-        self.regions: list[str] = ["front"]
+        self.above: list[tuple] = []
+        self.here: tuple = (None, None, "", "", None, "front")
         self.pending: list[str] = []
         self.next_id = 0
+        self.line = ""
+        self.marks: list[tuple[int, int]] = []  # volume marks and their rows
+        self.has_back: bool | None = None
 
-    def _emit(self, kind, tag, ns, node, parent, skip, attrs, text):
-        self.rows.append(
-            (self.path, len(self.rows), kind, tag, ns, len(self.ids), node, parent,
-             list(self.ids), list(self.tags), skip, self.regions[-1], attrs, text)
-        )
-
-    def _text(self, tag, text, attrs=None):
-        node = self.ids[-1] if self.ids else None
-        self._emit("text", tag, None, node, node, self.skips[-1], attrs or [], text)
+    def _text(self, tag, text, attrs=()):
+        node, _, ids, tags, skip, region = self.here
+        if tag is not None and self.has_back is None:
+            self.has_back = False
+        self.cells += (self.path, self.n, "text", tag, None, len(self.tags), node, node, ids, tags, skip, region, attrs, text, self.line)
+        self.n += 1
 
     def flush(self):
         if self.pending:
-            self._text(self.tags[-1] if self.tags else None, "".join(self.pending))
-            self.pending = []
+            text = "".join(self.pending)
+            self.pending.clear()
+            self._text(self.here[1], text)
 
     def start(self, tag, ns, attrs):
-        self.flush()
+        if self.pending:
+            self.flush()
         if tag == "g":
-            self._text("g", None, [(k, v) for k, v in attrs if k == "ref"])
+            self._text("g", None, tuple(x for k, v in attrs if k == "ref" for x in (k, v)))
         elif tag == "space":
             q = dict(attrs).get("quantity", "1").strip()
             self._text("space", IDEOGRAPHIC_SPACE * (int(q) if q.lstrip("+-").isdigit() else 1))
         elif tag == "caesura":
             self._text("caesura", IDEOGRAPHIC_SPACE)
-        node, parent = self.next_id, self.ids[-1] if self.ids else None
-        self.next_id += 1
-        skip = node if tag in self.skip else self.skips[-1]
-        self.regions.append(self.region_of.get(tag, self.regions[-1]))
-        self._emit("start", tag, ns, node, parent, skip, attrs, None)
-        self.ids.append(node)
+        up = self.here
+        parent, _, ids, tags, skip, region = up
+        node = self.next_id
+        self.next_id = node + 1
+        if tag in self.skip:
+            skip = node
+        region = self.region_of.get(tag, region)
+        if tag == "back":
+            self.has_back = True
+        elif self.has_back is None:
+            self.has_back = False
+        if region == "body" and (tag == "lb" or tag == "milestone"):
+            self._mark(tag, attrs)
+        depth = len(self.tags)
+        flat = tuple(chain.from_iterable(attrs)) if attrs else ()
+        self.cells += (self.path, self.n, "start", tag, ns, depth, node, parent, ids, tags, skip, region, flat, None, self.line)
+        self.n += 1
+        self.above.append(up)
         self.tags.append(tag)
-        self.skips.append(skip)
+        self.here = (node, tag, f"{ids} {node}", f"{tags}/{tag}", skip, region) if depth else (node, tag, str(node), tag, skip, region)
+
+    def _mark(self, tag, attrs):
+        attrs = dict(reversed(attrs))  # of equal names the first counts
+        if tag == "lb":
+            self.line = attrs.get("n", "")
+        elif attrs.get("unit") == "juan" and (n := _int(attrs.get("n", "1"))) is not None:
+            self.marks.append((self.n, n))
 
     def end(self):
-        self.flush()
-        node, tag = self.ids.pop(), self.tags.pop()
-        skip = self.skips.pop()
-        self._emit("end", tag, None, node, self.ids[-1] if self.ids else None, skip, [], None)
-        self.regions.pop()
+        if self.pending:
+            self.flush()
+        node, tag, _, _, skip, region = self.here
+        self.tags.pop()
+        self.here = up = self.above.pop()
+        self.cells += (self.path, self.n, "end", tag, None, len(self.tags), node, up[0], up[2], up[3], skip, region, (), None, self.line)
+        self.n += 1
+
+    def volumes(self, initial: int) -> list[int]:
+        """Volume of each row (see ``extract.positioned``)."""
+        if len(self.marks) <= 1:
+            return [self.marks[0][1] if self.marks else initial] * self.n
+        out = [initial] * self.marks[0][0]
+        for (at, volume), (end, _) in zip(self.marks, [*self.marks[1:], (self.n, 0)]):
+            out += [volume] * (end - at)
+        return out
 
 
 def _split(name: str) -> tuple[str, str | None]:
@@ -129,21 +171,21 @@ class _TeiTarget:
     """Strict XML; attribute names keep their local part (``xml:id`` becomes ``id``)."""
 
     def __init__(self, events: _Events):
-        self.e = events
+        self.e, self.names = events, {}
+        self.data, self.close = events.pending.append, events.flush
 
-    def start(self, tag, attrs):
-        local, ns = _split(tag)
-        self.e.start(local, ns, [(_split(k)[0], v) for k, v in attrs.items()])
+    def _name(self, name):
+        self.names[name] = parts = _split(name)
+        return parts
 
-    def data(self, text):
-        self.e.pending.append(text)
+    def start(self, tag, attrs):
+        names = self.names
+        local, ns = names.get(tag) or self._name(tag)
+        self.e.start(local, ns, [((names.get(k) or self._name(k))[0], v) for k, v in attrs.items()] if attrs else ())
 
     def end(self, _tag):
         self.e.end()
 
-    def close(self):
-        self.e.flush()
-
 
 class _HtmlTarget(HTMLParser):
     """Tolerant HTML: unclosed elements end with their container."""
@@ -179,7 +221,7 @@ class _HtmlTarget(HTMLParser):
         self.e.pending.append(data)
 
 
-def _parse(path: str, content, dialect: str) -> list[tuple]:
+def _parse(path: str, content, dialect: str) -> _Events:
     events = _Events(path, *((TEI_SKIP, TEI_REGIONS) if dialect == "tei" else (HTML_SKIP, HTML_REGIONS)))
     try:
         if dialect == "tei":
@@ -191,11 +233,13 @@ def _parse(path: str, content, dialect: str) -> list[tuple]:
             html.feed(content if isinstance(content, str) else bytes(content).decode("utf-8", "replace"))
             html.close()
             events.flush()
-            while events.ids:
+            while events.tags:
                 events.end()
     except Exception as exc:  # a broken file is reported, never fails the job
-        return [(path, 0, "error", None, None, 0, None, None, [], [], None, "front", [], f"{type(exc).__name__}: {exc}")]
-    return events.rows
+        events = _Events(path, set(), {})
+        events.cells += (path, 0, "error", None, None, 0, None, None, "", "", None, "front", (), f"{type(exc).__name__}: {exc}", "")
+        events.n = 1
+    return events
 
 
 def _int(text: str) -> int | None:
@@ -205,58 +249,68 @@ def _int(text: str) -> int | None:
     return value if value is not None and -(1 << 31) <= value < 1 << 31 else None
 
 
-def _placed(rows: list[tuple], initial: int) -> list[tuple]:
-    """The events of one document with line mark, back matter and volume (see ``extract.positioned``)."""
-    line, volume, marks, has_back = "", initial, [], None
-    places = []
-    for row in rows:
-        kind, tag = row[2], row[3]
-        if tag is not None:
-            has_back = has_back or tag == "back"
-        if kind == "start" and row[11] == "body" and tag in ("lb", "milestone"):
-            attrs = dict(reversed(row[12]))  # of equal names the first counts
-            if tag == "lb":
-                line = attrs.get("n", "")
-            elif attrs.get("unit") == "juan" and (n := _int(attrs.get("n", "1"))) is not None:
-                marks.append(n)
-                volume = n
-        places.append((line, volume))
-    if len(marks) <= 1:
-        only = marks[0] if marks else initial
-        return [(*row, line, has_back, only) for row, (line, _) in zip(rows, places)]
-    return [(*row, line, has_back, volume) for row, (line, volume) in zip(rows, places)]
-
-
-def flatten_markup(
+def _batch(columns: list, schema: pa.Schema) -> pa.RecordBatch:
+    def array(values, field):
+        if not pa.types.is_map(field.type):
+            return pa.array(values, type=field.type)
+        flat = list(chain.from_iterable(values))
+        ends = np.cumsum([0, *map(len, values)]) // 2
+        return pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[::2], pa.string()), pa.array(flat[1::2], pa.string()))
+
+    return pa.RecordBatch.from_arrays([array(c, f) for c, f in zip(columns, schema)], schema=schema)
+
+
+def flat_events(
     df: DataFrame, content_col: str = "content", dialect: str = "tei", path_col: str = "doc_path", flush_rows: int = 20_000,
     initial: int | None = None,
 ) -> DataFrame:
-    """Event table of every document; ``dialect`` is ``tei`` (strict) or ``html`` (tolerant).
-
-    With ``initial`` it has the columns of ``extract.positioned``, which the task that parses a document knows already.
-    """
+    """As :func:`flatten_markup`, with the ids and tags of the ancestors as texts; this form is the one to write."""
     schema = _ARROW if initial is None else _PLACED
 
-    def to_batch(rows):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(col, type=field.type) for col, field in zip(zip(*rows), schema)], schema=schema
-        )
-
     def run(batches):
-        rows: list[tuple] = []
+        cells: list = []
+        backs: list[bool | None] = []
+        volumes: list[int] = []
+
+        def cut(lo, hi):
+            part = cells[lo * WIDTH : hi * WIDTH]
+            return _batch([*(part[k::WIDTH] for k in range(WIDTH)), backs[lo:hi], volumes[lo:hi]], schema)
+
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 events = _parse(path, content if content is not None else "", dialect)
-                rows.extend(events if initial is None else _placed(events, initial))
-                for at in range(0, len(rows) - flush_rows + 1, flush_rows):
-                    yield to_batch(rows[at : at + flush_rows])
-                rows = rows[len(rows) // flush_rows * flush_rows :]
-        if rows:
-            yield to_batch(rows)
+                cells += events.cells
+                backs += [events.has_back] * events.n
+                volumes += events.volumes(initial or 0)
+                whole = len(backs) // flush_rows * flush_rows
+                for at in range(0, whole, flush_rows):
+                    yield cut(at, at + flush_rows)
+                if whole:
+                    cells, backs, volumes = cells[whole * WIDTH :], backs[whole:], volumes[whole:]
+        if backs:
+            yield cut(0, len(backs))
 
     return df.select(F.col(path_col).cast("string"), F.col(content_col)).mapInArrow(run, ELEMENTS_DDL if initial is None else f"{ELEMENTS_DDL}, {POSITIONS_DDL}")
 
 
+def unfolded(events: DataFrame) -> DataFrame:
+    """With ids and tags of the ancestors as arrays (``ancestors``, ``ancestor_tags``) too."""
+
+    def items(name: str, between: str) -> Column:
+        return F.when(F.col(name) == "", F.array().cast("array<string>")).otherwise(F.split(name, between))
+
+    return events.withColumns({"ancestors": items("id_path", " ").cast("array<bigint>"), "ancestor_tags": items("tag_path", "/")})
+
+
+def flatten_markup(df: DataFrame, *args, **options) -> DataFrame:
+    """Event table of every document; ``dialect`` is ``tei`` (strict) or ``html`` (tolerant).
+
+    With ``initial`` it has the columns of ``extract.positioned``, which the task that parses a document knows already.
+    Arguments are those of :func:`flat_events`.
+    """
+    return unfolded(flat_events(df, *args, **options))
+
+
 def parse_errors(elements: DataFrame) -> DataFrame:
     return elements.filter(F.col("kind") == "error").select("doc_path", F.col("text").alias("error"))
 
@@ -305,9 +359,10 @@ def node_texts(elements: DataFrame, *tags: str, keep=()) -> DataFrame:
     keep = ["tag", "attrs", "parent_id", "region", "seq", "ancestors", "ancestor_tags", *keep]
     is_start = (F.col("kind") == "start") & F.col("tag").isin(*tags)
     # Cheap test first: only text below one of the tags goes through the ancestor search.
-    is_text = (F.col("kind") == "text") & F.arrays_overlap("ancestor_tags", F.array(*[F.lit(t) for t in tags]))
+    path = F.concat(F.lit("/"), "tag_path", F.lit("/"))
+    is_text = (F.col("kind") == "text") & reduce(or_, [F.contains(path, F.lit(f"/{t}/")) for t in tags])
     own = F.when(is_start, F.array("node_id")).otherwise(own_nodes(tags))
-    rows = elements.filter(is_start | is_text).select(
+    rows = elements.filter(F.col("kind").isin("start", "text")).filter(is_start | is_text).select(
         "doc_path",
         F.explode(own).alias("node_id"),
         F.when(is_start, F.struct(*keep)).alias("_start"),

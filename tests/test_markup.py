@@ -190,3 +190,20 @@ def test_positions_of_the_parse_equal_the_windows(spark):
         want = X.positioned(flatten_markup(d), initial)
         assert rows(placed.select(cols)) == rows(want.select(cols)) and set(placed.columns) == set(want.columns)
     assert "Exchange" not in placed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_event_table_is_read_by_kind_and_sizes_need_no_texts(spark):
+    """A scan of one kind leaves the others' files alone; characters per volume come without a list of texts."""
+    pos = parse_corpus(docs(spark, ("f1", TEI.format(id="T08n0251")), ("f2", TEI.format(id="T09n0252")), ("f3", "<a><b>")), glyphs(spark))
+    assert {f.split("/")[-2] for f in pos.inputFiles()} == {"kind=start", "kind=text", "kind=end", "kind=error"}
+    t = build_tables(pos)
+    want = rows(t["content"].select("sutra_id", "juan", F.length("plain_text").cast("long").alias("n")), "sutra_id", "juan", "n")
+    assert rows(t["sizes"], "sutra_id", "juan", "n_chars") == want and len(want) == 4
+    assert "listagg" not in t["sizes"]._jdf.queryExecution().toString().lower()
+
+
+def test_line_numbers_shuffles_once(spark, sf):
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["line_numbers"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "attrs#" not in plan.split("Exchange hashpartitioning")[0]
