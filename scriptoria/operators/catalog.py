@@ -10,9 +10,12 @@ from ..functions.compat import null_if_empty
 UNCLASSIFIED = "(未分類)"
 
 
-def work_sizes(content: DataFrame, key: str = "sutra_id", volume: str = "juan", text: str = "plain_text") -> DataFrame:
-    """Distinct volumes and characters per work; rows are reduced to volumes before the work is formed."""
-    volumes = content.groupBy(key, volume).agg(F.sum(F.length(text)).alias("_c"))
+def work_sizes(content: DataFrame, key: str = "sutra_id", volume: str = "juan", text: str = "plain_text", chars: str = "n_chars") -> DataFrame:
+    """Distinct volumes and characters per work; rows are reduced to volumes before the work is formed.
+
+    A table with a column ``chars`` needs no texts.
+    """
+    volumes = content.groupBy(key, volume).agg(F.sum(chars if chars in content.columns else F.length(text)).alias("_c"))
     return volumes.groupBy(key).agg(F.count(volume).alias("juan_count"), F.sum("_c").alias("total_chars"))
 
 

@@ -12,7 +12,7 @@ from ..operators import census
 from ..operators import extract as X
 from ..operators import quality as Q
 from ..operators.firstwins import carry_forward, keep_first, keep_last, next_sibling, number_rows, runs
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sinks import render as R
 from ..sinks.tables import read_table, write_corpus
 from ..sources.markup import attr, starts
@@ -246,10 +246,12 @@ def catalog_full(t: Tables) -> DataFrame:
 
 def _catalog_full(t: Tables) -> DataFrame:
     tab = build_tables(parsed(t))
+    for name in ("catalog", "sizes"):  # read twice each
+        tab[name] = materialize(tab[name], name)
     bulei = t.labels.join(tab["catalog"].select("sutra_id", F.col("doc_path").cast("bigint").alias("doc_id")), "doc_id").select(
         "sutra_id", F.when(F.col("quality") == 1, "good").otherwise("poor").alias("bu_lei")
     )
-    return K.catalog_full(K.catalog_stats(tab["catalog"], tab["content"]), tab["toc"], tab["content"].select("sutra_id"), bulei)
+    return K.catalog_full(K.catalog_stats(tab["catalog"], tab["sizes"]), tab["toc"], tab["sizes"].select("sutra_id"), bulei)
 
 
 @query(
