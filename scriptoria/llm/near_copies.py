@@ -28,10 +28,11 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import broadcast_if_small, materialize
 from .common import U64, Texts, deal, gather, mix, numbered, record, scatter, starts, tasks
 from .components import components
 from .simhash import DIRECT, shingle_hashes
@@ -324,33 +325,59 @@ def _share(similarity: float, direct: int):
 
 
 def exact_candidates(members: DataFrame, levels: np.ndarray, size: int, similarity: float, direct: int = DIRECT) -> DataFrame:
-    """Every pair (a, b) of ``members`` (id, root, text) of different roots that may reach the similarity."""
+    """Every pair (a, b) of ``members`` (id, root, packed text) of different roots that may reach the similarity."""
     spark = members.sparkSession
     buckets = 1 << max(4, math.ceil(math.log2(4 * tasks(spark))))  # no matter for the result
     table = spark.sparkContext.broadcast(levels)
-    sent = members.mapInArrow(_prefixes(size, similarity, table, buckets), "bucket int, hash binary, id binary, root binary, n binary, place binary")
+    sent = members.mapInArrow(_unpacked(_prefixes(size, similarity, table, buckets)), "bucket int, hash binary, id binary, root binary, n binary, place binary")
     return deal(sent, spark).mapInArrow(_share(similarity, direct), "a long, b long").distinct()
 
 
-def _sets(size: int):
-    schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts in compressed form, as they go through joins: a third of the bytes of their sets of shingles."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = Texts(batch.column("text"))
+        for i, j in texts.chunks(8 << 20):
+            packed = pa.array([pack(texts.text(k)) for k in range(i, j)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("ord").slice(i, j - i), packed], ["ord", "packed"])
 
-    def run(batches):
+
+def _unpacked(step):
+    """``step`` over batches whose compressed texts are texts again."""
+
+    def texts(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            texts, ids = Texts(batch.column("text")), batch.column("ord")
-            for i, j in texts.chunks(1 << 20):
-                yield record(schema, id=ids.slice(i, j - i), shingles=[s.tobytes() for s in _shingles(texts, i, j, size)])
+            packed = batch.column("packed").to_pylist()
+            for i in range(0, len(packed), 256):
+                part = batch.slice(i, 256)
+                text = pa.array([unpack(x) for x in packed[i : i + 256]], pa.large_binary()).cast(pa.large_string())
+                yield pa.RecordBatch.from_arrays([text if n == "packed" else part.column(n) for n in part.schema.names], ["text" if n == "packed" else n for n in part.schema.names])
 
-    return run
+    return lambda batches: step(texts(batches))
 
 
-def _similar(least: float):
+def _similar(size: int, least: float):
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        known: dict[int, np.ndarray] = {}  # the sets of the latest texts; rows come in the order of one side
+        held = 0
+
+        def shingles(number: int, packed: bytes) -> np.ndarray:
+            nonlocal held
+            if number not in known:
+                if held > 1 << 21:
+                    known.clear()
+                    held = 0
+                known[number] = np.unique(np.array(shingle_hashes(unpack(packed), size), U64))
+                held += len(known[number])
+            return known[number]
+
         for batch in batches:
-            one, two = batch.column("one").to_pylist(), batch.column("two").to_pylist()
             ok = []
-            for x, y in zip(one, two):
-                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+            for a, one, b, two in zip(*(batch.column(c).to_pylist() for c in ("a", "one", "b", "two"))):
+                x, y = shingles(a, one), shingles(b, two)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(both >= least * (len(x) + len(y) - both))
             keep = np.flatnonzero(ok)
@@ -359,12 +386,12 @@ def _similar(least: float):
     return run
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those of the ``pairs`` (a, b) whose sets of shingles have the similarity."""
+def _verified(packed: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Those of the ``pairs`` (a, b) whose sets of shingles have the similarity; ``packed`` (ord, packed) has the texts."""
     linked = pairs.select(F.col("a").alias("ord")).unionByName(pairs.select(F.col("b").alias("ord"))).distinct()
-    sets = materialize(texts.join(linked, "ord", "left_semi").mapInArrow(_sets(size), "id long, shingles binary"), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("two")), "b")
-    return materialize(both.mapInArrow(_similar(similarity), "a long, b long"), "links")
+    met = materialize(packed.join(broadcast_if_small(linked), "ord", "left_semi"), "texts")
+    both = pairs.join(met.select(F.col("ord").alias("a"), F.col("packed").alias("one")), "a").join(met.select(F.col("ord").alias("b"), F.col("packed").alias("two")), "b")
+    return materialize(both.mapInArrow(_similar(size, similarity), "a long, b long"), "links")
 
 
 def groups(rows: DataFrame, size: int = 5, similarity: float = 0.8, direct: int = DIRECT) -> tuple[DataFrame, DataFrame]:
@@ -379,13 +406,14 @@ def groups(rows: DataFrame, size: int = 5, similarity: float = 0.8, direct: int
     words = [f"f{k}" for k in range(WORDS)]
     nodes = materialize(fps.groupBy("shingles").agg(F.min("ord").alias("id"), *[F.first(w).alias(w) for w in words]), "nodes")
     found = materialize(candidates(nodes.drop("shingles"), distance_of(similarity), direct).select("a", "b").distinct(), "near")
-    near = _verified(texts, found, size, similarity)
+    packed = texts.mapInArrow(_pack, "ord long, packed binary")
+    near = _verified(packed, found, size, similarity)
 
     roots = components(near).select(F.col("node").alias("id"), "root")
     members = nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     levels = _levels(told.where("part is not null").select("part", "counts"))
-    rest = exact_candidates(texts.withColumnRenamed("ord", "id").join(members, "id"), levels, size, similarity, direct)
-    links = near.unionByName(_verified(texts, materialize(rest, "rest"), size, similarity))
+    rest = exact_candidates(packed.withColumnRenamed("ord", "id").join(members, "id"), levels, size, similarity, direct)
+    links = near.unionByName(_verified(packed, materialize(rest, "rest"), size, similarity))
     return links, fps.join(nodes.select("shingles", "id"), "shingles").select("ord", "id")
 
 
@@ -393,6 +421,6 @@ def keep_one(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFra
     """One row of each group of near copies: the first by id (null ids first), of equal ids by a hash of the text."""
     rows = numbered(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
     links, nodes = groups(rows, size, similarity)
-    roots = components(links).where("node <> root").select(F.col("node").alias("ord"))
-    stays = nodes.where("ord = id").select("ord").join(roots, "ord", "left_anti")
-    return rows.join(stays, "ord", "left_semi").select("row.*")
+    # Those that go are fewer than those that stay: each row has one entry in ``nodes``, a node's own copies go with it or for it.
+    gone = nodes.where("ord <> id").select("ord").unionByName(components(links).where("node <> root").select(F.col("node").alias("ord")))
+    return rows.join(broadcast_if_small(materialize(gone, "gone")), "ord", "left_anti").select("row.*")

@@ -113,3 +113,21 @@ def test_no_pair_at_the_threshold_is_left_out(spark, direct):
     assert all(len(shingles(texts[a]) & shingles(texts[b])) >= 0.8 * len(shingles(texts[a]) | shingles(texts[b])) for a, b in found)
     same = [(r.id, r.ord) for r in nodes.collect()]
     assert pairs and joined([*found, *same], len(texts)) == joined([*pairs, *same], len(texts))
+
+
+def test_texts_go_through_joins_compressed(spark, monkeypatch):
+    """What is written for the pairs holds compressed texts and no sets of hashes; the first row of each group stays."""
+    rng = random.Random(11)
+    base = [" ".join(f"v{rng.randrange(300)}" for _ in range(400)) for _ in range(30)]
+    texts = [t for b in base for t in (b, edited(b, rng, 0.005), b)]
+    written, real = {}, near_copies.materialize
+
+    def seen(df, label="cut"):
+        written[label] = out = real(df, label)
+        return out
+
+    monkeypatch.setattr(near_copies, "materialize", seen)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in near_copies.keep_one(df).collect()}
+    assert kept == {k for k, top in enumerate(joined([(i, j) for i, j in brute(texts)] + [(3 * k, 3 * k + 2) for k in range(30)], len(texts))) if k == top}
+    assert "sets" not in written and set(written["texts"].columns) == {"ord", "packed"}
