@@ -13,8 +13,9 @@ name is unique are done. Two things keep it affordable:
 Rounds: (1) names of half length at minimisers; a bit table of bounded size of those seen twice is sent to all tasks.
 (2) names of the whole neighbourhood of a minimiser (all windows that it stands for); the earliest document of each
 name owns it, and in every other document all these windows are repeats. A second bit table tells which minimisers may
-have several neighbourhoods. (3) names of full length at every window of the owners of these; the earliest owner of a
-name keeps the window. The text is read once more to cut. Names compared in rounds 2 and 3 have 128 bits, and entries are
+have several neighbourhoods. (3) names of full length at every window of the owners of these; all places of a name but the
+earliest are marked as repeats. The text is read once more to cut. Every round is written before the next begins and its
+shuffle files are deleted then, so the disk holds one round at a time. Names compared in rounds 2 and 3 have 128 bits, and entries are
 dealt by both halves, so a passage that all documents share is spread by what surrounds it.
 
 Contract: a null text is empty; documents are ordered by doc_id, rows that share one or have none by a hash of the text
@@ -312,11 +313,18 @@ def _chunks(batch, length):
 
 
 def _round3(length: int, bits, buckets: int):
+    """Names of the windows in question at their first place in this task; their other places are repeats already."""
+
     def flush(parts):
         name, full, doc, pos = (np.concatenate(x) for x in zip(*parts))
-        keep = _first_of_pos(doc, pos, name, full)
-        name, full = name[keep], full[keep]  # the name alone would bring all documents around one passage together
-        return scatter(mix(name ^ mix(full)) % U64(buckets), name=name, full=full, doc=doc[keep], pos=pos[keep])
+        first = np.zeros(len(doc), bool)
+        first[_first_of_pos(doc, pos, name, full)] = True
+        n, f = name[first], full[first]  # the name alone would bring all documents around one passage together
+        out = scatter(mix(n ^ mix(f)) % U64(buckets), name=n, full=f, doc=doc[first], pos=pos[first])
+        yield _wide(out, out, None)
+        again = scatter(mix(doc[~first].view(U64)) % U64(buckets), doc=doc[~first], pos=pos[~first])
+        if again is not None:
+            yield _wide(again, None, again)
 
     def run(batches):
         parts, held = [], 0
@@ -327,26 +335,36 @@ def _round3(length: int, bits, buckets: int):
                 if not len(cut.pending):
                     continue
                 row = np.searchsorted(bounds, cut.pending, side="right") - 1
-                full = names.full()[cut.pending]
-                keep = np.sort(_first_of_pos(row, cut.pending, cut.name, full, row))
-                parts.append((cut.name[keep], full[keep], ords[i + row[keep]], (cut.pending - bounds[row])[keep].astype(np.int32)))
-                held += len(keep)
+                parts.append((cut.name, names.full()[cut.pending], ords[i + row], (cut.pending - bounds[row]).astype(np.int32)))
+                held += len(row)
                 if held > 2 << 20:
-                    yield flush(parts)
+                    yield from flush(parts)
                     parts, held = [], 0
         if held:
-            yield flush(parts)
+            yield from flush(parts)
 
     return run
 
 
-def _kept(buckets: int):
-    """Windows that no earlier document has."""
+WIDE = "bucket int, name binary, full binary, doc binary, pos binary, again_doc binary, again_pos binary"
+
+
+def _wide(rows: pa.RecordBatch, named: pa.RecordBatch | None, again: pa.RecordBatch | None) -> pa.RecordBatch:
+    none = pa.nulls(rows.num_rows, pa.binary())
+    first = [named.column(n) if named is not None else none for n in ("name", "full", "doc", "pos")]
+    rest = [again.column(n) if again is not None else none for n in ("doc", "pos")]
+    return pa.RecordBatch.from_arrays([rows.column("bucket"), *first, *rest], [x.split()[0] for x in WIDE.split(", ")])
+
+
+def _repeated(buckets: int):
+    """Windows that an earlier document, or an earlier place, has."""
 
     def run(batches):
-        got = gather(batches, name=U64, full=U64, doc=np.int64, pos=np.int32)
-        keep = _first_of_pos(got["doc"], got["pos"], got["name"], got["full"])
-        yield from _marked(got["doc"][keep], got["pos"][keep].astype(np.int64), buckets)
+        got = gather(batches, name=U64, full=U64, doc=np.int64, pos=np.int32, again_doc=np.int64, again_pos=np.int32)
+        first = np.zeros(len(got["doc"]), bool)
+        first[_first_of_pos(got["doc"], got["pos"], got["name"], got["full"])] = True
+        doc, pos = (np.concatenate((got[k][~first], got[f"again_{k}"])) for k in ("doc", "pos"))
+        yield from _marked(doc, pos.astype(np.int64), buckets)
 
     return run
 
@@ -359,10 +377,10 @@ def _cut(length: int, bits, fields: str, with_text: bool):
 
     def run(batches):
         for batch in batches:
-            kept = batch.column("kept").to_pylist()
+            again = batch.column("again").to_pylist()
             for i, j, data, bounds, names, own in _chunks(batch, length):
                 cut = Parts(names, bits.value, own)
-                gone = cut.pending[~np.isin(cut.pending, _longs(kept[i:j], bounds[:-1]))]
+                gone = _longs(again[i:j], bounds[:-1])
                 step = np.zeros(len(data) + 1, np.int32)
                 np.add.at(step, np.concatenate((cut.first, gone)), 1)
                 np.add.at(step, np.concatenate((cut.last, gone)) + length, -1)
@@ -389,7 +407,8 @@ def _seen_twice(slots: DataFrame):
     spark = slots.sparkSession
     tab = np.zeros(1 << TABLE_BITS - 3, np.uint8)
     part = len(tab) // RANGES
-    for row in deal(slots, spark).mapInArrow(_twice, "rng int, bits binary").toLocalIterator():  # RANGES rows of fixed size
+    ranges = materialize(deal(slots, spark).mapInArrow(_twice, "rng int, bits binary"), "twice")
+    for row in ranges.toLocalIterator():  # RANGES rows of fixed size
         tab[row.rng * part : (row.rng + 1) * part] = np.frombuffer(row.bits, np.uint8)
     return spark.sparkContext.broadcast(tab)
 
@@ -409,10 +428,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False)
     marks = owners.mapInArrow(_owned(buckets, several), MARKED)
     owned = materialize(deal(marks, spark).mapInArrow(_per_doc, "ord long, marks binary").withColumnRenamed("marks", "own"), "owned")
     packed = docs.select("doc_id", "ord", "text").mapInArrow(_pack, "doc_id long, ord long, packed binary")
-    wide = packed.join(owned, "ord").select("ord", "packed", "own").mapInArrow(_unpacked(_round3(length, bits, buckets)), "bucket int, name binary, full binary, doc binary, pos binary")
-    left = deal(wide, spark).mapInArrow(_kept(buckets), MARKED)
-    kept = materialize(deal(left, spark).mapInArrow(_per_doc, "ord long, marks binary").withColumnRenamed("marks", "kept"), "kept")
-    last = packed.join(owned, "ord", "left").join(kept, "ord", "left").select("doc_id", "packed", "own", "kept")
+    wide = packed.join(owned, "ord").select("ord", "packed", "own").mapInArrow(_unpacked(_round3(length, bits, buckets)), WIDE)
+    left = deal(wide, spark).mapInArrow(_repeated(buckets), MARKED)
+    again = materialize(deal(left, spark).mapInArrow(_per_doc, "ord long, marks binary").withColumnRenamed("marks", "again"), "again")
+    last = packed.join(owned, "ord", "left").join(again, "ord", "left").select("doc_id", "packed", "own", "again")
     return last.mapInArrow(_unpacked(_cut(length, bits, "doc_id", with_text)), f"doc_id long, {CUT}" + ", kept binary" * with_text)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -58,24 +59,39 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/scriptoria-{label}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Session settings (``__`` for a dot) that hold inside the block."""
+    values = {name.replace("__", "."): v for name, v in values.items()}
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, v in values.items():
+        spark.conf.set(name, v)
+    try:
+        yield
+    finally:
+        for name, v in before.items():
+            spark.conf.unset(name) if v is None else spark.conf.set(name, v)
+
+
+def swept(spark: SparkSession):
+    """Writes inside the block delete their shuffle files when they end, which else stay until the driver's collector runs."""
+    return settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
+
+
 def materialize(df: DataFrame, label: str = "cut", by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors.
 
     With ``by``, a column of few values and no nulls, each value has a folder, so a reader of one value reads only its rows.
-    A task keeps a file open per value and does not sort.
+    A task keeps a file open per value and does not sort. Shuffle files of the write go when it ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    if by is None:
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    name = "spark.sql.maxConcurrentOutputFileWriters"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "16")
-    try:
-        df.write.mode("overwrite").partitionBy(by).parquet(path)
-    finally:
-        spark.conf.set(name, before)
+    with swept(spark):
+        if by is None:
+            df.write.mode("overwrite").parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+        with settings(spark, spark__sql__maxConcurrentOutputFileWriters="16"):
+            df.write.mode("overwrite").partitionBy(by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 

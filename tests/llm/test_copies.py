@@ -1,6 +1,7 @@
 """Near copies, repeated strings, shards and mixtures against brute force."""
 
 import hashlib
+import time
 from collections import Counter
 
 import numpy as np
@@ -119,6 +120,33 @@ def test_repeats_edges(odd, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_rounds_leave_no_shuffle_files(small, spark):
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {x.split(",")[0] for x in local.getAllFiles().mkString(",").split(",") if "/shuffle_" in x}
+
+    before = files()
+    cut = suffix_dedup.remove_repeats(small)  # all rounds but the cut itself
+    for _ in range(100):  # the files are deleted in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert cut.count() == small.count()
+
+
+def test_repeats_of_windows_in_one_task_and_in_many(spark):
+    rng = np.random.default_rng(6)
+    part = ["".join(chr(97 + x) for x in rng.integers(0, 26, 160)) for _ in range(3)]
+    ends = ["".join(chr(97 + x) for x in rng.integers(0, 26, 90)) for _ in range(40)]
+    rows = [(k, e + part[k % 3] + ends[(7 * k + 1) % 40] + part[k % 2][:120]) for k, e in enumerate(ends)]
+    want = removed(rows)
+    for n in (1, 13):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        assert sorted(map(tuple, suffix_dedup.remove_repeats(docs).collect())) == want
+
+
 def test_ring(small):
     got = ring.shard_rows(small, 7).collect()
     assert Counter(Counter(r.shard for r in got).values()) == Counter([small.count() // 7 + (s < small.count() % 7) for s in range(7)])
