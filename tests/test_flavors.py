@@ -1,8 +1,13 @@
+import os
+import re
+
 import pytest
 from helpers import rows
 
 from scriptoria.operators import extract as X
+from scriptoria.plans import corpus, queries_rendering, registry  # noqa: F401
 from scriptoria.plans.corpus import parse_corpus
+from scriptoria.session import discard
 from scriptoria.sinks.flavors import render_flavor, work_pages
 from scriptoria.sources.markup import node_texts
 
@@ -75,5 +80,38 @@ def test_volumes_and_pages(spark):
     assert pages[0].content.endswith("# Heart\n\n## 卷一\n\na\n\nb") and pages[1].content == "## 卷二\n\nc"
 
 
+@pytest.mark.parametrize("flavor", ["markdown", "html"])
+def test_events_kept_by_document_are_not_shuffled(spark, pos, flavor):
+    files = [(f"f{k:02d}", HEAD + body + "</body></text></TEI>") for k, (body, _, _) in enumerate(CASES)]
+    kept = parse_corpus(spark.createDataFrame(files, "doc_path string, content string"), tasks=5)
+    got = render_flavor(kept, flavor, dealt=True)
+    plan = got._jdf.queryExecution().toString()
+    assert "Exchange hashpartitioning" not in plan
+    assert "1, unboundedfollowing" not in plan  # such a frame is read anew for every row of a document
+    assert rows(got) == rows(render_flavor(pos, flavor))
+    files = [re.sub("^file:/+", "/", f) for f in kept.inputFiles()]
+    assert all(map(os.path.exists, files))
+    discard(kept)
+    assert files and not any(map(os.path.exists, files))
+
+
+def test_pages_share_files(spark, sf, monkeypatch):
+    batches = []
+    settings = corpus.settings
+    monkeypatch.setattr(corpus, "settings", lambda *a, **b: batches.append(b) or settings(*a, **b))
+    pages = registry.QUERIES["rendered_pages"](spark, sf)
+    assert 0 < len(pages.inputFiles()) < pages.count() // 10
+    assert batches == [{"spark__sql__execution__arrow__maxRecordsPerBatch": "500"}]
+
+
+def test_volumes_of_a_work_from_two_files(spark):
+    body = '<milestone unit="juan" n="{}"/><p>{}</p>'
+    files = [(p, HEAD + body.format(n, p) + "</body></text></TEI>") for p, n in (("x", 2), ("a", 3), ("b", 2))]
+    pos = parse_corpus(spark.createDataFrame(files, "doc_path string, content string"))
+    pages = work_pages(render_flavor(pos), X.extract_metadata(pos)).collect()
+    text = {p.content.rsplit("\n", 1)[1]: p.content for p in pages}
+    assert {k for k, v in text.items() if v.startswith("---")} == {"b"} and all("## 卷" in v for v in text.values())
+
+
 def test_no_events(pos):
     assert render_flavor(pos.limit(0)).count() == 0
