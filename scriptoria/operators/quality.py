@@ -89,11 +89,14 @@ def raw_counts(files: DataFrame, works: DataFrame) -> DataFrame:
     body = F.regexp_extract("content", r"(?s)<body[^>]*>(.*)</body>", 1)
 
     def tags(name: str) -> Column:
-        return F.regexp_count(body, F.lit(rf"<{name}[\s>/]")).cast("bigint")
+        return F.regexp_count("_body", F.lit(rf"<{name}[\s>/]")).cast("bigint")
 
-    marks = F.regexp_extract_all(body, F.lit(r'<milestone[^>]*unit="juan"[^>]*n="(\d+)"'), F.lit(1))
-    per_file = files.join(works.select("doc_path", "sutra_id"), "doc_path")
-    per_file = per_file.select("sutra_id", marks.alias("m"), tags("note").alias("notes"), tags("app").alias("apps"), tags("mulu").alias("toc_entries"))
+    marks = F.regexp_extract_all("_body", F.lit(r'<milestone[^>]*unit="juan"[^>]*n="(\d+)"'), F.lit(1))
+    # Counted before the join, so that the contents are not shuffled.
+    per_file = files.select("doc_path", body.alias("_body")).select(
+        "doc_path", F.array_distinct(marks).alias("m"), tags("note").alias("notes"), tags("app").alias("apps"), tags("mulu").alias("toc_entries")
+    )
+    per_file = per_file.join(works.select("doc_path", "sutra_id"), "doc_path")
     sums = [F.sum(c).alias(c) for c in ("notes", "apps", "toc_entries")]
     volumes = F.greatest(F.lit(1), F.size(F.array_distinct(F.flatten(F.collect_list("m"))))).cast("bigint")
     return per_file.groupBy("sutra_id").agg(volumes.alias("juans"), *sums)

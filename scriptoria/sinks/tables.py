@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, swept
 from ..sources.corpus import open_store
 
 
@@ -23,14 +23,19 @@ def write_corpus(tables: dict[str, DataFrame], path: str, partition: str = "cano
 
     The works are those of all given tables. Stored rows of other works in the same canons are read back, joined to the
     new rows and written with them, so only the canons at hand are rewritten; a canon left without rows is removed. Rows
-    are spread by partition value and a hash of the rest, so one large canon is written by many tasks.
+    are spread by partition value and a hash of the rest, so one large canon is written by many tasks. Every table is
+    computed once: a first load asks for no works, a later one reads them from a copy of the new rows.
     """
     spark = next(iter(tables.values())).sparkSession
-    ids = [df.select(partition, key) for df in tables.values() if {partition, key} <= set(df.columns)]
-    works = materialize(reduce(DataFrame.unionByName, ids).distinct(), "works") if ids else None
+    known = [n for n, df in tables.items() if key in df.columns and _exists(spark, f"{path}/{n}")]
+    works = None
+    if known and any({partition, key} <= set(df.columns) for df in tables.values()):
+        tables = {n: materialize(df, "load") for n, df in tables.items()}
+        ids = [df.select(partition, key) for df in tables.values() if {partition, key} <= set(df.columns)]
+        works = materialize(reduce(DataFrame.unionByName, ids).distinct(), "works")
     for name, df in tables.items():
         target = f"{path}/{name}"
-        if works is not None and key in df.columns and _exists(spark, target):
+        if works is not None and name in known:
             stored = spark.read.option("mergeSchema", True).parquet(target).withColumn(partition, F.col(partition).cast("string"))
             others = stored.join(works.select(partition).distinct(), partition, "left_semi").join(works, [partition, key], "left_anti")
             df = materialize(df.unionByName(others, allowMissingColumns=True), "corpus")  # before its source is replaced
@@ -39,13 +44,14 @@ def write_corpus(tables: dict[str, DataFrame], path: str, partition: str = "cano
                 old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
         rest = [c for c in df.columns if c != partition and df.schema[c].dataType.typeName() not in ("map", "variant")]
         spread = F.pmod(F.xxhash64(*rest), F.lit(64))
-        (
-            df.repartition(partition, spread)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(partition)
-            .parquet(target)
-        )
+        with swept(spark):
+            (
+                df.repartition(partition, spread)
+                .write.mode("overwrite")
+                .option("partitionOverwriteMode", "dynamic")
+                .partitionBy(partition)
+                .parquet(target)
+            )
 
 
 def read_table(spark, path: str, name: str) -> DataFrame:

@@ -349,3 +349,33 @@ def test_values_of_an_object_leave_their_file_alone(spark, tmp_path):
     (tmp_path / "o.json").write_text('{"a": "1", "b": ["x", 2, null], "c": {"k": "v"}, "d": null, "e": "[\\"s\\"]"}')
     got = rows(lexicons.read_user_json(spark, str(tmp_path)), "term", "definition")
     assert got == sorted([("a", "1"), ("b", "x"), ("b", "2"), ("c", '{"k":"v"}'), ("e", '["s"]')], key=repr)
+
+
+def test_a_load_computes_its_tables_once(spark, tmp_path):
+    computed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            computed.add(batch.num_rows)
+            yield batch
+
+    schema = "canon string, sutra_id string, text string"
+
+    def load(texts):
+        rows_ = [("T", f"T{k}", x) for k, x in enumerate(texts)]
+        T.write_corpus({"content": spark.createDataFrame(rows_, schema).mapInArrow(count, schema)}, str(tmp_path / "c"))
+
+    load("abc")
+    assert computed.value == 3
+    load("xy")
+    assert computed.value == 5
+    assert rows(T.read_table(spark, str(tmp_path / "c"), "content"), "sutra_id", "text") == [("T0", "x"), ("T1", "y"), ("T2", "c")]
+
+
+def test_contents_are_counted_before_works_are_joined(spark):
+    files = spark.createDataFrame([("f", '<x><body><milestone unit="juan" n="1"/><note>a</note><app/><app/></body></x>')], "doc_path string, content string")
+    works = spark.createDataFrame([("f", "T1")], "doc_path string, sutra_id string")
+    got = Q.raw_counts(files, works)
+    assert rows(got, "sutra_id", "juans", "notes", "apps", "toc_entries") == [("T1", 1, 1, 2, 0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("regexp_extract(")  # below the join
