@@ -13,7 +13,7 @@ from scriptoria.operators.catalog import notes_for
 from scriptoria.operators.tree import nav_quality
 from scriptoria.plans.corpus import build_tables, parse_corpus
 from scriptoria.sinks import render as R
-from scriptoria.session import scratch_path, shared_dir
+from scriptoria.session import materialize, scratch_path, shared_dir
 from scriptoria.sinks import tables as T
 from scriptoria.sources import catalogs, corpus, documents, lexicons, navigation
 from scriptoria.sources.markup import flatten_markup
@@ -379,3 +379,10 @@ def test_contents_are_counted_before_works_are_joined(spark):
     assert rows(got, "sutra_id", "juans", "notes", "apps", "toc_entries") == [("T1", 1, 1, 2, 0)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("regexp_extract(")  # below the join
+
+
+def test_cuts_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "k", 2)], "`a.b` int, kind string, `c d` int")
+    assert materialize(df).collect() == df.collect()
+    kept = materialize(df.withColumnRenamed("a.b", "ab"), by="kind", buckets=(3, "ab"))
+    assert kept.columns == ["ab", "kind", "c d"] and rows(kept) == [(1, "k", 2)]
